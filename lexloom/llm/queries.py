@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from lexloom.llm import bpe, langid, mixing, simhash, suffix_dedup, toxicity
 from lexloom.llm.common import table
 
 #: The vocabulary that op4 and the pipeline name; a parameter of the operator.
@@ -31,10 +32,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.fold() != 2)
+    held_out = F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs.select("doc_id", held_out, "text"), model).drop("text")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op7_langid": op7_langid, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
