@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, langid, mixing, simhash, suffix_dedup, toxicity
+from lexloom.llm import bpe, langid, mixing, quality, simhash, suffix_dedup, toxicity
 from lexloom.llm.common import table
 
 #: The vocabulary that op4 and the pipeline name; a parameter of the operator.
@@ -39,10 +39,15 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), model).drop("text")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text", "lang", "source", "n_chars")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op7_langid": op7_langid, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
