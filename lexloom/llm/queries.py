@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, langid, mixing, quality, simhash, suffix_dedup, toxicity
+from lexloom.llm import bpe, hilbert_ann, langid, mixing, quality, simhash, suffix_dedup, toxicity
 from lexloom.llm.common import table
 
 #: The vocabulary that op4 and the pipeline name; a parameter of the operator.
@@ -19,6 +19,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.neighbours(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -49,5 +53,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_hilbert_ann": op2_hilbert_ann, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
