@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, hilbert_ann, langid, mixing, quality, simhash, suffix_dedup, toxicity
+from lexloom.llm import bpe, hilbert_ann, langid, mixing, quality, simhash, suffix_dedup, toxicity, url_rules
 from lexloom.llm.common import table
 
 #: The vocabulary that op4 and the pipeline name; a parameter of the operator.
@@ -36,6 +36,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+#: The given rules of op6.
+URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, langid.fold() != 2)
@@ -53,5 +61,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_hilbert_ann": op2_hilbert_ann, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_hilbert_ann": op2_hilbert_ann, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_url_rules": op6_url_rules, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
