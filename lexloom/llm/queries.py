@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, hilbert_ann, langid, mixing, quality, simhash, suffix_dedup, toxicity, url_rules
+from lexloom.llm import bpe, cover_topk, hilbert_ann, langid, mixing, quality, simhash, suffix_dedup, toxicity, url_rules
 from lexloom.llm.common import table
 
 #: The vocabulary that op4 and the pipeline name; a parameter of the operator.
@@ -61,5 +61,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_hilbert_ann": op2_hilbert_ann, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_url_rules": op6_url_rules, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_simhash": op9_simhash}
+def op10_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_hilbert_ann": op2_hilbert_ann, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_url_rules": op6_url_rules, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_cover_topk": op10_cover_topk}
 ORACLES: dict[str, str] = {}
