@@ -23,14 +23,16 @@ ones are replaced. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import words_in, written
+from lexloom.llm.common import WORD, slices, words_in, written
 
 _NEW = ["size", "source_size", "target", "taken"]
 
@@ -152,6 +154,57 @@ def draws(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     return sized.join(per_source.select("key", "source_size", "target"), "key"), drawn
 
 
+_WORDS = re.compile(WORD)
+
+
+def cut_out(text: str, size: int, drawn: Sequence[tuple[int, int]]) -> str:
+    """The words [first, first + n) of each draw, runs that touch as they stand; all of them: the text itself."""
+    drawn = sorted(drawn)
+    if sum(n for _, n in drawn) == size:
+        return text
+    spans = [m.span() for m in _WORDS.finditer(text)]
+    runs: list[list[int]] = []
+    for first, n in drawn:
+        if runs and runs[-1][1] == first:
+            runs[-1][1] += n
+        else:
+            runs.append([first, first + n])
+    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs)
+
+
+def drawn_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row for each time that a document is drawn, with the words drawn of it.
+
+    Columns are those of ``docs``; ``n_chars``, if there, is the new text's length. A document drawn
+    in full twice comes out twice. Rows that are equal in id, source and text share their draws.
+    """
+    facts, drawn = draws(docs, **options)
+    keyed = facts.select("row", "doc_id", "key", "size", "mark")
+    per = drawn.drop("doc_id").join(keyed, "row").groupBy("doc_id", "key", "mark", "size").agg(F.collect_list(F.struct("row", "epoch", "first", "words")).alias("__drawn"))
+    per = per.select(F.struct("doc_id", "key", "mark").alias("__k"), F.col("size").alias("__size"), "__drawn")
+    left = docs.withColumn("__k", F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark"))).dropDuplicates(["__k"])
+    names = docs.columns
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts, sizes, lists = (batch.column(c).to_pylist() for c in ("text", "__size", "__drawn"))
+                at, out = [], []
+                for i, (text, size, drawn_) in enumerate(zip(texts, sizes, lists)):
+                    times: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                    for d in drawn_:
+                        times.setdefault((d["row"], d["epoch"]), []).append((d["first"], d["words"]))
+                    for key in sorted(times):
+                        at.append(i)
+                        out.append(cut_out(text, size, times[key]))
+                new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c).take(pa.array(at, pa.int64())) for c in names], names=names)
+
+    joined = left.join(per, F.equal_null(left["__k"], per["__k"])).select(*[left[f"`{c}`"] for c in names], "__size", "__drawn")
+    return joined.mapInArrow(run, schema)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Each document with its size, its source's size and target, and the words the mix takes of it."""
     facts, drawn = draws(docs, **options)
