@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexloom.plans import corpus, evaluation, retrieval, sessions
+from lexloom.plans.tables import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_BOOKS = [retrieval.BOOK, corpus.BOOK, evaluation.BOOK, sessions.BOOK]
+QUERIES: dict[str, Query] = {k: v for b in _BOOKS for k, v in b.queries.items()}
+ORACLES: dict[str, str] = {k: v for b in _BOOKS for k, v in b.oracles.items()}
