@@ -90,17 +90,23 @@ def article_number(raw: Column) -> Column:
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters; a single one is itself, none the empty string."""
     s = squeeze(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
-    return F.when(F.length(s) < 2, F.array(s)).otherwise(F.array_distinct(pairs))
+    return F.when(F.length(s) < 2, F.array(s)).otherwise(F.array_distinct(_pairs(s)))
+
+
+def _pairs(s: Column) -> Column:
+    """Neighbouring characters. Characters are split once: a substring at each place would read from the start."""
+    chars = F.split(s, "")
+    n = F.length(s) - 1
+    return F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
 
 
 def terms(text: Column) -> Column:
     """Search terms: lower-cased runs of letters and digits, and bigrams of runs of Chinese characters."""
     low = F.lower(text)
-    runs = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}&&[^一-鿿]]+"), F.lit(0))
+    mixed = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}&&[^一-鿿]]+"), F.lit(0))
     chinese = F.regexp_extract_all(low, F.lit("[一-鿿]+"), F.lit(0))
-    grams = F.flatten(F.transform(chinese, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
-    return F.concat(runs, grams)
+    grams = F.flatten(F.transform(chinese, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(_pairs(r))))
+    return F.when(low.rlike("[一-鿿]"), F.concat(mixed, grams)).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def is_local(name: Column) -> Column:

@@ -64,7 +64,7 @@ def long_parts(text: Column, least: int = 500, end: str = "[。；]") -> Column:
 
     ``least`` is the length that a cut needs, so that parts are no shorter, but for the last.
     """
-    ends = F.array_compact(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.when(F.substring(text, i, F.lit(1)).rlike(end), i)))
+    ends = F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike(end), i + 1)))
     cuts = F.aggregate(ends, F.array(F.lit(0)), lambda acc, e: F.when(e - F.element_at(acc, -1) >= least, F.array_append(acc, e)).otherwise(acc))
     all_cuts = F.array_append(cuts, F.length(text))
     pieces = F.transform(F.sequence(F.lit(1), F.size(all_cuts) - 1), lambda i: T.u_trim(F.substring(text, F.element_at(all_cuts, i) + 1, F.element_at(all_cuts, i + 1) - F.element_at(all_cuts, i))))

@@ -29,9 +29,12 @@ def material_scores(passages: DataFrame, questions: DataFrame, k: int = 5) -> Da
 
     Bigrams are joined, so that a passage without a common one costs nothing.
     """
-    q = questions.select("scope", "query_id", T.bigrams(T.folded(F.col("text"))).alias("grams"))
+    # Folded in a step of its own, else each use of the text would fold it anew.
+    questions = questions.select("scope", "query_id", T.folded(F.col("text")).alias("text"))
+    passages = passages.select("scope", "position", T.folded(F.col("text")).alias("text"))
+    q = questions.select("scope", "query_id", T.bigrams(F.col("text")).alias("grams"))
     q = q.select("scope", "query_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    p = passages.select("scope", "position", F.explode(T.bigrams(T.folded(F.col("text")))).alias("gram"))
+    p = passages.select("scope", "position", F.explode(T.bigrams(F.col("text"))).alias("gram"))
     common = q.join(p, ["scope", "gram"]).groupBy("scope", "query_id", "position", "n").agg(F.count("*").alias("common"))
     scored = common.select("scope", "query_id", "position", F.round(F.col("common") / F.greatest(F.col("n"), F.lit(1)), 6).alias("score"))
     order = W.partitionBy("scope", "query_id").orderBy(F.desc("score"), "position")
