@@ -80,10 +80,11 @@ def kind_of(text: Column, many: bool = False) -> Column:
 def parsed(paragraphs: DataFrame, many: bool = False) -> tuple[DataFrame, DataFrame]:
     """(articles, leftovers) of cleaned paragraphs ``(doc, pos, text)``.
 
-    With a table of contents (目录), the chapter and section lines right after it belong to it. The
-    body begins at the last chapter after it and before the first article. Articles carry their
-    chapter and section; a section ends at the next chapter. Lines between a heading and an
-    article are leftovers; what is before the body is the preamble. No article: no body.
+    With a table of contents (目录), articles are looked for after the chapter and section lines
+    that follow it. The body begins at the last chapter before the first article. Articles carry
+    their chapter and section; a section ends at the next chapter. Lines between a heading and an
+    article are leftovers; what is before the body is the preamble. Without an article all is
+    leftovers, or with a table of contents nothing is.
     """
     order = W.partitionBy("doc").orderBy("pos")
     so_far, whole = order.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("doc")
@@ -92,13 +93,14 @@ def parsed(paragraphs: DataFrame, many: bool = False) -> tuple[DataFrame, DataFr
     after = (F.col("i") > F.col("toc")) & ~F.col("kind").isin("chapter", "section")
     t = t.withColumn("toc_end", F.coalesce(F.min(F.when(after, F.col("i"))).over(whole) - 1, F.col("toc"), F.lit(0)))
     t = t.withColumn("first_article", F.min(F.when((F.col("kind") == "article") & (F.col("i") > F.col("toc_end")), F.col("i"))).over(whole))
-    in_front = (F.col("kind") == "chapter") & (F.col("i") <= F.col("first_article")) & (F.col("i") > F.col("toc_end"))
-    t = t.withColumn("body", F.coalesce(F.max(F.when(in_front, F.col("i"))).over(whole), F.col("first_article")))
+    in_front = (F.col("kind") == "chapter") & (F.col("i") <= F.col("first_article")) & (F.col("i") > F.coalesce("toc", F.lit(0)))
+    t = t.withColumn("body", F.coalesce(F.max(F.when(in_front, F.col("i"))).over(whole), F.col("first_article"), F.when(F.col("toc").isNull(), 1)))
+    t = t.withColumn("shown", F.concat_ws(" ", F.regexp_extract("text", "^第.+?[章节]", 0), F.nullif(T.squeeze(F.regexp_replace("text", "^第.+?[章节]", "")), F.lit(""))))
     b = t.where("i >= body")
-    b = b.withColumn("chapter", F.last(F.when(F.col("kind") == "chapter", F.col("text")), True).over(so_far))
+    b = b.withColumn("chapter", F.last(F.when(F.col("kind") == "chapter", F.col("shown")), True).over(so_far))
     b = b.withColumn("chapter_no", F.count(F.when(F.col("kind") == "chapter", 1)).over(so_far))
     in_chapter = W.partitionBy("doc", "chapter_no").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    b = b.withColumn("section", F.last(F.when(F.col("kind") == "section", F.col("text")), True).over(in_chapter))
+    b = b.withColumn("section", F.last(F.when(F.col("kind") == "section", F.col("shown")), True).over(in_chapter))
     b = b.withColumn("block", F.count(F.when(F.col("kind") != "other", 1)).over(so_far))
     b = b.withColumn("head", F.first("kind").over(W.partitionBy("doc", "block").orderBy("pos")))
     body = b.where("head = 'article'").groupBy("doc", "block").agg(

@@ -95,10 +95,9 @@ def located(questions: DataFrame, key: str, laws: DataFrame, articles: DataFrame
     index = first_of(articles, "law", "no")
     anywhere = asked.join(index, "no").select(key, "law", F.lit(3).alias("tier"))
     options = bracketed.union(spans).union(anywhere).distinct().join(asked.select(key, "no"), key).join(index, ["law", "no"])
-    tier = F.min("tier").over(W.partitionBy(key))
     # Where a law is named, a number in another law doesn't count.
     said = bracketed.union(spans).groupBy(key).agg(F.min("tier").alias("said"))
-    options = options.join(said, key, "left").where(F.col("tier") == F.coalesce("said", tier))
+    options = options.join(said, key, "left").where(F.col("tier") == F.coalesce("said", F.lit(3)))
     return options.groupBy(key).agg(F.countDistinct("article_id").alias("n"), F.min("article_id").alias("article_id")).where("n = 1").drop("n")
 
 

@@ -22,13 +22,18 @@ K1, B, RRF_K, HINT_BOOST = 1.2, 0.75, 60, 1.5
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): term counts, and the document's number of terms carried with each.
+    """(key, term, tf, dl): term counts, and the document's number of terms carried with each."""
+    listed = docs.select(key, T.terms(F.col(text)).alias("ts"))
+    return _spread(listed).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
 
-    Terms are counted inside the row (sorted, then run lengths by position), so that nothing is
-    shuffled to build the index.
+def _spread(listed: DataFrame) -> DataFrame:
+    """Rows of terms with ``dl``. The length is taken before, so that rows don't carry the array;
+    the outer form keeps the optimizer from computing the terms once more in a filter.
     """
-    listed = docs.select(key, T.terms(F.col(text)).alias("ts"))
-    return listed.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rest = [c for c in listed.columns if c != "ts"]
+    sized = listed.select(*rest, "ts", F.size("ts").alias("dl"))
+    return sized.select(*rest, "dl", F.explode_outer("ts").alias("term")).where("term is not null")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "query_id", keep: Column | None = None, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -39,9 +44,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: st
     """
     sized = docs.select(key, *([keep.alias("__keep")] if keep is not None else []), T.terms(F.col(text)).alias("ts"))
     totals = sized.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    asked = queries.select(query_key, F.explode(T.terms(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    found = sized.select(*[c for c in sized.columns if c != "ts"], F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    found = found.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = queries.select(query_key, F.explode_outer(T.terms(F.col("text"))).alias("term")).where("term is not null").groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+    found = _spread(sized).join(asked.select("term").distinct(), "term", "left_semi")
     counted = found.groupBy(*[c for c in found.columns]).agg(F.count("*").alias("tf"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     if keep is not None:
