@@ -102,9 +102,9 @@ def _grouped(spark, sf_dir) -> DataFrame:
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM sc), h AS (SELECT * FROM r WHERE rank <= 20),
  p AS (SELECT h.item_id, l.doc_id AS parent_id, max(h.score) * CASE WHEN contains(any_value(d.source), 'src' || (h.item_id % 3)) THEN 1.5 ELSE 1 END AS score, count(DISTINCT l.chunk_id) AS n, string_agg(l.chunk_id, ' ' ORDER BY l.chunk_id) AS chunks, min(h.rank) AS first
        FROM h JOIN {_LINES} l ON l.chunk_id = h.k JOIN documents d ON d.doc_id = l.doc_id GROUP BY h.item_id, l.doc_id)
- SELECT item_id, parent_id, round(score, 6) AS score, chunks, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n DESC, first) AS INTEGER) AS rank FROM p""")
+ SELECT item_id, parent_id, score, chunks, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n DESC, first) AS INTEGER) AS rank FROM p""")
 def q_group_child_parent(spark, sf_dir):
-    return _grouped(spark, sf_dir).select("item_id", "parent_id", F.round("score", 6).alias("score"), F.array_join("hit_chunks", " ").alias("chunks"), "rank")
+    return _grouped(spark, sf_dir).select("item_id", "parent_id", "score", F.array_join("hit_chunks", " ").alias("chunks"), "rank")
 
 
 _TERMS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
