@@ -189,7 +189,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "bytes"):
+            for batch in slices(whole, "bytes", 1 << 20):
                 doc, a, low, high, g, c = pick_suffixes(*flat(batch.column("bytes")), length, gram)
                 doc = pa.array(doc)
                 where = (a << 16) | ((a - high) << 8) | (a - low)
@@ -212,10 +212,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "around", "members", "place", "hot", "lead", "n_before", "bytes"]
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             raw, ends = flat(batch.column("bytes"))
             lists = batch.column("asked")
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            doc = np.repeat(np.arange(batch.num_rows), [len(v) for v in lists])
             rows = lists.flatten()
             fields = {name: rows.field(i) for i, name in enumerate(names[:5])}
             a = (fields["place"].to_numpy() >> 16) + ends[doc]
@@ -250,9 +250,9 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes:
             take = pa.array(row)
             return pa.RecordBatch.from_arrays([lot.column("gram").combine_chunks().take(take), lot.column("around").combine_chunks().take(take), pa.array(first), pa.array(last)], names=["gram", "around", "first", "last"])
 
-        for batch in batches:
+        for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
             held.append(batch)
-            if sum(b.num_rows for b in held) >= 16384:
+            if sum(b.num_rows for b in held) >= 4096:
                 lot = pa.Table.from_batches(held)
                 gram_ids = lot.column("gram").to_numpy()
                 other = np.flatnonzero(gram_ids != gram_ids[-1])
@@ -303,7 +303,7 @@ def _cut(docs: DataFrame, text: str, new: dict[str, str], make, length: int, gra
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"`{c}` {kind}" for c, kind in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             raw, ends = flat(batch.column("__bytes"))
             lists, rows = batch.column("__spans"), []
             parts = lists.flatten()
