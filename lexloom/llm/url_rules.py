@@ -9,10 +9,11 @@ confidence, then support, then most tokens, whose tokens all occur; by ``default
 
 Both kinds are matched by inverted index: given rules by each ending of the host, mined rules by
 their rarest token, with the other tokens checked. Mined rules are bounded by the support they
-need: frequent itemsets among a URL's tokens, at least ``support`` of all labelled URLs each.
+need: frequent itemsets among a URL's tokens, at least ``support`` of all labelled URLs and
+``least`` URLs each, so that a small table doesn't make every combination a rule.
 
-Tokens are the host's endings, its labels, the path's segments (with their place, digits folded)
-and the names of query parameters.
+Tokens are the host's labels, the path's segments (digits folded) and the names of query
+parameters. None implies another, which would multiply the itemsets without saying more.
 
 Edge cases: a null URL or one without ``://`` has empty host and path and gets ``default``.
 Repeated rows are judged each. Without labelled URLs nothing is mined. Old columns that clash
@@ -48,10 +49,8 @@ def path_of(url: Column) -> Column:
 
 
 def tokens(host: str, path: str, url: str | None) -> list[str]:
-    labels = host.split(".") if host else []
-    out = {f"host:{'.'.join(labels[i:])}" for i in range(len(labels))} | {f"label:{x}" for x in labels}
-    parts = [re.sub(r"\d+", "0", x) for x in path.split("/") if x]
-    out |= {f"path{i}:{x}" for i, x in enumerate(parts)} | {f"path:{x}" for x in parts}
+    out = {f"host:{x}" for x in host.split(".") if x}
+    out |= {f"path:{re.sub(r'[0-9]+', '0', x)}" for x in path.split("/") if x}
     query = (url or "").partition("#")[0].partition("?")[2]
     out |= {f"query:{x.partition('=')[0]}" for x in query.split("&") if x}
     return sorted(out)
@@ -165,12 +164,13 @@ def with_tokens(pages: DataFrame, rules: Sequence[Given]) -> DataFrame:
     return pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("url").alias("__url")).mapInArrow(run, schema)
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8) -> list[Mined]:
+def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8, least: int = 10) -> list[Mined]:
     """Association rules from ``labelled(tokens, given)`` with a verdict on their right side."""
     baskets = labelled.where("given is not null and size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "given"))).alias("items"))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < least:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(baskets)
     is_verdict = F.element_at("consequent", 1).startswith(_LABEL)
     rows = model.associationRules.where(is_verdict & ~F.exists("antecedent", lambda t: t.startswith(_LABEL))).collect()
     return pruned([Mined(tuple(sorted(r.antecedent)), r.consequent[0].removeprefix(_LABEL), r.confidence, r.support) for r in rows])

@@ -53,7 +53,7 @@ def brute_mine(rows, support, confidence):
 def test_mining_against_brute_force(spark):
     rows = [(["a", "b"], "block")] * 6 + [(["a", "c"], "allow")] * 5 + [(["b"], "allow")] * 2 + [(["c", "d"], "allow")] * 3 + [(["d"], "block")] * 3
     table = spark.createDataFrame([(t, v) for t, v in rows], "tokens array<string>, given string")
-    mined = url_rules.mine(table, 0.1, 0.7)
+    mined = url_rules.mine(table, 0.1, 0.7, least=1)
     every = brute_mine(rows, 0.1, 0.7)
     want = url_rules.pruned([url_rules.Mined(c, v, *x) for (c, v), x in every.items()])
     assert [(m.tokens, m.verdict, round(m.confidence, 9), round(m.support, 9)) for m in mined] == [(m.tokens, m.verdict, round(m.confidence, 9), round(m.support, 9)) for m in want]
