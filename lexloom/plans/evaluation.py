@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.operators import evaluate, search
+from lexloom.operators import answers, evaluate, search
 from lexloom.plans.retrieval import _bm25_sql
 from lexloom.plans.tables import Book, table
 
@@ -113,3 +114,28 @@ def q_review_score(spark, sf_dir):
 @BOOK.query("SELECT doc_id, CASE WHEN f = 0 THEN 'miss' WHEN f < 2 AND c > 0 THEN 'partial' WHEN c = 0 THEN 'uncited' WHEN c < f THEN 'half cited' WHEN f < 2 THEN 'partial' ELSE 'all' END AS failure FROM (SELECT doc_id, doc_id % 3 AS f, n_chars % 3 AS c FROM documents)")
 def q_failure_taxonomy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evaluate.failure_class(F.col("doc_id") % 3, F.col("n_chars") % 3, F.lit(2)).alias("failure"))
+
+
+_TOP = "t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)"
+
+
+def _long_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    return d.withColumn("rank", rank).select(F.col("source").alias("query_id"), "doc_id", "rank", F.concat(F.lit("《"), "lang", F.lit("》")).alias("citation"), F.substring("text", 1, 40).alias("text"))
+
+
+@BOOK.query(f"""WITH {_TOP}, e AS (SELECT source AS query_id, string_agg('【依据' || rank || '】' || '《' || lang || '》' || chr(10) || substr(text, 1, 40), chr(10) || chr(10) ORDER BY rank) AS block FROM t WHERE rank <= 3 AND source <> 'src1' GROUP BY source)
+ SELECT q.query_id, block || chr(10) || chr(10) || '问题：' || q.query_id AS prompt, CASE WHEN block IS NULL THEN 'empty' ELSE 'unavailable' END AS route FROM (SELECT DISTINCT source AS query_id FROM documents) q LEFT JOIN e USING (query_id)""")
+def q_answer_prompt(spark, sf_dir):
+    labelled = answers.evidence(_long_documents(spark, sf_dir).where("query_id <> 'src1'"), top_n=3)
+    asked = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+    return answers.answered(answers.prompts(asked, labelled)).select("query_id", "prompt", "route")
+
+
+@BOOK.query("""WITH h AS (SELECT user_id AS query_id, event_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, event_id % 3 = 0 AS known FROM events)
+ SELECT query_id, count(*) FILTER (NOT known) AS fresh, count(*) FILTER (known) AS seen, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) FILTER (rank <= 3) AS first FROM h GROUP BY query_id""")
+def q_tool_receipts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("doc_id"))
+    hits = e.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")))
+    return answers.receipts(hits, e.where("doc_id % 3 = 0")).withColumn("first", F.array_join("first", " "))

@@ -2,7 +2,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import corpus, evaluate, ingest, resolve, rewrite, rounds, search, sessions
+from lexloom.operators import answers, corpus, evaluate, ingest, resolve, rewrite, rounds, search, sessions
 from lexloom.sources import readers, sinks
 
 
@@ -198,3 +198,17 @@ def test_index_without_embedder(spark, tmp_path):
     assert sinks.build_index(spark, chunks, f"{tmp_path}/i") == ["no embedder: lexical search only"]
     assert spark.read.parquet(f"{tmp_path}/i/postings").count() == 3
     assert spark.read.parquet(f"{tmp_path}/i/chunks").where("chapter = ''").count() == 1
+
+
+def test_judgments(spark):
+    rows = [(1, 'ok {"judgments": [{"n": 1, "supported": "yes"}, {"n": "2", "supported": false}, {"n": "x"}, {"n": 1, "supported": null}]} done'), (2, "no json"), (3, None), (4, '{"judgments": 5}')]
+    got = {(r.k, r.n): r.supported for r in answers.judgments(spark.createDataFrame(rows, "k int, text string"), "k").collect()}
+    assert got == {(1, 1): None, (1, 2): False}
+
+
+def test_streams_and_findings(spark):
+    frames = spark.createDataFrame([(1, 0, "token", "a"), (1, 1, "answer", "x"), (1, 2, "answer", "y"), (1, 3, "token", "z")], "k int, seq int, kind string, payload string")
+    assert answers.last_answers(frames, "k").first().answer == "y"
+    pages = spark.createDataFrame([(1, 0, " t" * 60, "s", "2025-01-02T03:04"), (1, 1, "b", None, None)], "query_id int, pos int, title string, snippet string, published string")
+    got = answers.findings(pages, start=4).orderBy("label").collect()
+    assert [r.label for r in got] == ["[时效5]", "[时效6]"] and len(got[0].title) == 81 and got[0].date == "2025-01-02"
