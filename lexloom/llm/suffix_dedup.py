@@ -197,9 +197,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes:
 
     # place: the suffix's start, and how far before it its last and its first window begin (a byte each: width <= 256).
     picked = written(docs.select("id", "mark", "bytes").mapInArrow(pick, "id long, mark long, place long, gram long, around long"))
-    often = picked.groupBy("gram").count().where("count > 1").select("gram")
+    # Written, so that both sides of the join are plain exchanges and a hot gram can be split.
+    often = written(picked.groupBy("gram").count().where("count > 1").select("gram"))
     tied = written(picked.join(often, "gram", "left_semi"))
-    discard(picked)
+    discard(picked, often)
 
     classes = written(tied.groupBy("gram", "around").agg(F.count("*").alias("members"), F.min(F.struct("id", "mark", "place")).alias("one")))
     certain = tied.join(classes.where("members > 1").select("gram", "around"), ["gram", "around"], "left_semi")
