@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import WORD, slices, words_in, written
 
-_NEW = ["size", "source_size", "target", "taken"]
+#: Numbers in a table that is broadcast, at most.
+SMALL = 1_000_000
 
 
 def source_key(source: Column) -> Column:
@@ -116,6 +117,8 @@ def draws(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     goal = targets(sizes, weights, budget, cap)
     facts = [(k, sizes[k], goal[k], min(round(goal[k]), round(cap * sizes[k])), have.get(k, (0, 0))[1]) for k in sizes]
     per_source = spark.createDataFrame(facts, "key string, source_size long, target double, quota long, blocks long")
+    if len(facts) <= SMALL:  # else the joins by source are left to adaptive execution
+        per_source = F.broadcast(per_source)
 
     inside = W.partitionBy("key", "cell").orderBy("u", "doc_id", "size", "mark", "block").rowsBetween(W.unboundedPreceding, -1)
     placed = (
@@ -145,6 +148,8 @@ def draws(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     split = shard_quotas(quotas, shards, seed)
     ends = np.cumsum(split, axis=0)
     bounds = spark.createDataFrame([(k, ends[:, i].tolist()) for i, k in enumerate(order)], "key string, ends array<bigint>")
+    if len(order) * shards <= SMALL:
+        bounds = F.broadcast(bounds)
     drawn = (
         placed.join(bounds, "key")
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
