@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.functions import fixed
 from lexloom.functions import text as T
 
 
-def expanded(queries: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]], most: int = 8) -> DataFrame:
+def expanded(queries: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = fixed.ALIASES, most: int = 8) -> DataFrame:
     """Add ``matched`` aliases, ``expansions`` (the first ``most`` formal terms not in the text) and ``expanded``.
 
     The alias list is an ordered parameter; it is matched inside the row, so nothing is joined.
@@ -35,7 +36,7 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def name_hints(queries: DataFrame, names: DataFrame, key: str, stop: Sequence[str] = (), least: int = 2) -> DataFrame:
+def name_hints(queries: DataFrame, names: DataFrame, key: str, stop: Sequence[str] = fixed.GENERIC, least: int = 2) -> DataFrame:
     """(key, hint, pos): the longest part that a text and a name ``(pos, name)`` share, if it says something; first place of each.
 
     Sequence matching is no built-in; it runs in Arrow batches over questions and the list of names.

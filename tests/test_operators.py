@@ -2,6 +2,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from lexloom.functions import fixed
 from lexloom.operators import answers, corpus, evaluate, ingest, resolve, rewrite, rounds, search, sessions
 from lexloom.sources import readers, sinks
 
@@ -212,3 +213,14 @@ def test_streams_and_findings(spark):
     pages = spark.createDataFrame([(1, 0, " t" * 60, "s", "2025-01-02T03:04"), (1, 1, "b", None, None)], "query_id int, pos int, title string, snippet string, published string")
     got = answers.findings(pages, start=4).orderBy("label").collect()
     assert [r.label for r in got] == ["[时效5]", "[时效6]"] and len(got[0].title) == 81 and got[0].date == "2025-01-02"
+
+
+def test_fixed_lists(spark):
+    assert len(fixed.ALIASES) == 31 and len(fixed.GENERIC) == 30 and len(fixed.LAW_IDS) == 8
+    q = spark.createDataFrame([(1, "酒驾和醉驾入刑")], "k int, text string")
+    got = rewrite.expanded(q).first()
+    assert got.matched == ["醉驾", "酒驾", "醉驾入刑"]
+    assert got.expansions == ["醉酒", "醉酒驾驶", "醉酒后驾驶", "饮酒", "饮酒后驾驶", "饮酒驾驶", "醉酒驾驶机动车", "依法追究刑事责任"]
+    names = spark.createDataFrame([(0, "道路运输条例"), (1, "深圳经济特区智能网联汽车管理条例")], "pos int, name string")
+    asked = spark.createDataFrame([(1, "智能网联汽车的道路运输")], "k int, text string")
+    assert [(r.hint, r.pos) for r in rewrite.name_hints(asked, names, "k").collect()] == [("智能网联汽车", 1)]
