@@ -270,6 +270,20 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def first_of_each(docs: DataFrame, rooted: DataFrame, text: str = "text") -> DataFrame:
+    """Of each root of ``rooted(doc_id, mark, root)`` one row of ``docs``: smallest id (null last), then first text.
+
+    ``mark`` is ``xxhash64`` of the text; rows of one id are told apart by it.
+    """
+    rooted = written(rooted)
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("__least"))
+    keep = rooted.join(least, "root").where("doc_id <=> __least").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "root").distinct()
+    found = docs.join(keep, F.equal_null(docs["doc_id"], keep["__id"]) & (F.xxhash64(docs[text]) == keep["__mark"]))
+    rest = [c for c in docs.columns if c not in (text, "doc_id")]
+    row = F.struct(*[x for c in (text, *rest) for x in (F.col(f"`{c}`").isNull().alias(f"__no_{c}"), docs[f"`{c}`"].alias(c))], docs["doc_id"].alias("doc_id"))
+    return found.groupBy(keep["root"]).agg(F.min(row).alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+
+
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """One row of each component: that with the smallest id, and of equal ids the first text."""
     from pyspark.sql import Window as W
