@@ -251,16 +251,20 @@ def links(nodes: DataFrame, tau: int = 3, most_in_bucket: int = 16_384, sample:
     return found.unionByName(through)
 
 
+def _named(nodes: DataFrame, tau: int, most_in_bucket: int) -> DataFrame:
+    """``nodes`` with ``root``, a fingerprint that names the component."""
+    edges = written(links(nodes.select("fp"), tau, most_in_bucket).distinct())
+    roots = components(edges)
+    return nodes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 5, tau: int = 3, most_in_bucket: int = 16_384) -> DataFrame:
     """Each row's ``doc_id``, ``fp`` and ``component_id``, the smallest id that links reach from it.
 
     The default takes five words; op9's contract asks for three.
     """
     marked = written(fingerprints(docs.select("doc_id", text), text, shingle))
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = written(links(nodes.select("fp"), tau, most_in_bucket).distinct())
-    roots = components(edges)
-    named = nodes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _named(written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))), tau, most_in_bucket)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     per_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(per_fp, "fp").select("doc_id", "fp", "component_id")
@@ -284,12 +288,8 @@ def first_of_each(docs: DataFrame, rooted: DataFrame, text: str = "text") -> Dat
     return found.groupBy(keep["root"]).agg(F.min(row).alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
-def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """One row of each component: that with the smallest id, and of equal ids the first text."""
-    from pyspark.sql import Window as W
-
-    marked = near_duplicates(docs, text, **options)
-    keep = marked.where("doc_id <=> component_id").select("doc_id").distinct()
-    first = docs.join(keep, F.equal_null(docs["doc_id"], keep["doc_id"]), "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.col(text).asc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c not in (text, "doc_id")])
-    return first.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, tau: int = 3, most_in_bucket: int = 16_384) -> DataFrame:
+    """One row of each component: that with the smallest id (null last), and of equal ids the first text."""
+    marked = written(fingerprints(docs.select("doc_id", F.xxhash64(text).alias("mark"), F.col(f"`{text}`").alias("__text")), "__text", shingle))
+    named = _named(written(marked.select("fp").distinct()), tau, most_in_bucket)
+    return first_of_each(docs, marked.join(named, "fp").select("doc_id", "mark", "root"), text)

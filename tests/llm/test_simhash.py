@@ -95,3 +95,10 @@ def test_one_of_each(spark):
     got = sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(docs).collect())
     assert got == [("2", "same words here"), ("8", ""), ("None", "alone in here again")]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_one_of_each_without_or_with_shared_ids(spark):
+    rows = [(None, "first of the texts without id"), (None, "second one and something else entirely"), (None, "second one and something else entirely"), (3, "near copy of number three here"), (5, "near copy of number three here"), (5, "a clean document of its own"), (7, "one text of the seventh"), (7, "quite another thing under seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in simhash.one_of_each(docs).collect()))
+    assert got == sorted((i or 0, t) for i, t in {*rows} - {(5, "near copy of number three here")})
