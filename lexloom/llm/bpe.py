@@ -28,6 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Words that are merged in one run, so that scratch arrays stay small.
+LOT = 100_000
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte: itself where printable Latin-1, else from U+0100 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -124,36 +128,37 @@ class WordBPE:
         order = np.argsort(word, kind="stable")
         return ids[order], np.bincount(word, minlength=len(words))
 
-    def learn(self, words: set[str]) -> None:
-        """Put what the cache lacks into it, in one flat run of merge rounds."""
-        if len(self.cache) + len(words) > self.cache_words:
-            self.cache.clear()
-        plain = []
+    def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids and decoded bytes of words, in one flat run of merge rounds."""
+        out, plain = {}, []
         for w in words:
             if w[0] == "\0" and w[1:] in self.added:
                 i = self.added[w[1:]]
-                self.cache[w] = (i.to_bytes(4, "little"), self.strings[i])
+                out[w] = (i.to_bytes(4, "little"), self.strings[i])
             else:
                 plain.append(w)
         if not plain:
-            return
+            return out
         ids, sizes = self.merged([w.encode() for w in plain])
         raw, listed, at = ids.astype("<u4").tobytes(), ids.tolist(), 0
         for w, n in zip(plain, sizes.tolist()):
-            self.cache[w] = (raw[4 * at : 4 * (at + n)], b" ".join([self.strings[i] for i in listed[at : at + n]]))
+            out[w] = (raw[4 * at : 4 * (at + n)], b" ".join([self.strings[i] for i in listed[at : at + n]]))
             at += n
+        return out
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text, its ids as little-endian 32-bit integers and its decoded bytes."""
         for at in range(0, len(texts), 256):
             split = [self.split(t) if t else [] for t in texts[at : at + 256]]
             known = self.cache
-            new = {w for words in split for w in words if w not in known}
-            if new:
-                held = len(known)
-                self.learn(new)
-                if len(known) < held + len(new):  # the cache was emptied: refill for this block
-                    self.learn({w for words in split for w in words if w not in known})
+            new = [*{w for words in split for w in words if w not in known}]
+            if len(known) + len(new) > self.cache_words:  # what the block needs is held apart; the cache starts anew
+                known = {w: known[w] for words in split for w in words if w in known}
+                self.cache = {}
+            for lot in range(0, len(new), LOT):
+                known |= self.learn(new[lot : lot + LOT])
+            if known is not self.cache and len(known) <= self.cache_words:
+                self.cache = known
             for words in split:
                 found = [known[w] for w in words]
                 yield b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])

@@ -46,6 +46,12 @@ def test_cache_may_be_tiny():
     assert [i for i, _ in small.encode(texts)] == [i for i, _ in OURS.encode(texts)]
 
 
+def test_block_larger_than_a_warm_cache():
+    small = bpe.WordBPE(open(PATH, encoding="utf-8").read(), cache_words=3)
+    texts = ["one two", *[""] * 255, "two three four five<|endoftext|> six", *[""] * 255, "six one", "seven"]
+    assert [*small.encode(texts)] == [*OURS.encode(texts)] and len(small.cache) <= 3
+
+
 def test_table(spark):
     rows = [(1, None, "x"), (2, "", "y"), (2, "", "y"), (3, "Some words " * 5000, None), (None, "null id", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
