@@ -3,15 +3,15 @@
 Features are counts of letter trigrams, hashed from UTF-8 bytes with A-Z lower-cased and runs of
 other ASCII characters as one space. Families are separated by one-versus-rest linear support
 vector machines, the languages of one family by one-versus-one machines with votes; all have
-squared hinge loss and are fitted together on at most about ``per_language`` documents of each
-language, chosen by hash (a documented bound). Every whole text is scored: a document's margin
+squared hinge loss and are fitted together on at most about ``per_language`` distinct texts of each
+language, chosen by hash (a documented bound; copies count once). Every whole text is scored: a document's margin
 is the mean weight of its trigrams, so one table look-up and sum per byte serves all machines.
 
 The score is the product of the sigmoids of the winning margins, from 0 to 1.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is every text if
 nothing could be learned. Rows with a null id are predicted but neither learned from nor held
-out. Repeated rows count each. Old columns that clash with new ones are replaced. An empty
+out. Repeated rows are predicted each and learned from once. Old columns that clash with new ones are replaced. An empty
 table gives no rows.
 """
 
@@ -145,14 +145,17 @@ def fit_machines(x: np.ndarray, signs: np.ndarray, l2: float = 1e-3, rounds: int
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_language: int = 400) -> Hierarchy:
     """Learn from the rows of ``docs`` where ``learn`` holds, ``lang`` is not null and ``text`` not empty."""
-    known = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
+    known = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    # Copies are one text: marks are counted and drawn, and one row of each drawn mark is taken.
+    marks = known.select("lang", "mark").distinct()
+    counts = {r.lang: r["count"] for r in marks.groupBy("lang").count().collect()}
     languages = sorted(counts)
     model = Hierarchy(languages)
     if not languages:
         return model
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])[F.col(lang)]
-    chosen = known.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("bytes"))
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])[F.col("lang")]
+    drawn = known.where(F.pmod("mark", F.lit(1 << 20)) < share * (1 << 20))
+    chosen = drawn.groupBy("lang", "mark").agg(F.min("text").alias("text")).select("lang", F.col("text").cast("binary").alias("bytes"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

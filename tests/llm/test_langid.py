@@ -32,6 +32,21 @@ def test_held_out(spark):
     assert langid.predict(odd.where("false"), model).count() == 0
 
 
+def test_copies_neither_crowd_out_nor_flood_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, sentence("en", 20, rng), "en") for i in range(60)] + [(1000 + i, sentence("xx", 20, rng), "xx") for i in range(60)]
+    for draw in range(2):  # copies of a text, whatever its hash
+        copy = sentence("xx", 20, rng)
+        seen = []
+        monkeypatch.setattr(langid, "fit_machines", lambda x, signs, real=langid.fit_machines: seen.append(len(x)) or real(x, signs))
+        docs = spark.createDataFrame(rows + [(5000 + i, copy, "xx") for i in range(4000)], "doc_id long, text string, lang string")
+        model = langid.fit(docs, F.lit(True), per_language=100)
+        monkeypatch.undo()
+        assert seen == [121] and model.languages == ["en", "xx"]
+        got = langid.predict(docs.where("doc_id < 2000"), model).collect()
+        assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = langid.fit(docs, F.lit(True))
