@@ -62,16 +62,26 @@ def targets(sizes: dict[str, int], weights: Sequence[float] = (3, 1, 2), budget:
     return {k: out[k] for k in keys}
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """One hypergeometric draw by inversion, of counts past numpy's bound; exact but for the far tails' rounding."""
+    low, high, total = max(0, n - bad), min(good, n), good + bad
+    mean = n * good / total
+    reach = 14 * np.sqrt(mean * (bad / total) * ((total - n) / max(1, total - 1))) + 60
+    k = np.arange(max(low, int(mean - reach)), min(high, int(mean + reach)) + 1)
+    a = k[:-1].astype(float)
+    log = np.r_[0.0, np.cumsum(np.log(good - a) + np.log(n - a) - np.log(a + 1) - np.log(bad - n + a + 1))]
+    chance = np.cumsum(np.exp(log - log.max()))
+    return int(k[np.searchsorted(chance, rng.random() * chance[-1], side="right")])
+
+
 def _take(rng: np.random.Generator, pool: np.ndarray, n: int) -> np.ndarray:
-    """A multivariate hypergeometric draw of ``n`` from ``pool``; normal shares where counts pass numpy's bound."""
+    """A multivariate hypergeometric draw of ``n`` from ``pool``."""
     if pool.sum() < 10**9:
         return rng.multivariate_hypergeometric(pool, n, method="marginals")
     out, total = np.zeros_like(pool), int(pool.sum())
     for i, have in enumerate(pool.tolist()):
-        rest = total - have
-        mean, spread = n * have / total, np.sqrt(max(0.0, n * have / total * rest / total * (total - n) / max(1, total - 1)))
-        out[i] = min(have, n, max(0, n - rest, round(rng.normal(mean, spread))))
-        n, total = n - int(out[i]), rest
+        out[i] = _hypergeometric(rng, have, total - have, n) if have and n else 0
+        n, total = n - int(out[i]), total - have
     return out
 
 
@@ -177,37 +187,51 @@ def cut_out(text: str, size: int, drawn: Sequence[tuple[int, int]]) -> str:
     return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs)
 
 
-def drawn_documents(docs: DataFrame, **options) -> DataFrame:
+def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **options) -> DataFrame:
     """The mix itself: a row for each time that a document is drawn, with the words drawn of it.
 
+    Rows lie by shard, and in each shard in the order of their places; ``places`` adds the columns
+    ``shard`` and ``place``. Blocks of a document that fall to several shards make a row in each.
     Columns are those of ``docs``; ``n_chars``, if there, is the new text's length. A document drawn
     in full twice comes out twice. Rows that are equal in id, source and text share their draws.
     """
-    facts, drawn = draws(docs, **options)
+    facts, drawn = draws(docs, shards=shards, **options)
     keyed = facts.select("row", "doc_id", "key", "size", "mark")
-    per = drawn.drop("doc_id").join(keyed, "row").groupBy("doc_id", "key", "mark", "size").agg(F.collect_list(F.struct("row", "epoch", "first", "words")).alias("__drawn"))
+    per = drawn.drop("doc_id").join(keyed, "row").groupBy("doc_id", "key", "mark", "size").agg(F.collect_list(F.struct("row", "epoch", "shard", "place", "first", "words")).alias("__drawn"))
     per = per.select(F.struct("doc_id", "key", "mark").alias("__k"), F.col("size").alias("__size"), "__drawn")
     left = docs.withColumn("__k", F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark"))).dropDuplicates(["__k"])
     names = docs.columns
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "__shard int, __place bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts, sizes, lists = (batch.column(c).to_pylist() for c in ("text", "__size", "__drawn"))
-                at, out = [], []
+                at, out, shard, place = [], [], [], []
                 for i, (text, size, drawn_) in enumerate(zip(texts, sizes, lists)):
-                    times: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                    times: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+                    first: dict[tuple[int, int, int], int] = {}
                     for d in drawn_:
-                        times.setdefault((d["row"], d["epoch"]), []).append((d["first"], d["words"]))
+                        key = d["row"], d["epoch"], d["shard"]
+                        times.setdefault(key, []).append((d["first"], d["words"]))
+                        first[key] = min(first.get(key, d["place"]), d["place"])
                     for key in sorted(times):
                         at.append(i)
                         out.append(cut_out(text, size, times[key]))
+                        shard.append(key[2])
+                        place.append(first[key])
                 new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c).take(pa.array(at, pa.int64())) for c in names], names=names)
-
-    joined = left.join(per, F.equal_null(left["__k"], per["__k"])).select(*[left[f"`{c}`"] for c in names], "__size", "__drawn")
-    return joined.mapInArrow(run, schema)
+                columns = [new[c] if c in new else batch.column(c).take(pa.array(at, pa.int64())) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*names, "__shard", "__place"])
+
+    # A struct is never null, and null fields of two structs are equal.
+    joined = left.join(per, left["__k"] == per["__k"]).select(*[left[f"`{c}`"] for c in names], "__size", "__drawn")
+    # Places are spread evenly, so equal lengths of (shard, place) make equal partitions.
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = (F.col("__shard") + F.col("__place") / F.lit(2.0**64) + 0.5) / shards
+    dealt = joined.mapInArrow(run, schema).repartitionById(n, F.least(F.lit(n - 1), F.floor(share * n).cast("int"))).sortWithinPartitions("__shard", "__place")
+    out = [F.col(f"`{c}`") for c in names if not places or c not in ("shard", "place")]
+    return dealt.select(*out, *[F.col(f"__{c}").alias(c) for c in ("shard", "place") if places])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

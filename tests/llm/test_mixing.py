@@ -56,6 +56,31 @@ def test_shards_hold_disjoint_draws(spark):
     assert len(per_shard) == 6 and np.ptp(per_shard) <= 1
 
 
+def test_documents_lie_by_shard_in_shuffled_order(spark):
+    rows = [(i, f"d{i} " + "w " * (i % 50 + 1), f"s{i % 3}") for i in range(300)] + [(None, "no id " * 30, None), (7, None, "s1"), (500, "long " * 90, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block_words": 60, "cells": 8, "shards": 6}
+    facts, drawn = mixing.draws(docs, **options)
+    want = {}
+    for r in drawn.join(facts.select("row", "source"), "row").collect():
+        want.setdefault((r.doc_id, r.epoch, r.shard), []).append(r)
+    got = mixing.drawn_documents(docs, places=True, **options).collect()
+    assert [(r.shard, r.place) for r in got] == sorted((min(x.shard for x in w), min(x.place for x in w)) for w in want.values())
+    assert sorted((str(r.doc_id), r.shard, len(WORD.findall(r.text))) for r in got) == sorted((str(k[0]), k[2], sum(x.words for x in w)) for k, w in want.items())
+    plain = [r.doc_id for r in mixing.drawn_documents(docs, **options).collect()]
+    assert plain == [r.doc_id for r in got] and None in plain
+    assert sum(a == b for a, b in zip(plain, plain[1:])) < 10
+
+
+def test_large_pools_are_drawn_exactly():
+    rng = np.random.default_rng(4)
+    small = [mixing._hypergeometric(rng, 30, 20, 10) for _ in range(4000)]
+    assert abs(np.mean(small) - 6) < 0.1 and abs(np.var(small) - 10 * 0.6 * 0.4 * 40 / 49) < 0.2
+    assert mixing._hypergeometric(rng, 5, 0, 5) == 5 and mixing._hypergeometric(rng, 0, 9, 4) == 0
+    split = mixing.shard_quotas([3 * 10**9, 10, 0, 10**9], 4, 5)
+    assert split.sum(axis=0).tolist() == [3 * 10**9, 10, 0, 10**9] and np.ptp(split.sum(axis=1)) <= 1
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).count() == 0
