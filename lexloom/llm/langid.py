@@ -103,8 +103,8 @@ class Hierarchy:
             out[lang == i, k], out[lang == j, k] = 1, -1
         return out
 
-    def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language and score of each row of margins."""
+    def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score and least score (the family's times the closest rival's only) of each row of margins."""
         sure = 1 / (1 + np.exp(-2 * np.clip(margins, -30, 30)))
         n, rows = len(self.families), np.arange(len(margins))
         family = margins[:, :n].argmax(axis=1)
@@ -117,10 +117,11 @@ class Hierarchy:
             lean = sure[:, k]
             votes[:, i] += (lean >= 0.5) + 1e-3 * lean
             votes[:, j] += (lean < 0.5) + 1e-3 * (1 - lean)
-        lang = votes.argmax(axis=1)
+        lang, alone, closest = votes.argmax(axis=1), score, np.ones(len(margins))
         for k, (i, j) in enumerate(self.pairs, n):
-            score = np.where(lang == i, score * sure[:, k], np.where(lang == j, score * (1 - sure[:, k]), score))
-        return lang, score
+            won = np.where(lang == i, sure[:, k], np.where(lang == j, 1 - sure[:, k], 1))
+            score, closest = score * won, np.minimum(closest, won)
+        return lang, score, alone * closest
 
 
 def fit_machines(x: np.ndarray, signs: np.ndarray, l2: float = 1e-3, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +184,11 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     return model
 
 
-def predict(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``."""
-    new = ["lang_pred", "score"]
+def predict(docs: DataFrame, model: Hierarchy, text: str = "text", closest: bool = False) -> DataFrame:
+    """Add ``lang_pred`` and ``score``; with ``closest``, also the score by the family and the closest rival alone."""
+    new = ["lang_pred", "score", *["closest"] * closest]
     kept = [c for c in docs.columns if c not in new]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double", *["closest double"] * closest])
     languages, weights, bias = model.languages, model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
         names = np.array([*languages, "und"], dtype=object)
         for whole in batches:
             for batch in slices(whole, "__text", 1 << 20):
-                lang, score = np.full(batch.num_rows, len(languages)), np.zeros(batch.num_rows)
+                lang, score, near = np.full(batch.num_rows, len(languages)), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
                 letters = np.array([has_letter(t.as_py() or "") for t in batch.column("__text")], dtype=bool)
                 if languages and letters.any():
                     bucket, ends = trigrams(*flat(batch.column("__text")))
@@ -204,9 +205,10 @@ def predict(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
                     some = np.flatnonzero(sizes)
                     if len(some):
                         margins[some] += np.add.reduceat(weights[bucket], ends[:-1][some], axis=0) / sizes[some, None]
-                    found, sure = mine.decide(margins)
-                    lang, score = np.where(letters, found, lang), np.where(letters, sure, 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names[lang].tolist(), pa.string()), pa.array(score)], names=[*kept, *new])
+                    found, sure, least = mine.decide(margins)
+                    lang, score, near = np.where(letters, found, lang), np.where(letters, sure, 0.0), np.where(letters, least, 0.0)
+                added = [pa.array(names[lang].tolist(), pa.string()), pa.array(score), *[pa.array(near)] * closest]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added], names=[*kept, *new])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 

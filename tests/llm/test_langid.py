@@ -47,6 +47,16 @@ def test_copies_neither_crowd_out_nor_flood_the_sample(spark, monkeypatch):
         assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
 
 
+def test_closest_rival_does_not_sink_with_languages():
+    for languages in (["de", "en"], ["da", "de", "en", "nl", "sv", "no"]):
+        model = langid.Hierarchy(languages)
+        lean = np.log(0.65 / 0.35) / 2  # each machine of "de" is 65 % sure
+        margins = np.array([[1.0, *(lean if languages[i] == "de" else -lean if languages[j] == "de" else 0.0 for i, j in model.pairs)]])
+        lang, score, closest = model.decide(margins)
+        assert languages[lang[0]] == "de" and abs(closest[0] - 0.65) < 1e-9
+        assert abs(score[0] - 0.65 ** (len(languages) - 1)) < 1e-9
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = langid.fit(docs, F.lit(True))
