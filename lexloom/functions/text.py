@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Chinese numerals, heading, list and noise patterns of the corpus format.
-DIGITS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-UNITS = {"十": 10, "百": 100, "千": 1000}
-NUMERAL = "[零一二三四五六七八九十百千]"
-ARTICLE_REF = f"第{NUMERAL}+条"
-LIST_MARKER = r"^\s*(?:[（(][一二三四五六七八九十百千\d]+[）)]|[①-⑳]|[一二三四五六七八九十]+[、.]|\d+[.．、])"
-LINE_PUNCTUATION = r"[，。；、：！？（）《》〈〉“”‘’,.!?;:()\[\]{}<>]"
-LINE_NOISE = r"^\d{4}/\d{1,2}/\d{1,2}\s+\d{1,2}:\d{2}|中国政府网|gov\.cn|网站标识码|^\d{1,3}\s*/\s*\d{1,3}$|^\d+$|^/$|^_+$|^https?://"
-BLOCK_HEAD = r"^第[一-鿿]+[章节](?=\s|$)|^第[一-鿿]+条(?=\s|$)|^附\s?则$"
-LOCAL_MARKS = "省|市|自治区|经济特区"
-NATION = "中华人民共和国"
+from lexloom.functions.fixed import ANSWER_MARK, ARTICLE_REF, BLOCK_HEAD, CITED_LABEL, DIGITS, FILE_DATE, LINE_NOISE, LINE_PUNCTUATION, LIST_MARKER, LOCAL_MARKS, NATION, NUMERAL, UNITS  # noqa: F401
 
 
 def u_trim(text: Column) -> Column:
@@ -45,11 +35,11 @@ def question_key(text: Column) -> Column:
 
 
 def file_law_name(stem: Column) -> Column:
-    return F.regexp_replace(stem, r"_(\d{4})(\d{2})(\d{2})$", "")
+    return F.regexp_replace(stem, FILE_DATE, "")
 
 
 def file_version(stem: Column) -> Column:
-    parts = [F.regexp_extract(stem, r"_(\d{4})(\d{2})(\d{2})$", i) for i in (1, 2, 3)]
+    parts = [F.regexp_extract(stem, FILE_DATE, i) for i in (1, 2, 3)]
     return F.when(parts[0] == "", "unknown").otherwise(F.concat_ws("-", *parts))
 
 
@@ -125,7 +115,7 @@ def citation(law: Column, version: Column, article: Column | None = None) -> Col
 
 def cited_labels(text: Column) -> Column:
     """Ordered distinct numbers of [依据N], either bracket."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\[【]依据\s*(\d+)[\]】]"), F.lit(1)), lambda x: x.cast("int")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITED_LABEL), F.lit(1)), lambda x: x.cast("int")))
 
 
 def tolerant_boolean(text: Column) -> Column:
@@ -172,6 +162,6 @@ def round_half_up(value: Column, places: int = 6) -> Column:
 
 def segments(answer: Column) -> Column:
     """An answer as ordered plain and reference parts; mismatched brackets are plain."""
-    marks = r"\[(?:依据|时效|材料)\s*\d+\]|【(?:依据|时效|材料)\s*\d+】"
+    marks = ANSWER_MARK
     parts = F.regexp_extract_all(answer, F.lit(rf"(?s){marks}|.+?(?={marks}|$)"), F.lit(0))
     return F.transform(parts, lambda p: F.struct(F.when(p.rlike(f"^(?:{marks})$"), "ref").otherwise("text").alias("kind"), p.alias("text")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.functions import fixed
 from lexloom.functions import text as T
 
 
@@ -74,7 +75,7 @@ def long_parts(text: Column, least: int = 500, end: str = "[。；]") -> Column:
 def kind_of(text: Column, many: bool = False) -> Column:
     """chapter, section, article or other. Chapter and section numbers have one character unless ``many``."""
     n = T.NUMERAL + ("+" if many else "")
-    return F.when(text.rlike(rf"(?s)^第{n}章[\s　]*[^\n]*$"), "chapter").when(text.rlike(rf"^第{n}节[\s　]*[^\n]*$"), "section").when(text.rlike(rf"(?s)^第{T.NUMERAL}+条(?:[\s　]*.*)?$"), "article").otherwise("other")
+    return F.when(text.rlike(fixed.CHAPTER_LINE.format(n=n)), "chapter").when(text.rlike(fixed.SECTION_LINE.format(n=n)), "section").when(text.rlike(fixed.ARTICLE_LINE), "article").otherwise("other")
 
 
 def parsed(paragraphs: DataFrame, many: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -89,13 +90,13 @@ def parsed(paragraphs: DataFrame, many: bool = False) -> tuple[DataFrame, DataFr
     order = W.partitionBy("doc").orderBy("pos")
     so_far, whole = order.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("doc")
     t = paragraphs.withColumn("text", T.clean(F.col("text"))).where("text <> ''").withColumn("kind", kind_of(F.col("text"), many))
-    t = t.withColumn("i", F.row_number().over(order)).withColumn("toc", F.min(F.when(F.col("text").rlike(r"^目\s*录$"), F.col("i"))).over(whole))
+    t = t.withColumn("i", F.row_number().over(order)).withColumn("toc", F.min(F.when(F.col("text").rlike(fixed.CONTENTS_LINE), F.col("i"))).over(whole))
     after = (F.col("i") > F.col("toc")) & ~F.col("kind").isin("chapter", "section")
     t = t.withColumn("toc_end", F.coalesce(F.min(F.when(after, F.col("i"))).over(whole) - 1, F.col("toc"), F.lit(0)))
     t = t.withColumn("first_article", F.min(F.when((F.col("kind") == "article") & (F.col("i") > F.col("toc_end")), F.col("i"))).over(whole))
     in_front = (F.col("kind") == "chapter") & (F.col("i") <= F.col("first_article")) & (F.col("i") > F.coalesce("toc", F.lit(0)))
     t = t.withColumn("body", F.coalesce(F.max(F.when(in_front, F.col("i"))).over(whole), F.col("first_article"), F.when(F.col("toc").isNull(), 1)))
-    t = t.withColumn("shown", F.concat_ws(" ", F.regexp_extract("text", "^第.+?[章节]", 0), F.nullif(T.squeeze(F.regexp_replace("text", "^第.+?[章节]", "")), F.lit(""))))
+    t = t.withColumn("shown", F.concat_ws(" ", F.regexp_extract("text", fixed.HEAD_MARK, 0), F.nullif(T.squeeze(F.regexp_replace("text", fixed.HEAD_MARK, "")), F.lit(""))))
     b = t.where("i >= body")
     b = b.withColumn("chapter", F.last(F.when(F.col("kind") == "chapter", F.col("shown")), True).over(so_far))
     b = b.withColumn("chapter_no", F.count(F.when(F.col("kind") == "chapter", 1)).over(so_far))

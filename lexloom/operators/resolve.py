@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.functions import fixed
 from lexloom.functions import text as T
 
 
@@ -84,11 +85,11 @@ def located(questions: DataFrame, key: str, laws: DataFrame, articles: DataFrame
     article come back; the others go on to retrieval.
     """
     no = F.coalesce(
-        F.nullif(F.regexp_extract("text", rf"第\s*({T.NUMERAL}+)\s*条", 1), F.lit("")),
-        F.nullif(F.regexp_extract("text", r"第\s*(\d{1,4})\s*条", 1), F.lit("")),
+        F.nullif(F.regexp_extract("text", fixed.ASKED_NUMERAL, 1), F.lit("")),
+        F.nullif(F.regexp_extract("text", fixed.ASKED_NUMBER, 1), F.lit("")),
     )
     asked = questions.select(key, "text", T.article_number(no).alias("no")).where("no is not null")
-    named = asked.select(key, F.explode(F.regexp_extract_all("text", F.lit("《([^》]{2,80})》"), F.lit(1))).alias("name"))
+    named = asked.select(key, F.explode(F.regexp_extract_all("text", F.lit(fixed.TITLE), F.lit(1))).alias("name"))
     bracketed = resolved(named.withColumn("name", T.u_trim(F.col("name"))), laws.select(F.col("law").alias("id"), "name", F.monotonically_increasing_id().alias("pos")), key).where("id is not null").select(key, F.col("id").alias("law"), F.lit(1).alias("tier"))
     inside = asked.join(laws, F.contains(F.col("text"), F.col("name"))).select(key, "law", F.instr("text", F.col("name")).alias("low"), (F.instr("text", F.col("name")) + F.length("name")).alias("high"))
     spans = outermost(inside, [key]).select(key, "law", F.lit(2).alias("tier"))
@@ -113,7 +114,7 @@ def scope(laws: DataFrame, region: str | None) -> DataFrame | None:
 
 def cross_law(articles: DataFrame, laws: DataFrame) -> DataFrame:
     """Articles that name another law in 《》."""
-    named = articles.select("article_id", "law", F.explode(F.regexp_extract_all("text", F.lit("《([^》]{2,80})》"), F.lit(1))).alias("name"))
+    named = articles.select("article_id", "law", F.explode(F.regexp_extract_all("text", F.lit(fixed.TITLE), F.lit(1))).alias("name"))
     known = laws.select(F.col("law").alias("id"), "name", F.monotonically_increasing_id().alias("pos"))
     hit = resolved(named, known, "article_id").where("id is not null").select("article_id", F.col("id").alias("other"))
     return articles.join(hit, (articles.article_id == hit.article_id) & (articles.law != hit.other), "left_semi")

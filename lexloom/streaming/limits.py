@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    """Streams checkpoint in the shared folder that the session names; without one (tests) in a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-")
+    """Streams checkpoint in the shared folder that the session names; without one, in the warehouse, which is shared too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexloom-streams"
     return f"{base}/stream/{uuid.uuid4().hex}"
 
 
