@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,17 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; the warehouse where none is set."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if folder is None:
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lexloom-")
+        folder = current.get() if current.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/lexloom-shared"
     if not current.isDefined():
         context.setCheckpointDir(folder)
+        _delete_at_end(spark, context._jsc.sc().getCheckpointDir().get())
     return folder
 
 
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of our own when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table that a loop rewrites."""
     shared_folder(df.sparkSession)
@@ -37,10 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again."""
+    """Write ``df`` as Parquet in the shared folder and read it again; it goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lexloom/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/lexloom/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_end(spark, folder)  # a folder is marked only where it exists
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,17 +99,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: ``(id, root)`` for each end of ``edges(a, b)``.
 
     Alternates large-star and small-star steps: each node hands its neighbours to its smallest
     neighbour, until the graph is a star per component whose centre is the smallest id. A step
     is two partial aggregations and a join, so that a hub's neighbours are never in one task
-    (adaptive execution splits the join); the lineage is cut after each round.
+    (adaptive execution splits the join); the lineage is cut after each round. The rounds end
+    when every edge's lower end is a centre: it leads nowhere, and its upper end leads only there.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    for _ in range(most_rounds):
+    while True:
+        ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("leads"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("id").agg(F.sum("leads").alias("leads"), F.max("centre").alias("centre")).where("leads + centre > 1")
+        if open_.isEmpty():
+            roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+            return roots.union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -109,9 +122,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == before:
-            roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-            return roots.union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-        before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

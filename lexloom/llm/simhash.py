@@ -12,11 +12,12 @@ Equal fingerprints are one node, so copies cost one row. Each fingerprint goes t
 its value in each part (threshold 0), or is also probed to all values within t_i bits of it.
 A bucket is searched breadth first: each fingerprint taken up is compared with those that are
 not yet reached, in one vector operation, and only the links of a spanning forest leave the
-task. A bucket with more than ``most_in_bucket`` fingerprints is not sent to one task: there,
-every fingerprint names all values one bit and two bits from it; fingerprints that share a
-one-bit value are linked to its smallest one, and so are those that have it at two bits. Two
-fingerprints three bits apart always share such a value, those that do are never more than three
-apart, and the rows grow in proportion to the bucket. Components come from star contraction
+task. Before that, a bucket that is more than ``in_task`` fingerprints is cut by the same
+principle once more: of its bits outside the part, cut into tau + 1 fields, two that link agree
+in one at least, so each fingerprint goes to the finer bucket of each field, level by level,
+until every bucket fits a task. Each level fixes more bits, and few distinct fingerprints are
+left to a bucket whose bits are fixed, so the levels end. Links are the same at every
+``in_task``. Components come from star contraction
 (:func:`lexloom.llm.common.components`).
 
 Edge cases: a null text and one without words have fingerprint zero and link like any other.
@@ -160,15 +161,15 @@ def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_links(parts: list[tuple[list[int], int]], tau: int):
+def _bucket_links(tau: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; small buckets are compared at growing lags, large ones searched."""
         held: list[pa.RecordBatch] = []
 
         def settle(lot: pa.Table) -> pa.RecordBatch:
-            part, key = lot.column("part").to_numpy(), lot.column("key").to_numpy()
+            part, fixed, key = (lot.column(c).to_numpy() for c in ("part", "fixed", "key"))
             fp = lot.column("fp").to_numpy().view(np.uint64)
-            first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
+            first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (fixed[1:] != fixed[:-1]) | (key[1:] != key[:-1])])
             sizes = np.diff(np.r_[first, len(fp)])
             a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             small = np.repeat(sizes <= 24, sizes)
@@ -193,8 +194,8 @@ def _bucket_links(parts: list[tuple[list[int], int]], tau: int):
             held.append(batch)
             if sum(x.num_rows for x in held) >= 65536:
                 lot = pa.Table.from_batches(held)
-                part, key = lot.column("part").to_numpy(), lot.column("key").to_numpy()
-                other = np.flatnonzero((part != part[-1]) | (key != key[-1]))
+                part, fixed, key = (lot.column(c).to_numpy() for c in ("part", "fixed", "key"))
+                other = np.flatnonzero((part != part[-1]) | (fixed != fixed[-1]) | (key != key[-1]))
                 if len(other):
                     yield settle(lot.slice(0, other[-1] + 1))
                     held = lot.slice(other[-1] + 1).to_batches()
@@ -204,67 +205,70 @@ def _bucket_links(parts: list[tuple[list[int], int]], tau: int):
     return run
 
 
-def links(nodes: DataFrame, tau: int = 3, most_in_bucket: int = 16_384, sample: int = 2048) -> DataFrame:
+def fields(fixed: int, count: int) -> list[np.uint64]:
+    """The bits that are not set in ``fixed``, as ``count`` masks of near-equal numbers of them."""
+    bits = [b for b in range(64) if not fixed >> b & 1]
+    return [full(bits[i * len(bits) // count : (i + 1) * len(bits) // count]) for i in range(count)]
+
+
+def _finer(tau: int):
+    """Each row of a large bucket goes to the finer bucket of each field of its free bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, fixed, key, fp = (batch.column(c).to_numpy() for c in ("part", "fixed", "key", "fp"))
+            fixed, key, fp = fixed.view(np.uint64), key.view(np.uint64), fp.view(np.uint64)
+            for mask in np.unique(fixed):
+                here = fixed == mask
+                for m in fields(int(mask), tau + 1):
+                    wider = np.full(int(here.sum()), mask | m)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[here].view(np.int64), part[here], wider.view(np.int64), (key[here] | (fp[here] & m)).view(np.int64))], names=["fp", "part", "fixed", "key"])
+
+    return run
+
+
+def links(nodes: DataFrame, tau: int = 3, in_task: int = 16_384, sample: int = 2048) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``nodes(fp)`` that connect all within ``tau`` bits."""
-    if tau > 3:
-        raise ValueError("buckets past most_in_bucket are split for tau up to 3")
     rows = nodes.count()
     taken = nodes.orderBy(F.xxhash64("fp")).limit(sample).collect()
     parts = plan(np.array([r.fp for r in taken], dtype=np.int64).view(np.uint64), rows, tau)
+    where = ["part", "fixed", "key"]
 
     def buckets(i: int, part: list[int], t: int):
         whole = int(full(part).astype(np.int64))
         flips = F.array(*[F.lit(int(m)) for m in masks(part, t).view(np.int64)])
-        return F.transform(flips, lambda m: F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseXOR(m).bitwiseAND(F.lit(whole)).alias("key")))
+        return F.transform(flips, lambda m: F.struct(F.lit(i).alias("part"), F.lit(whole).alias("fixed"), F.col("fp").bitwiseXOR(m).bitwiseAND(F.lit(whole)).alias("key")))
 
     columns = [buckets(i, part, t) for i, (part, t) in enumerate(parts)]
-    probes = nodes.select("fp", F.explode(F.concat(*columns)).alias("at")).select("fp", "at.part", "at.key")
     # A pair meets wherever both probe to; with threshold t both sides flip up to t bits, which also
     # finds pairs up to 2 t apart in the part. They are verified on all bits.
-    hot = written(probes.groupBy("part", "key").count().where(F.col("count") > most_in_bucket).select("part", "key"))
-    cool = probes.join(hot, ["part", "key"], "left_anti")
+    probes = nodes.select("fp", F.explode(F.concat(*columns)).alias("at")).select("fp", "at.*")
     n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = cool.repartition(n, "part", "key").sortWithinPartitions("part", "key").mapInArrow(_bucket_links(parts, tau), "a long, b long")
-    if hot.isEmpty():
-        return found
-    two = masks(list(range(64)), 2)
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Values within two bits of a fingerprint that are outside the bucket's part, which all of it share."""
-        inside = [full(part) if t == 0 else np.uint64(0) for part, t in parts]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                for fp, part, key in zip(batch.column("fp").to_pylist(), batch.column("part").to_pylist(), batch.column("key").to_pylist()):
-                    flips = two[(two & inside[part]) == 0]
-                    value = np.array([fp], dtype=np.int64).view(np.uint64) ^ flips
-                    n = len(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, fp)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, key)), pa.array(value.view(np.int64)), pa.array(np.bitwise_count(flips) <= min(1, tau))], names=["fp", "part", "key", "value", "close"])
-
-    reach = 1 if tau == 2 else 2  # how far the far side looks; tau 1 and 0 need the value itself only
-    rows_around = probes.join(hot, ["part", "key"], "left_semi").select("fp", "part", "key").mapInArrow(around, "fp long, part int, key long, value long, close boolean")
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("value")))
-    near_side = rows_around.where(apart <= (1 if tau >= 2 else 0))
-    far_side = rows_around.where(apart <= (reach if tau >= 2 else tau))
-    hub = near_side.groupBy("part", "key", "value").agg(F.min("fp").alias("hub"))
-    through = far_side.join(hub, ["part", "key", "value"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    return found.unionByName(through)
-
-
-def _named(nodes: DataFrame, tau: int, most_in_bucket: int) -> DataFrame:
+    found = None
+    while True:
+        # A bucket with no more than tau free bits isn't cut: few distinct fingerprints are left to it.
+        large = written(probes.groupBy(*where).count().where((F.col("count") > in_task) & (F.bit_count("fixed") < 64 - tau)).select(*where))
+        part = probes.join(large, where, "left_anti").repartition(n, *where).sortWithinPartitions(*where).mapInArrow(_bucket_links(tau), "a long, b long")
+        found = part if found is None else found.unionByName(part)
+        if large.isEmpty():
+            return found
+        probes = written(probes.join(large, where, "left_semi").select("fp", *where).mapInArrow(_finer(tau), "fp long, part int, fixed long, key long").distinct())
+
+
+def _named(nodes: DataFrame, tau: int, in_task: int) -> DataFrame:
     """``nodes`` with ``root``, a fingerprint that names the component."""
-    edges = written(links(nodes.select("fp"), tau, most_in_bucket).distinct())
+    edges = written(links(nodes.select("fp"), tau, in_task).distinct())
     roots = components(edges)
     return nodes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 5, tau: int = 3, most_in_bucket: int = 16_384) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 5, tau: int = 3, in_task: int = 16_384) -> DataFrame:
     """Each row's ``doc_id``, ``fp`` and ``component_id``, the smallest id that links reach from it.
 
     The default takes five words; op9's contract asks for three.
     """
     marked = written(fingerprints(docs.select("doc_id", text), text, shingle))
-    named = _named(written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))), tau, most_in_bucket)
+    named = _named(written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))), tau, in_task)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     per_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(per_fp, "fp").select("doc_id", "fp", "component_id")
@@ -288,8 +292,8 @@ def first_of_each(docs: DataFrame, rooted: DataFrame, text: str = "text") -> Dat
     return found.groupBy(keep["root"]).agg(F.min(row).alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
-def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, tau: int = 3, most_in_bucket: int = 16_384) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, tau: int = 3, in_task: int = 16_384) -> DataFrame:
     """One row of each component: that with the smallest id (null last), and of equal ids the first text."""
     marked = written(fingerprints(docs.select("doc_id", F.xxhash64(text).alias("mark"), F.col(f"`{text}`").alias("__text")), "__text", shingle))
-    named = _named(written(marked.select("fp").distinct()), tau, most_in_bucket)
+    named = _named(written(marked.select("fp").distinct()), tau, in_task)
     return first_of_each(docs, marked.join(named, "fp").select("doc_id", "mark", "root"), text)

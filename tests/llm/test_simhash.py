@@ -48,11 +48,11 @@ def corpus(seed):
     return texts + [texts[0], texts[0].upper(), None, "", " \t\n", "one", "one two", "x " * 5000, "a　b c"]
 
 
-@pytest.mark.parametrize("seed,most", [(1, 16_384), (2, 8)])
+@pytest.mark.parametrize("seed,most", [(1, 16_384), (2, 8), (3, 4)])
 def test_against_brute_force(spark, seed, most):
     texts = corpus(seed)
     docs = spark.createDataFrame([(1000 - i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, fp string")
-    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs, shingle=3, most_in_bucket=most).collect()}
+    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs, shingle=3, in_task=most).collect()}
     fps = [brute_fp(t, 3) for t in texts]
     want = brute_components(fps, [1000 - i for i in range(len(texts))])
     for i in range(len(texts)):
@@ -84,6 +84,19 @@ def test_forest_connects():
     assert len(edges) == len(fps) - len(set(want))
 
 
+def test_a_large_bucket_is_cut_and_loses_no_link(spark):
+    rng = np.random.default_rng(9)
+    flips = (np.uint64(1) << rng.integers(0, 40, (600, 4)).astype(np.uint64)) * (rng.random((600, 4)) < 0.6)
+    fps = np.unique(np.bitwise_xor.reduce(flips, axis=1) ^ np.uint64(0xDEADBEEF << 24))
+    ids = list(range(len(fps)))
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    want = brute_components([int(x) for x in fps], ids)
+    for tau, in_task in ((3, 5), (3, 100), (3, 16_384)):
+        root = {int(r.id) & (2**64 - 1): r.root for r in components(simhash.links(nodes, tau, in_task)).collect()}
+        got = [root.get(int(x), int(x.view(np.int64))) for x in fps]
+        assert len({*zip(got, want)}) == len({*got}) == len({*want})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
