@@ -18,11 +18,17 @@ Plan.
    bytes are fetched and range-partitioned by the leading bytes of the suffixes, with splitters
    that Spark samples. Each bucket sorts its suffixes, and the reversed bytes before them, by
    multikey quicksort on eight-byte symbols. Longest common prefixes of neighbours in both
-   orders tell which windows two suffixes share.
-4. A gram with more classes than ``most_classes`` may span many buckets: there each window of
-   each class is emitted by its hash instead and counted globally, which compares across all
-   boundaries; other grams never straddle one, as equal leading bytes share a bucket.
-5. Spans of windows go back to their documents by key, and each document is cut.
+   orders tell which windows two suffixes share. Equal leading bytes share a bucket, so suffixes
+   that are to be compared never straddle a boundary.
+4. Suffixes that are compared together are those of one gram, unless these are more than
+   ``in_task``. Then the distances at which their windows begin are halved, and each half needs
+   more equal bytes on either side: suffixes go to a finer group by those bytes, level by level,
+   until a group fits a task or is one distance, where it is one window and needs no comparison.
+   What is found is the same at every ``in_task``.
+5. Spans of windows go back to their documents by key, each distinct one once (so a document's
+   list is in proportion to its text), and each document is cut.
+
+Texts are read in stretches of ``stretch`` bytes with the margins that their windows need.
 
 Edge cases: null text is empty. Repeated rows are documents of their own, so their windows
 repeat. Ids may be null or repeat. Old columns that clash with new ones are replaced. Very long
@@ -76,12 +82,10 @@ def range_hashes(grams: np.ndarray, low: np.ndarray, high: np.ndarray, gram: int
     return out
 
 
-def pick_suffixes(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def _pick(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(document, suffix start, first and last window start, gram hash, surroundings' hash); starts count from the document's."""
     width, empty = length - gram + 1, np.zeros(0, np.int64)
-    if len(raw) < length or len(raw) >= 1 << 32:
-        if len(raw) >= 1 << 32:
-            raise ValueError("a text of 4 GB or more")
+    if len(raw) < length:
         return empty, empty, empty, empty, empty, empty
     grams = gram_hashes(raw, gram)
     keys = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
@@ -102,6 +106,25 @@ def pick_suffixes(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram:
     return doc, a - ends[doc], window[first] - ends[doc], window[last] - ends[doc], grams[a].view(np.int64), around.view(np.int64)
 
 
+def pick_suffixes(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, stretch: int = 1 << 22) -> tuple[np.ndarray, ...]:
+    """As :func:`_pick`; a text alone is taken in stretches of windows, so that scratch arrays stay small."""
+    if len(ends) != 2 or len(raw) <= stretch + 2 * length:
+        return _pick(raw, ends, length, gram)
+    lots: list[tuple[np.ndarray, ...]] = []
+    for w in range(0, len(raw) - length + 1, stretch):
+        last = min(w + stretch, len(raw) - length + 1) - 1
+        low, high = max(0, w - length), min(len(raw), last + 2 * length)
+        doc, a, first, to, grams, around = _pick(raw[low:high], np.array([0, high - low]), length, gram)
+        first, to = np.maximum(first + low, w), np.minimum(to + low, last)
+        here = first <= to
+        lot = [x[here] for x in (doc, a + low, first, to, grams, around)]
+        if lots and len(lots[-1][1]) and len(lot[1]) and lots[-1][1][-1] == lot[1][0]:  # picked on both sides of the border
+            lot[2][0] = lots[-1][2][-1]
+            lots[-1] = tuple(x[:-1] for x in lots[-1])
+        lots.append(tuple(lot))
+    return tuple(np.concatenate(x) for x in zip(*lots))
+
+
 def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``symbols`` (unsigned, most significant first), and how many leading symbols each shares with its predecessor in it.
 
@@ -127,10 +150,11 @@ def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def _symbols(bytes_: np.ndarray) -> np.ndarray:
+def _symbols(bytes_: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Symbols of eight bytes; a last one of the length puts what ends before what goes on with NULs."""
     pad = -bytes_.shape[1] % 8
     wide = np.ascontiguousarray(np.pad(bytes_, ((0, 0), (0, pad))))
-    return wide.view(">u8").astype(np.uint64)
+    return np.c_[wide.view(">u8").astype(np.uint64), lengths.astype(np.uint64)]
 
 
 def _common(order: np.ndarray, bytes_: np.ndarray, lengths: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -156,9 +180,9 @@ def shared_windows(before: np.ndarray, n_before: np.ndarray, after: np.ndarray,
     hit = np.zeros((n, width), dtype=bool)
     if n < 2:
         return hit
-    right, shared = multikey_order(_symbols(after))
+    right, shared = multikey_order(_symbols(after, n_after))
     right_common = _common(right, after, n_after, shared)
-    left, shared = multikey_order(_symbols(before))
+    left, shared = multikey_order(_symbols(before, n_before))
     left_common = _common(left, before, n_before, shared)
     right_class, left_class = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for d in range(int(near.min()), min(int(far.max()), width - 1) + 1):
@@ -180,22 +204,24 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes: int = 20_000) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
     """Rows ``(id, mark, low, high)``: bytes [low, high) of a document to remove, in parts that may overlap.
 
     ``docs`` has ``id`` (non-null long), ``mark`` (a hash of the row) and ``bytes``.
     """
     width = length - gram + 1
+    if not 1 <= width <= 1 << 16:
+        raise ValueError("length - gram must be 0 to 65535")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "bytes", 1 << 20):
                 doc, a, low, high, g, c = pick_suffixes(*flat(batch.column("bytes")), length, gram)
                 doc = pa.array(doc)
-                where = (a << 16) | ((a - high) << 8) | (a - low)
+                where = (a << 32) | ((a - high) << 16) | (a - low)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(doc), batch.column("mark").take(doc), pa.array(where), pa.array(g), pa.array(c)], names=["id", "mark", "place", "gram", "around"])
 
-    # place: the suffix's start, and how far before it its last and its first window begin (a byte each: width <= 256).
+    # place: the suffix's start, and how far before it its last and its first window begin (two bytes each).
     picked = written(docs.select("id", "mark", "bytes").mapInArrow(pick, "id long, mark long, place long, gram long, around long"))
     # Written, so that both sides of the join are plain exchanges and a hot gram can be split.
     often = written(picked.groupBy("gram").count().where("count > 1").select("gram"))
@@ -204,11 +230,12 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes:
 
     classes = written(tied.groupBy("gram", "around").agg(F.count("*").alias("members"), F.min(F.struct("id", "mark", "place")).alias("one")))
     certain = tied.join(classes.where("members > 1").select("gram", "around"), ["gram", "around"], "left_semi")
-    start, near, far = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
+    start, near, far = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(F.lit(65535)), F.col("place").bitwiseAND(F.lit(65535))
     sure = certain.select("id", "mark", (start - far).alias("low"), (start - near + length).alias("high"))
 
-    several = classes.groupBy("gram").count().where("count > 1")
-    asked = classes.join(several, "gram").select("gram", "around", "members", "one.*", (F.col("count") > most_classes).alias("hot"))
+    # Written, so that a gram of many classes can be split in the join.
+    several = written(classes.groupBy("gram").count().where("count > 1").select("gram", (F.col("count") > in_task).alias("hot")))
+    asked = classes.join(several, "gram").select("gram", "around", "members", "one.*", "hot")
     wanted = asked.groupBy("id", "mark").agg(F.collect_list(F.struct("gram", "around", "members", "place", "hot")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +246,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes:
             doc = np.repeat(np.arange(batch.num_rows), [len(v) for v in lists])
             rows = lists.flatten()
             fields = {name: rows.field(i) for i, name in enumerate(names[:5])}
-            a = (fields["place"].to_numpy() >> 16) + ends[doc]
+            a = (fields["place"].to_numpy() >> 32) + ends[doc]
             low, high = np.maximum(a - (width - 1), ends[doc]), np.minimum(a + length, ends[doc + 1])
             cut_out = [raw[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist())]
             lead = [raw[x : x + gram].tobytes() for x in a.tolist()]
@@ -238,14 +265,16 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes:
         before = np.where(columns < nb[:, None], padded[np.where(columns < nb[:, None], (ends[:-1] + nb)[:, None] - 1 - columns, 0)], 0) if n else np.zeros((0, width - 1), np.uint8)
         columns = np.arange(length)
         after = np.where(columns < na[:, None], padded[np.where(columns < na[:, None], (ends[:-1] + nb)[:, None] + columns, 0)], 0) if n else np.zeros((0, length), np.uint8)
-        return before.astype(np.uint8), nb, after.astype(np.uint8), na, (place >> 8) & 255, place & 255
+        return before.astype(np.uint8), nb, after.astype(np.uint8), na, (place >> 16) & 65535, place & 65535
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A bucket, in the order of leading bytes: grams are compared in lots of some thousand suffixes."""
+        """A bucket, in the order of leading bytes: groups are compared in lots of some thousand suffixes."""
         held: list[pa.RecordBatch] = []
 
         def settle(lot: pa.Table) -> pa.RecordBatch:
-            hit = shared_windows(*matrices(lot), length)
+            *sides, near_, far_ = matrices(lot)
+            near_, far_ = np.maximum(near_, lot.column("nearest").to_numpy()), np.minimum(far_, lot.column("farthest").to_numpy())
+            hit = shared_windows(*sides, near_, far_, length)
             hit &= (lot.column("members").to_numpy() == 1)[:, None]
             row, first, last = _runs(hit)
             take = pa.array(row)
@@ -255,36 +284,54 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes:
             held.append(batch)
             if sum(b.num_rows for b in held) >= 4096:
                 lot = pa.Table.from_batches(held)
-                gram_ids = lot.column("gram").to_numpy()
-                other = np.flatnonzero(gram_ids != gram_ids[-1])
-                if len(other):  # the last gram may go on in the next batch
+                group = lot.column("group").to_numpy()
+                other = np.flatnonzero(group != group[-1])
+                if len(other):  # the last group may go on in the next batch
                     yield settle(lot.slice(0, other[-1] + 1))
                     held = lot.slice(other[-1] + 1).to_batches()
         if held and sum(b.num_rows for b in held):
             yield settle(pa.Table.from_batches(held))
 
-    bucket = fetched.where("not hot").drop("hot")
     buckets = max(1, int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = bucket.repartitionByRange(buckets, "lead").sortWithinPartitions("lead", "gram").mapInArrow(compare, "gram long, around long, first long, last long")
+    result = "gram long, around long, first long, last long"
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange(buckets, "lead", "group").sortWithinPartitions("lead", "group").mapInArrow(compare, result)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["gram", "around", "members", "place", "lead", "n_before", "bytes", "group", "nearest", "farthest"]
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row in the finer groups of both halves of its group's distances [nearest, farthest]."""
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for batch in (whole.slice(at, 2048) for at in range(0, whole.num_rows, 2048)):
                 before, nb, after, na, near_, far_ = matrices(batch)
                 line = np.concatenate([before[:, ::-1], after], axis=1)
                 grams = gram_hashes(np.r_[line.ravel(), np.zeros(gram, np.uint8)], gram)
-                row, d = np.nonzero((np.arange(width) >= near_[:, None]) & (np.arange(width) <= far_[:, None]))
-                low = row * line.shape[1] + (width - 1) - d
-                h = range_hashes(grams, low, low + length, gram)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("gram", "around", "members")] + [pa.array(d), pa.array(h.view(np.int64))], names=["gram", "around", "members", "d", "h"])
-
-    each = fetched.where("hot").drop("hot", "lead").mapInArrow(windows, "gram long, around long, members long, d long, h long")
-    common = each.groupBy("gram", "h").count().where("count > 1").select("gram", "h")
-    far_and_wide = each.where("members = 1").join(common, ["gram", "h"], "left_semi").select("gram", "around", F.col("d").alias("first"), F.col("d").alias("last"))
-
-    maybe = classes.where("members = 1").select("gram", "around", "one.*").join(found.unionByName(far_and_wide), ["gram", "around"])
+                group, low, high = (batch.column(c).to_numpy() for c in ("group", "nearest", "farthest"))
+                middle = (low + high) // 2
+                for nearest, farthest in ((low, middle), (middle + 1, high)):
+                    row = np.flatnonzero((nearest <= farthest) & (near_ <= farthest) & (far_ >= nearest))
+                    # All windows of the half hold these bytes: nearest before the suffix, length - farthest of its own.
+                    begin = row * line.shape[1] + (width - 1) - nearest[row]
+                    key = range_hashes(grams, begin, begin + nearest[row] + length - farthest[row], gram)
+                    key = mix64(key ^ mix64(batch.column("gram").to_numpy().view(np.uint64)[row] + nearest[row].astype(np.uint64)))
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names[:7]), pa.array(key.view(np.int64)), pa.array(nearest[row]), pa.array(farthest[row])], names=names)
+
+    grouped = fetched.withColumns({"group": F.col("gram"), "nearest": F.lit(0).cast("long"), "farthest": F.lit(width - 1).cast("long")})
+    found, left = compared(grouped.where("not hot").drop("hot")), grouped.where("hot").drop("hot")
+    key = ["gram", "group", "nearest"]
+    while not left.isEmpty():
+        left = written(left.mapInArrow(halves, "gram long, around long, members long, place long, lead binary, n_before long, bytes binary, group long, nearest long, farthest long"))
+        sizes = left.groupBy(*key, "farthest").count()
+        one = written(sizes.where("nearest = farthest and count > 1").select(*key))
+        equal = left.where("nearest = farthest and members = 1").join(one, key, "left_semi")
+        found = found.unionByName(equal.select("gram", "around", F.col("nearest").alias("first"), F.col("nearest").alias("last")))
+        large = written(sizes.where((F.col("nearest") < F.col("farthest")) & (F.col("count") > in_task)).select(*key))
+        found = found.unionByName(compared(left.where("nearest < farthest").join(large, key, "left_anti").select(*names)))
+        left = left.join(large, key, "left_semi")
+
+    maybe = classes.where("members = 1").select("gram", "around", "one.*").join(found, ["gram", "around"])
     rest = maybe.select("id", "mark", (start - F.col("last")).alias("low"), (start - F.col("first") + length).alias("high"))
     return sure.unionByName(rest)
 
@@ -294,11 +341,11 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"__bytes": raw, "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__mark": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", text)])})
 
 
-def _cut(docs: DataFrame, text: str, new: dict[str, str], make, length: int, gram: int, most_classes: int) -> DataFrame:
+def _cut(docs: DataFrame, text: str, new: dict[str, str], make, length: int, gram: int, in_task: int) -> DataFrame:
     kept = [c for c in docs.columns if c not in new]
     keyed = _keyed(docs, text)
-    found = spans(keyed.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), F.col("__bytes").alias("bytes")), length, gram, most_classes)
-    gathered = found.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("__spans")).withColumnsRenamed({"id": "__id", "mark": "__mark"})
+    found = spans(keyed.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), F.col("__bytes").alias("bytes")), length, gram, in_task)
+    gathered = found.groupBy("id", "mark").agg(F.collect_set(F.struct("low", "high")).alias("__spans")).withColumnsRenamed({"id": "__id", "mark": "__mark"})
     frame = keyed.select(*[F.col(f"`{c}`") for c in kept if c != text or text not in new], "__id", "__mark", "__bytes").join(gathered, ["__id", "__mark"], "left").drop("__id", "__mark")
     kept = [c for c in frame.columns if c not in ("__bytes", "__spans")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"`{c}` {kind}" for c, kind in new.items())])
@@ -325,21 +372,21 @@ def _cut(docs: DataFrame, text: str, new: dict[str, str], make, length: int, gra
     return frame.mapInArrow(run, schema)
 
 
-def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, most_classes: int = 20_000) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
     """The documents with repeated byte strings taken out of ``text``; broken characters at cuts are dropped."""
     columns = docs.columns
 
     def make(body: np.ndarray, gone: np.ndarray):
         return (body[~gone].tobytes().decode("utf-8", "ignore"),)
 
-    return _cut(docs, text, {text: "string"}, make, length, gram, most_classes).select(*[F.col(f"`{c}`") for c in columns])
+    return _cut(docs, text, {text: "string"}, make, length, gram, in_task).select(*[F.col(f"`{c}`") for c in columns])
 
 
-def digests(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, most_classes: int = 20_000) -> DataFrame:
+def digests(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
     """``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each document."""
 
     def make(body: np.ndarray, gone: np.ndarray):
         runs = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
         return len(body), int(gone.sum()), runs, hashlib.sha256(body[~gone].tobytes()).hexdigest()
 
-    return _cut(docs, text, {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}, make, length, gram, most_classes).drop(text)
+    return _cut(docs, text, {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}, make, length, gram, in_task).drop(text)

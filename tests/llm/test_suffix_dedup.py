@@ -45,7 +45,7 @@ def corpus(seed, n=40, alphabet="abcdé "):
 def test_against_brute_force(spark, seed, most):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_spans int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, most_classes=most).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, in_task=most).collect()}
     want = brute([(t or "").encode() for t in texts])
     for i in range(len(texts)):
         assert got[i] == want[i], i
@@ -62,6 +62,39 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert cut.columns == ["doc_id", "text"] and sorted(r.text for r in cut.collect()) == ["", "", "", "", "other"]
 
 
+def test_nul_bytes_at_the_ends(spark):
+    rng = np.random.default_rng(6)
+    p = "".join(rng.choice(list("abcdef"), 196))
+    texts = [p + "\0" * n + s for n, s in ((4, ""), (4, "xyz"), (5, ""), (9, "k"), (60, ""), (61, "a"), (2, ""))] + ["\0" * n + p + "q" * n for n in (1, 3, 30, 199, 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute([t.encode() for t in texts])
+
+
+def test_one_gram_with_many_surroundings(spark):
+    rng = np.random.default_rng(7)
+    other = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    line = other(60)
+    left, right = [other(150) for _ in range(3)], [other(150) for _ in range(3)]
+    texts = [other(rng.integers(0, 90)) + left[i % 3][-int(rng.integers(1, 150)) :] + line + right[i // 3 % 3][: rng.integers(1, 150)] + other(rng.integers(0, 90)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute([t.encode() for t in texts])
+    assert sum(w[1] > 0 for w in want) > 20
+    for in_task in (3, 20_000):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, in_task=in_task).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_stretches_pick_the_same():
+    rng = np.random.default_rng(8)
+    raw = rng.integers(97, 100, 9000).astype(np.uint8)
+    raw[3000:3900] = 97  # ties, and windows that pick one suffix across a border
+    whole = suffix_dedup.pick_suffixes(raw, np.array([0, len(raw)]))
+    for stretch in (150, 977, 4000):
+        parts = suffix_dedup.pick_suffixes(raw, np.array([0, len(raw)]), stretch=stretch)
+        assert all((a == b).all() for a, b in zip(whole, parts))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 3, (500, 5)).astype(np.uint64)
