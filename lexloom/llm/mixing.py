@@ -6,9 +6,9 @@ order again. Its target says how many words are drawn; the draw that reaches the
 there, so that each source's words come out exactly. The number of draws of each source is its
 block quota. A binary tree over the output shards splits the quotas: at each node the left half
 gets a multivariate hypergeometric share of them, down to single shards, so that every shard
-gets its part of every source and all parts add up. Consecutive ranks of a source's order are
-dealt to the shards by their quotas: disjoint, permuted blocks. Within a shard a second hash
-shuffles the draws.
+gets its part of every source and all parts add up. Each shard draws its
+quota of consecutive ranks of a source's order: disjoint, permuted blocks. What no shard's quota
+reaches isn't drawn. Within a shard a second hash shuffles the draws.
 
 The order of a source is held in ``cells`` hash ranges with running totals of words and blocks;
 exact ranks need a sort within each cell only, so the hottest source is spread over all cells.
@@ -140,13 +140,14 @@ def draws(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
         .withColumn("start", F.col("words_before") + F.col("words_in_cell") + F.col("epoch") * F.col("source_size"))
         .withColumn("rank", F.col("blocks_before") + F.col("rank_in_cell") + F.col("epoch") * F.col("blocks"))
         .withColumn("words", F.least(F.col("w"), F.col("quota") - F.col("start")))
-        .where("words > 0")
     )
     # How many draws each source has: whole rounds, and the blocks of the last one that begin before its quota.
     cut = {}
     last = per_cell.join(per_source, "key").withColumn("rest", F.col("quota") % F.col("source_size"))
     edge = last.where("words_before < rest and rest < words_before + cell_words").select("key", "cell")
-    inner = placed.join(F.broadcast(edge), ["key", "cell"])  # one cell of each source at most
+    if len(facts) <= SMALL:  # one cell of each source at most
+        edge = F.broadcast(edge)
+    inner = placed.where("words > 0").join(edge, ["key", "cell"])
     for r in inner.groupBy("key").agg(F.max("rank").alias("rank")).collect():
         cut[r.key] = r.rank + 1
     whole = {r.key: r.n for r in last.where("words_before + cell_words <= rest").groupBy("key").agg(F.max(F.col("blocks_before") + F.col("cell_blocks")).alias("n")).collect()}
@@ -163,6 +164,7 @@ def draws(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     drawn = (
         placed.join(bounds, "key")
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+        .where(F.col("shard") < shards)  # a rank past every shard's quota is drawn by none
         .withColumn("place", F.xxhash64(F.lit(seed + 1), "u", "epoch"))
         .select("row", "doc_id", "block", "first", "words", "epoch", "shard", "place")
     )
@@ -235,7 +237,7 @@ def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **o
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Each document with its size, its source's size and target, and the words the mix takes of it."""
+    """Each document with its size, its source's size and target, the words that the shards draw of it, and how many do."""
     facts, drawn = draws(docs, **options)
-    taken = drawn.groupBy("row").agg(F.sum("words").alias("taken"))
-    return facts.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = drawn.groupBy("row").agg(F.sum("words").alias("taken"), F.size(F.collect_set("shard")).alias("shards"))
+    return facts.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit(0)).alias("shards"))

@@ -47,6 +47,19 @@ def test_mix_against_plain_counts(spark):
     assert rows_of(docs.repartition(3), block_words=100, cells=16) == rows_of(docs, block_words=100, cells=16)
 
 
+def test_another_seed_draws_other_blocks_and_the_same_sums(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 50 + 1), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    one, other = (mixing.mix(docs, block_words=20, cells=8, shards=6, seed=s).collect() for s in (20, 21))
+    taken = lambda rows: {r.doc_id: r.taken for r in rows}
+    sums = lambda rows: {s: sum(r.taken for r in rows if r.source == s) for s in ("s0", "s1", "s2")}
+    assert taken(one) != taken(other) and sums(one) == sums(other)
+    facts, drawn = mixing.draws(docs, block_words=20, cells=8, shards=6)
+    per = {}
+    for r in drawn.join(facts.select("row", "doc_id"), "row").select("row", drawn["doc_id"], "shard", "words").collect():
+        per.setdefault(r.doc_id, {}).setdefault(r.shard, []).append(r.words)
+    assert all(sum(map(sum, per.get(r.doc_id, {}).values())) == r.taken and len(per.get(r.doc_id, {})) == r.shards for r in one)
+
+
 def test_shards_hold_disjoint_draws(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 50 + 1), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
     _, drawn = mixing.draws(docs, block_words=20, cells=8, shards=6)
