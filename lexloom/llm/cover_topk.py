@@ -13,14 +13,21 @@ builds a cover tree over its queries and one over each chunk of data, whose leve
 radius by ``base``: every point lies within a level's radius of its centre, and centres of a
 level lie farther apart than that. Pairs of nodes are descended together and pruned by the same
 bound against the queries' k-th scores found so far. Leaf pairs are multiplied in doubles, which
-is exact where no partial sum can pass 2^53, else in 64-bit integers; scores must fit 64 bits.
+is exact where no partial sum can pass 2^53, else in 64-bit integers or larger ones.
 
-Large groups are split by hash, so that no task holds more queries than ``block``; data pass in
-chunks. Of equal vectors only those take part that can be in a result.
+A block of up to about ``block`` queries, whose tree is built once, meets the data in some shards:
+as many as make all pairs of blocks and shards the session's number of shuffle partitions. The
+data of a shard pass its query block in chunks, group after group, and only the block's k best
+leave the task, so that what is given out grows with the queries alone. A vector is sent once to
+each block that may want it, to meet some ten thousands of queries there. Of equal vectors only
+those take part that can be in a result.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do
-rows without id or of an unusual length. Zero vectors take part. Ids may repeat; a query leaves
-out its own row only. With k candidates or fewer all are returned. Empty tables give no rows.
+those of an unusual length. Zero vectors take part. Ids may repeat or be null (such a row is a
+candidate, last of its ties); a query leaves out its own row only. A score that doesn't fit 64
+bits comes out null, its rank is exact (products are then made in whole numbers of any size,
+where both sides are that large). With k candidates or fewer all are returned. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +44,10 @@ from lexloom.llm.common import written
 from lexloom.llm.vectors import best, contenders, matrix, taking_part
 
 
+#: Stands for a null id, which is last of its ties.
+LAST_ID = 2**63 - 1
+
+
 @dataclass
 class Node:
     """A ball: centre, radius that covers all rows of it, and its children or, in a leaf, rows."""
@@ -90,30 +101,50 @@ def most(a: np.ndarray, ra, b: np.ndarray, rb) -> np.ndarray:
     """Upper bounds of the inner products of members of balls (rows of ``a`` by rows of ``b``)."""
     na, nb = np.linalg.norm(a, axis=1)[:, None], np.linalg.norm(b, axis=1)[None, :]
     ra, rb = np.asarray(ra)[:, None], np.asarray(rb)[None, :]
-    bound = a @ b.T + na * rb + nb * ra + ra * rb
-    return bound + 1e-9 * (na * nb + 1) + 1e-9 * np.abs(bound)
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = a @ b.T + na * rb + nb * ra + ra * rb
+        bound = bound + 1e-9 * (na * nb + 1) + 1e-9 * np.abs(bound)
+    return np.where(np.isnan(bound), np.inf, bound)
+
 
+def _float(x: int) -> float:
+    """A double no greater than ``x``."""
+    try:
+        return float(np.nextafter(float(x), -np.inf))
+    except OverflowError:
+        return np.finfo(float).max if x > 0 else -np.inf
 
-def floor_of(scores: np.ndarray, limit: float) -> np.ndarray:
+
+def floor_of(scores: np.ndarray, limit: int) -> np.ndarray:
     """Scores as doubles, below them where doubles are not exact."""
+    if scores.dtype == object:
+        return np.array([x if isinstance(x, float) else _float(x) for x in scores])
     scores = scores.astype(np.float64)
     return scores if limit < 2**53 else np.nextafter(scores, -np.inf)
 
 
-def products(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
-    """Exact inner products of integer rows, as doubles if ``limit`` allows, else as 64-bit integers."""
+_whole = np.vectorize(int, otypes=[object])
+
+
+def products(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Exact inner products of integer rows: doubles if ``limit`` allows, else 64-bit integers, else integers of any size."""
     if limit < 2**53:
         return a @ b.T
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if limit < 2**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)), object)
+    here = a.shape[1] * int(np.abs(a).max()) * int(np.abs(b).max())
+    return _whole(products(a, b, here)) if here < 2**63 else _whole(a) @ _whole(b).T
 
 
 class DualSearch:
     """The k best of a block of queries, over chunks of data that pass by."""
 
-    def __init__(self, queries: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int, limit: float):
+    def __init__(self, queries: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int, limit: int):
         self.q, self.rows, self.k, self.limit = queries, rows, k, limit
         self.bound = bound.astype(np.float64)  # the k-th score so far, at least
-        kind = np.float64 if limit < 2**53 else np.int64
+        kind = np.float64 if limit < 2**53 else np.int64 if limit < 2**63 else object
         n = len(queries)
         self.scores, self.ids, self.found = np.zeros((n, 0), kind), np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64)
         self.have = np.zeros((n, 0), bool)
@@ -188,16 +219,25 @@ class DualSearch:
         return i, self.found[i, j], self.ids[i, j], self.scores[i, j]
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, pivots: int = 64, sample: int = 1024, block: int = 4096, chunk: int = 8192, seed: int = 3) -> DataFrame:
+def _scaled(scale: float):
+    """floor(scale * x) as a double; from 2^53 on a double is whole as it is."""
+
+    def of(x):
+        y = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return of
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, pivots: int = 64, sample: int = 1024, block: int = 65_536, chunk: int = 8192, seed: int = 3) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    rows = taking_part(vectors, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"), nonzero=False)
+    rows = taking_part(vectors, _scaled(scale), nonzero=False)
     facts = rows.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("largest"), F.max(F.size("v")).alias("width")).first()
     if facts.width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    limit = float(facts.width) * facts.largest**2
-    if limit >= 2**63:
-        raise ValueError("scores do not fit 64 bits")
+    limit = facts.width * int(facts.largest) ** 2
+    wide = limit >= 2**63
     data = written(contenders(rows, k))
     few = data.orderBy(F.xxhash64("row", F.lit(seed))).limit(sample).collect()
     seen, seen_rows = np.array([r.v for r in few]), np.array([r.row for r in few])
@@ -244,9 +284,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
         for s in range(1, n):
             parts[at + s] = wanted[i]
         at, room = (at + n, block) if n > 1 else (at, room - x.n)
-    shards = {x.group: -(-x.n // (4 * chunk)) for x in d}  # a data group of many rows is dealt to several tasks
-    meets_data = {x.group: [b for b in parts if parts[b][j]] for j, x in enumerate(d)}
-    meets_query = {b: [(x.group, shards[x.group]) for j, x in enumerate(d) if parts[b][j]] for b in parts}
+    names = {b: i for i, b in enumerate(sorted(parts))}
+    # Data groups lie along a line that is cut into shards of equal numbers of rows.
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = -(-tasks // len(parts))
+    before = np.r_[0, np.cumsum([x.n for x in d])]
+    along = {x.group: (before[j] * shards / before[-1], x.n * shards / before[-1]) for j, x in enumerate(d)}
+    of_data = {x.group: [names[b] * shards for b in parts if parts[b][j]] for j, x in enumerate(d)}
+    held = [{s for j, x in enumerate(d) if parts[b][j] for s in range(int(along[x.group][0]), min(shards - 1, int(sum(along[x.group]))) + 1)} for b in sorted(parts)]
 
     def deal(is_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,61 +301,62 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                 for at, (g, r) in enumerate(zip(group, row)):
                     if is_query:
                         first, n = blocks[g]
-                        b = first + r % n
-                        where += [(b, h, s) for h, count in meets_query[b] for s in range(count)]
+                        b = names[first + r % n]
+                        where += [b * shards + s for s in held[b]]
                     else:
-                        where += [(b, g, r % shards[g]) for b in meets_data[g]]
+                        low, size = along[g]
+                        spread = (r * 0x9E3779B97F4A7C15 & (2**64 - 1)) / 2**64
+                        where += [b + min(shards - 1, int(low + spread * size)) for b in of_data[g]]
                     i += [at] * (len(where) - len(i))
                 for s in range(0, len(i), 4096):
                     w = where[s : s + 4096]
                     part = batch.select(["row", "vec_id", "v", "bound"]).take(pa.array(i[s : s + 4096], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[c] for x in w], pa.int32()) for c in range(3)), pa.array([not is_query] * len(w), pa.bool_())], names=["row", "vec_id", "v", "bound", "block", "group", "shard", "side"])
+                    order = batch.column("group").take(pa.array(i[s : s + 4096], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(w, pa.int32()), pa.array([not is_query] * len(w), pa.bool_()), order], names=["row", "vec_id", "v", "bound", "task", "side", "group"])
 
         return run
 
-    schema = "row long, vec_id long, v array<double>, bound double, block int, group int, shard int, side boolean"
+    schema = "row long, vec_id long, v array<double>, bound double, task int, side boolean, group int"
     both = query_groups.mapInArrow(deal(True), schema).unionByName(data_groups.mapInArrow(deal(False), schema))
-    found_schema = "query long, query_id long, row long, vec_id long, score long"
+    digits = len(str(limit)) + 1
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by pair of groups, its queries first; the data pass in chunks."""
-        here, asking, waiting, at_work = None, [], [], None
+        """A block's queries come first; the data of a shard then pass in chunks, group by group."""
+        asking, waiting, named = [], [], set()  # named: rows whose id is LAST_ID in truth
+        at_work: tuple[DualSearch, pa.Table] | None = None
 
         def flush() -> None:
-            nonlocal at_work, waiting
+            nonlocal at_work
             if at_work is None and asking:
                 t = pa.Table.from_batches(asking)
                 at_work = (DualSearch(matrix(t.column("v").combine_chunks()), t.column("row").to_numpy(), t.column("bound").to_numpy(), k, limit), t)
             if waiting and at_work:
                 t = pa.Table.from_batches(waiting)
-                at_work[0].pass_by(matrix(t.column("v").combine_chunks()), t.column("row").to_numpy(), t.column("vec_id").to_numpy())
-            waiting = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            flush()
-            if at_work:
-                i, rows_, ids, scores = at_work[0].results()
-                take = pa.array(i)
-                yield pa.RecordBatch.from_arrays([at_work[1].column("row").combine_chunks().take(take), at_work[1].column("vec_id").combine_chunks().take(take), pa.array(rows_), pa.array(ids), pa.array(scores.astype(np.int64))], names=["query", "query_id", "row", "vec_id", "score"])
-
-        for whole in batches:
-            place = np.stack([whole.column(c).to_numpy() for c in ("block", "group", "shard")], axis=1)
-            edges = np.r_[0, np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, len(place)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if b > a and here != tuple(place[a]):
-                    yield from done()
-                    here, asking, waiting, at_work = tuple(place[a]), [], [], None
-                part = whole.slice(a, b - a)
-                n = int((~part.column("side").to_numpy(zero_copy_only=False)).sum())
-                if n:
-                    asking.append(part.slice(0, n))
-                if n < part.num_rows:
-                    waiting.append(part.slice(n))
-                    if sum(x.num_rows for x in waiting) >= chunk:
-                        flush()
-        yield from done()
-
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = ["block", "group", "shard"]
-    found = both.repartition(count, *key).sortWithinPartitions(*key, "side").mapInArrow(search, found_schema)
-    return best(found, k)
+                ids = t.column("vec_id")
+                rows_, known = t.column("row").to_numpy(), ids.is_valid().to_numpy()
+                ids = ids.fill_null(LAST_ID).to_numpy()
+                named.update(rows_[known & (ids == LAST_ID)].tolist())
+                at_work[0].pass_by(matrix(t.column("v").combine_chunks()), rows_, ids)
+            waiting.clear()
+
+        for batch in batches:
+            n = int((~batch.column("side").to_numpy(zero_copy_only=False)).sum())
+            if n:
+                asking.append(batch.slice(0, n))
+            if n < batch.num_rows:
+                waiting.append(batch.slice(n))
+                if sum(x.num_rows for x in waiting) >= chunk:
+                    flush()
+        flush()
+        if at_work:
+            i, rows_, ids, scores = at_work[0].results()
+            take, none = pa.array(i), np.array([i == LAST_ID and r not in named for i, r in zip(ids.tolist(), rows_.tolist())], dtype=bool)
+            whole = [int(x) for x in scores]
+            key = [str(x + 10**digits).zfill(digits + 1) for x in whole] if wide else [None] * len(whole)
+            arrays = [at_work[1].column(c).combine_chunks().take(take) for c in ("row", "vec_id")]
+            arrays += [pa.array(rows_), pa.array(ids, mask=none), pa.array([x if -(2**63) <= x < 2**63 else None for x in whole], pa.int64()), pa.array(key, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["query", "query_id", "row", "vec_id", "score", "key"])
+
+    found_schema = "query long, query_id long, row long, vec_id long, score long, key string"
+    found = both.repartitionById(len(parts) * shards, "task").sortWithinPartitions("side", "group", "row").mapInArrow(search, found_schema)
+    return best(found, k, "key" if wide else "score")

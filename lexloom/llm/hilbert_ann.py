@@ -1,23 +1,27 @@
 """Approximate nearest neighbours by cosine, with shifted Hilbert curves.
 
 Each curve projects the unit vectors onto a few random orthogonal directions, shifts them at
-random and orders them by Hilbert index. A curve's keys are cut at sampled quantiles into
-``cells`` ranges of about equal numbers of rows. A query looks at the cells of its own key and
-at ``reach`` cells on either side, on every curve; candidates of all curves are merged and
-ranked by exact cosine in double precision on the original vectors.
-
-How far to look depends on the data, so it is measured: a bounded sample of queries is compared
-with all rows by brute force, and ``reach`` is the least for which the share of true neighbours
-that lie within it on some curve is at least ``recall`` (a little above what is promised). Data
-with structure need few cells. Random directions in many dimensions have none, and there the
-reach covers much of the curve.
+random and orders them by Hilbert index. A curve's keys are cut at sampled splitters into cells
+of about ``per_cell`` rows each, so cells grow in number with the table and not in size. A query looks at
+the cells of its own key and at ``reach`` cells on either side, on every curve that is used;
+candidates of all curves are merged and ranked by exact cosine in double precision on the
+original vectors.
+
+How many curves and how far to look depends on the data, so it is measured: a bounded sample of
+queries is compared with all rows by brute force. For each number of curves the least reach is
+found with which the share of true neighbours within it on some curve is at least ``recall`` (a
+little above what is promised), and the number that reads least is taken. Data with structure
+need few cells. Random directions in many dimensions have none, and there the reach covers much
+of a curve.
 
 Cells are dealt to tiles of neighbouring cells; vectors go to one tile of each curve, queries
-to the tiles they reach. Of equal vectors only those take part that can be in a result.
+to the tiles they reach. In a tile rows lie by cell, and queries of one cell are multiplied with
+the cells in their reach only. Of equal vectors only those take part that can be in a result.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
-do rows without id or of an unusual length. Ids may repeat; a query leaves out its own row only.
-Old columns are not kept. With k candidates or fewer all are returned. Empty tables give no rows.
+do those of an unusual length. Ids may repeat or be null (such a row is a candidate, last of its
+ties); a query leaves out its own row only. Old columns are not kept. With k candidates or fewer
+all are returned. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from lexloom.llm.common import written
 from lexloom.llm.vectors import best, contenders, matrix, taking_part, top_of
 
 DIMENSIONS, BITS = 4, 8
+#: Rows in a cell, about, and keys that splitters are taken from, at most (so larger tables have larger cells).
+PER_CELL, SPLITTERS = 128, 65_536
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -109,7 +115,18 @@ def _scores(queries: pa.Table, batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
 _FOUND = "query long, query_id long, row long, vec_id long, score double"
 
 
-def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 8, cells: int = 512, recall: float = 0.96, sample: int = 96, seed: int = 11) -> DataFrame:
+def pick_reach(apart: np.ndarray, cells: int, recall: float, asked: float) -> tuple[int, int]:
+    """(curves, reach) that read least, of (neighbours x curves) distances in cells; ``asked`` is the share of rows that are queries."""
+    options = []
+    for c in range(1, apart.shape[1] + 1):
+        nearest = np.sort(apart[:, :c].min(axis=1))
+        reach = int(nearest[min(len(nearest) - 1, int(np.ceil(recall * len(nearest))) - 1)]) + 1
+        # Rows multiplied for each row of the table, and rows sent (each costs as much as some hundred products).
+        options.append((c * min(1.0, (2 * reach + 1) / cells) * asked * cells + c * 100 / 64 / PER_CELL, c, reach))
+    return min(options)[1:]
+
+
+def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 16, per_cell: int = PER_CELL, recall: float = 0.95, sample: int = 192, tile_rows: int = 8192, seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = taking_part(vectors, lambda x: x, nonzero=True)
@@ -128,10 +145,13 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 8,
     schema = "row long, vec_id long, v array<double>, keys array<bigint>"
     candidates = written(contenders(rows, k).mapInArrow(keyed, schema))
     queries = rows.where(asked).mapInArrow(keyed, schema)
+    n = candidates.count()
 
-    # Sampled splitters of each curve (curves x cells numbers).
-    probs = [i / cells for i in range(1, cells)]
-    splitters = [np.array(s) for s in candidates.select(*[F.element_at("keys", c + 1).alias(f"k{c}") for c in range(curves)]).approxQuantile([f"k{c}" for c in range(curves)], probs, 0.0005)]
+    # Splitters of each curve from a bounded sample of keys: curves x cells numbers, at most a few in a hundred thousand rows' keys.
+    cells = max(1, -(-n // per_cell))
+    seen = np.array([r["keys"] for r in candidates.orderBy(F.xxhash64("row", F.lit(seed))).limit(SPLITTERS).select("keys").collect()])
+    cells = min(cells, len(seen))
+    splitters = [np.sort(seen[:, c])[(np.arange(1, cells) * len(seen)) // cells] for c in range(curves)]
 
     # The reach, from a bounded sample of queries against all rows.
     few = pa.Table.from_pylist([{"row": r.row, "vec_id": r.vec_id, "v": r.v, "keys": r["keys"]} for r in queries.orderBy(F.xxhash64("row")).limit(sample).collect()], schema=pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("keys", pa.list_(pa.int64()))]))
@@ -144,52 +164,56 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 8,
     truth = best(true.withColumn("query_id", F.col("query")).withColumn("vec_id", F.col("row")), k).select("query_id", F.col("vec_id").alias("row"))
     near = truth.join(candidates.select("row", "keys"), "row").collect() if few.num_rows else []
     own = dict(zip(few.column("row").to_pylist(), few.column("keys").to_pylist()))
-    apart = sorted(min(abs(int(np.searchsorted(s, a, "right")) - int(np.searchsorted(s, b, "right"))) for s, a, b in zip(splitters, own[r.query_id], r["keys"])) for r in near)
-    reach = apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))) - 1)] + 1 if apart else 0
+    apart = np.array([[abs(int(np.searchsorted(s, a, "right")) - int(np.searchsorted(s, b, "right"))) for s, a, b in zip(splitters, own[r.query_id], r["keys"])] for r in near], dtype=np.int64)
+    used, reach = pick_reach(apart, cells, recall, 1 / every) if len(apart) else (1, 0)
 
-    tiles = min(cells, max(1, cells // max(8, min(64, reach))))
-    size = -(-cells // tiles)
+    size = max(1, tile_rows // per_cell)  # cells in a tile
 
     def spread(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column("keys").flatten().to_numpy().reshape(-1, curves)
-                for c in range(curves):
+                for c in range(used):
                     cell = np.searchsorted(splitters[c], keys[:, c], "right")
                     low = np.maximum(cell - reach, 0) // size if query else cell // size
                     high = np.minimum(cell + reach, cells - 1) // size if query else low
-                    n = high - low + 1
-                    at = np.repeat(np.arange(len(cell)), n)
-                    tile = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[at]
+                    times = high - low + 1
+                    at = np.repeat(np.arange(len(cell)), times)
+                    tile = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + low[at]
                     for s in range(0, len(at), 4096):
                         part = batch.select(["row", "vec_id", "v"]).take(pa.array(at[s : s + 4096]))
                         m = part.num_rows
-                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(m, c, np.int32)), pa.array(tile[s : s + 4096].astype(np.int32)), pa.array(np.full(m, not query))], names=["row", "vec_id", "v", "curve", "tile", "side"])
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(m, c, np.int32)), pa.array(tile[s : s + 4096].astype(np.int32)), pa.array(cell[at[s : s + 4096]].astype(np.int32)), pa.array(np.full(m, not query))], names=["row", "vec_id", "v", "curve", "tile", "cell", "side"])
 
         return run
 
-    spread_schema = "row long, vec_id long, v array<double>, curve int, tile int, side boolean"
+    spread_schema = "row long, vec_id long, v array<double>, curve int, tile int, cell int, side boolean"
     both = queries.mapInArrow(spread(True), spread_schema).unionByName(candidates.mapInArrow(spread(False), spread_schema))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by tile, its queries first; these are held, the others pass in batches."""
-        held, here = [], None
+        """Rows come by tile, its queries first, both by cell; queries are held, the others pass in batches."""
+        held, here, asking = [], None, None
         for whole in batches:
-            place = whole.column("curve").to_numpy() * cells + whole.column("tile").to_numpy()
+            place = whole.column("curve").to_numpy().astype(np.int64) * cells + whole.column("tile").to_numpy()
             edges = np.r_[0, np.flatnonzero(np.diff(place)) + 1, len(place)]
             for a, b in zip(edges[:-1], edges[1:]):
                 if place[a] != here:
-                    held, here = [], place[a]
+                    held, here, asking = [], place[a], None
                 part = whole.slice(a, b - a)
-                side = part.column("side").to_numpy(zero_copy_only=False)
-                n = int((~side).sum())
-                if n:
-                    held.append(part.slice(0, n))
-                if held and n < part.num_rows:
-                    asking = pa.Table.from_batches(held)
-                    for s in range(0, asking.num_rows, 1024):
-                        yield _scores(asking.slice(s, 1024), part.slice(n), k)
+                m = int((~part.column("side").to_numpy(zero_copy_only=False)).sum())
+                if m:
+                    held.append(part.slice(0, m))
+                    asking = None
+                if held and m < part.num_rows:
+                    asking = asking or pa.Table.from_batches(held)
+                    data = part.slice(m)
+                    cell, theirs = asking.column("cell").to_numpy(), data.column("cell").to_numpy()
+                    for s in range(0, len(cell), 64):  # queries of neighbouring cells, and what is in reach of any of them
+                        e = min(s + 64, len(cell))
+                        low, high = np.searchsorted(theirs, [cell[s] - reach, cell[e - 1] + reach + 1])
+                        if low < high:
+                            yield _scores(asking.slice(s, e - s), data.slice(low, high - low), k)
 
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = both.repartition(count, "curve", "tile").sortWithinPartitions("curve", "tile", "side").mapInArrow(search, _FOUND)
+    found = both.repartition(count, "curve", "tile").sortWithinPartitions("curve", "tile", "side", "cell", "row").mapInArrow(search, _FOUND)
     return best(found, k)

@@ -19,14 +19,15 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def taking_part(vectors: DataFrame, component, nonzero: bool) -> DataFrame:
-    """``(row, vec_id, v)``: rows with an id and a vector of finite components, written once.
+    """``(row, vec_id, v)``: rows with a vector of finite components, written once.
 
-    ``component`` maps a double to what is compared. Of several lengths only the most frequent
-    takes part (ties: the longest). ``row`` names a row, as ids may repeat.
+    ``component`` maps a double to what is compared, which must be finite too. Of several lengths
+    only the most frequent takes part (ties: the longest). ``row`` names a row, as ids may repeat
+    or be null; a row without id is a candidate, and its ties come last.
     """
     doubles = F.transform("embedding", lambda x: x.cast("double"))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(component(x.cast("double"))) < F.lit(float("inf"))))
+    good = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
     if nonzero:
         good = good.where(F.exists("embedding", lambda x: x != 0))
     sizes = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -42,13 +43,13 @@ def contenders(rows: DataFrame, k: int) -> DataFrame:
     query's ``k`` best: the result is whole, and copies without number cost k + 1 rows. The rank
     is limited within each partition before the shuffle.
     """
-    order = W.partitionBy("v").orderBy("vec_id", "row")
+    order = W.partitionBy("v").orderBy(F.asc_nulls_last("vec_id"), "row")
     return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
 
 
-def best(found: DataFrame, k: int) -> DataFrame:
+def best(found: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The ``k`` best distinct candidates of each query, ranked from 1."""
-    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    order = W.partitionBy("query").orderBy(F.desc(by), F.asc_nulls_last("vec_id"), "row")
     ranked = found.dropDuplicates(["query", "row"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -6,18 +6,18 @@ SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
 def brute(rows, k, every, scale=64):
-    good = [(i, [int(np.floor(scale * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and len(v) == 12 and None not in v and all(np.isfinite(v))]
+    good = [(i, [int(np.floor(scale * float(np.float32(x)))) for x in v]) for i, v in rows if v is not None and len(v) == 12 and None not in v and all(np.isfinite(v))]
     out = []
     for a, (i, v) in enumerate(good):
-        if i % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(good) if b != a)
-            out += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:k], 1)]
-    return sorted(out)
+        if i is not None and i % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(v, w)), j is None, j or 0) for b, (j, w) in enumerate(good) if b != a)
+            out += [(i, r, None if none else j, -s if -(2**63) <= -s < 2**63 else None) for r, (s, none, j) in enumerate(scored[:k], 1)]
+    return sorted(out, key=str)
 
 
 def run(spark, rows, **kw):
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
-    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in cover_topk.top_k(table, **kw).collect())
+    return sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in cover_topk.top_k(table, **kw).collect()), key=str)
 
 
 def test_against_brute_force(spark):
@@ -37,6 +37,8 @@ def test_small_and_large_numbers(spark):
     assert run(spark, rows) == brute(rows, 20, 20)
     big = [(i, [float((i * 7919 + j * 104729) % 1000 - 500) * 1e4 for j in range(12)]) for i in range(60)]
     assert run(spark, big) == brute(big, 20, 20)
+    huge = big + [(60, [1e30] * 12), (61, [-1e30] * 6 + [3e8] * 6), (80, [1e9] * 12), (None, [2e30] * 12), (100, [3e8] + [0.0] * 11)]
+    assert run(spark, huge) == brute(huge, 20, 20) == run(spark, huge, pivots=3, block=2, chunk=7)
     assert run(spark, []) == [] and run(spark, [(20, [2.0, 1.0])]) == [] and run(spark, [(1, [2.0]), (3, [2.0])]) == []
 
 
