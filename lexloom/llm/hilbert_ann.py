@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import written
 from lexloom.llm.vectors import best, contenders, matrix, taking_part, top_of
 
-DIMENSIONS, BITS = 4, 8
+DIMENSIONS, BITS = 8, 5
 #: Rows in a cell, about, and keys that splitters are taken from, at most (so larger tables have larger cells).
-PER_CELL, SPLITTERS = 128, 65_536
+PER_CELL, SPLITTERS = 32, 65_536
+#: Curves that are used at least.
+FEWEST = 4
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -115,18 +117,17 @@ def _scores(queries: pa.Table, batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
 _FOUND = "query long, query_id long, row long, vec_id long, score double"
 
 
-def pick_reach(apart: np.ndarray, cells: int, recall: float, asked: float) -> tuple[int, int]:
-    """(curves, reach) that read least, of (neighbours x curves) distances in cells; ``asked`` is the share of rows that are queries."""
+def pick_reach(apart: np.ndarray, cells: int, recall: float) -> tuple[int, int]:
+    """(curves, reach) that read the fewest cells, at least ``FEWEST`` curves, of (neighbours x curves) distances in cells."""
     options = []
-    for c in range(1, apart.shape[1] + 1):
+    for c in range(min(FEWEST, apart.shape[1]), apart.shape[1] + 1):
         nearest = np.sort(apart[:, :c].min(axis=1))
-        reach = int(nearest[min(len(nearest) - 1, int(np.ceil(recall * len(nearest))) - 1)]) + 1
-        # Rows multiplied for each row of the table, and rows sent (each costs as much as some hundred products).
-        options.append((c * min(1.0, (2 * reach + 1) / cells) * asked * cells + c * 100 / 64 / PER_CELL, c, reach))
+        reach = int(nearest[int(np.ceil(recall * len(nearest))) - 1]) + 1
+        options.append((c * min(cells, 2 * reach + 1), c, reach))
     return min(options)[1:]
 
 
-def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 16, per_cell: int = PER_CELL, recall: float = 0.95, sample: int = 192, tile_rows: int = 8192, seed: int = 11) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 16, per_cell: int = PER_CELL, recall: float = 0.93, sample: int = 192, tile_rows: int = 8192, seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = taking_part(vectors, lambda x: x, nonzero=True)
@@ -165,7 +166,7 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 16
     near = truth.join(candidates.select("row", "keys"), "row").collect() if few.num_rows else []
     own = dict(zip(few.column("row").to_pylist(), few.column("keys").to_pylist()))
     apart = np.array([[abs(int(np.searchsorted(s, a, "right")) - int(np.searchsorted(s, b, "right"))) for s, a, b in zip(splitters, own[r.query_id], r["keys"])] for r in near], dtype=np.int64)
-    used, reach = pick_reach(apart, cells, recall, 1 / every) if len(apart) else (1, 0)
+    used, reach = pick_reach(apart, cells, recall) if len(apart) else (1, 0)
 
     size = max(1, tile_rows // per_cell)  # cells in a tile
 
@@ -208,8 +209,8 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 16
                     asking = asking or pa.Table.from_batches(held)
                     data = part.slice(m)
                     cell, theirs = asking.column("cell").to_numpy(), data.column("cell").to_numpy()
-                    for s in range(0, len(cell), 64):  # queries of neighbouring cells, and what is in reach of any of them
-                        e = min(s + 64, len(cell))
+                    for s in range(0, len(cell), 16):  # queries of neighbouring cells, and what is in reach of any of them
+                        e = min(s + 16, len(cell))
                         low, high = np.searchsorted(theirs, [cell[s] - reach, cell[e - 1] + reach + 1])
                         if low < high:
                             yield _scores(asking.slice(s, e - s), data.slice(low, high - low), k)
