@@ -7,13 +7,18 @@ pruned by support and confidence, and a rule is dropped where a part of its toke
 with no less confidence. URLs that no given rule fits are judged by the mined rule of highest
 confidence, then support, then most tokens, whose tokens all occur; by ``default`` if none does.
 
-Both kinds are matched by inverted index: given rules by each ending of the host, mined rules by
-their rarest token, with the other tokens checked. Mined rules are bounded by the support they
-need: frequent itemsets among a URL's tokens, at least ``support`` of all labelled URLs and
-``least`` URLs each, so that a small table doesn't make every combination a rule.
-
-Tokens are the host's labels, the path's segments (digits folded) and the names of query
-parameters. None implies another, which would multiply the itemsets without saying more.
+Tokens are the host's endings and its labels, the path's segments with and without their place
+(digits folded), and the names of query parameters. Many of them imply one another, and each one
+that does doubles the itemsets without saying more. So frequent tokens that occur in just the
+same labelled URLs are one item of the mining (told by their count and a sum of row hashes), and
+a rule holds where any of an item's tokens occurs: these are the rules that mining each token
+gives, once each. An item must occur in ``support`` of all labelled URLs and in ``least`` of them.
+Frequent tokens are at most 1 / ``support`` times the tokens of a URL; only they are sent to
+tasks.
+
+Both kinds are matched by inverted index: given rules by each ending of the host; mined rules by
+the one of their items that the fewest rules hold, in a join with the distinct sets of items of
+the URLs to judge, with the other items checked. Rules stay a distributed table.
 
 Edge cases: a null URL or one without ``://`` has empty host and path and gets ``default``.
 Repeated rows are judged each. Without labelled URLs nothing is mined. Old columns that clash
@@ -33,6 +38,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import written
 
 _REST = "(?s)^.*?://(.*)$"
 _LABEL = "verdict="
@@ -49,8 +55,10 @@ def path_of(url: Column) -> Column:
 
 
 def tokens(host: str, path: str, url: str | None) -> list[str]:
-    out = {f"host:{x}" for x in host.split(".") if x}
-    out |= {f"path:{re.sub(r'[0-9]+', '0', x)}" for x in path.split("/") if x}
+    labels = host.split(".") if host else []
+    out = {f"host:{'.'.join(labels[i:])}" for i in range(len(labels))} | {f"label:{x}" for x in labels if x}
+    parts = [re.sub(r"[0-9]+", "0", x) for x in path.split("/") if x]
+    out |= {f"path{i}:{x}" for i, x in enumerate(parts)} | {f"path:{x}" for x in parts}
     query = (url or "").partition("#")[0].partition("?")[2]
     out |= {f"query:{x.partition('=')[0]}" for x in query.split("&") if x}
     return sorted(out)
@@ -99,53 +107,6 @@ class GivenIndex:
         return best
 
 
-@dataclass(frozen=True)
-class Mined:
-    tokens: tuple[str, ...]
-    verdict: str
-    confidence: float
-    support: float
-
-    @property
-    def order(self):
-        return (-self.confidence, -self.support, -len(self.tokens), self.tokens, self.verdict)
-
-
-class MinedIndex:
-    """Mined rules by the one of their tokens that the fewest rules hold."""
-
-    def __init__(self, rules: Sequence[Mined]):
-        uses: dict[str, int] = defaultdict(int)
-        for r in rules:
-            for t in r.tokens:
-                uses[t] += 1
-        self.by_token: dict[str, list[Mined]] = defaultdict(list)
-        for r in sorted(rules, key=lambda r: r.order):
-            self.by_token[min(r.tokens, key=lambda t: (uses[t], t))].append(r)
-
-    def match(self, found: Sequence[str]) -> Mined | None:
-        have, best = set(found), None
-        for t in found:
-            for r in self.by_token.get(t, ()):
-                if best is not None and best.order <= r.order:
-                    break
-                if have.issuperset(r.tokens):
-                    best = r
-                    break
-        return best
-
-
-def pruned(rules: Sequence[Mined]) -> list[Mined]:
-    """Without rules of which a part says the same with no less confidence."""
-    by_tokens = {(frozenset(r.tokens), r.verdict): r for r in rules}
-    out = []
-    for r in rules:
-        parts = (frozenset(r.tokens) - {t} for t in r.tokens)
-        if not any((p := by_tokens.get((q, r.verdict))) and p.confidence >= r.confidence for q in parts):
-            out.append(r)
-    return sorted(out, key=lambda r: r.order)
-
-
 def with_tokens(pages: DataFrame, rules: Sequence[Given]) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``given`` (its verdict) and ``tokens``."""
     new = {"host": "string", "path": "string", "rule": "string", "given": "string", "tokens": "array<string>"}
@@ -164,34 +125,64 @@ def with_tokens(pages: DataFrame, rules: Sequence[Given]) -> DataFrame:
     return pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("url").alias("__url")).mapInArrow(run, schema)
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8, least: int = 10) -> list[Mined]:
-    """Association rules from ``labelled(tokens, given)`` with a verdict on their right side."""
-    baskets = labelled.where("given is not null and size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "given"))).alias("items"))
-    n = baskets.count()
-    if n < least:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(baskets)
-    is_verdict = F.element_at("consequent", 1).startswith(_LABEL)
-    rows = model.associationRules.where(is_verdict & ~F.exists("antecedent", lambda t: t.startswith(_LABEL))).collect()
-    return pruned([Mined(tuple(sorted(r.antecedent)), r.consequent[0].removeprefix(_LABEL), r.confidence, r.support) for r in rows])
+def items_of(labelled: DataFrame, fewest: float) -> dict[str, str]:
+    """Each token of at least ``fewest`` rows of ``labelled(tokens)`` to its item: the first token that occurs in just the same rows."""
+    each = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens").select(F.xxhash64("row").alias("h"), F.explode(F.array_distinct("tokens")).alias("token"))
+    counted = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s")).where(F.col("n") >= fewest)
+    return {t: min(r.tokens) for r in counted.groupBy("n", "s").agg(F.collect_list("token").alias("tokens")).collect() for t in r.tokens}
 
 
-def judge(pages: DataFrame, rules: Sequence[str], support: float = 0.01, confidence: float = 0.8, default: str = "allow") -> DataFrame:
-    """Add ``host``, ``path``, ``rule``, ``verdict`` and ``mined`` (the tokens of the mined rule that judged, or null)."""
-    ready = with_tokens(pages, parse_rules(rules))
-    found = mine(ready.select("tokens", "given"), support, confidence)
-    new = ["rule", "verdict", "mined"]
-    kept = [c for c in ready.columns if c not in (*new, "given", "tokens")]
-    schema = ", ".join([*(f"`{c}` {ready.schema[c].dataType.simpleString()}" for c in kept), "rule string, verdict string, mined string"])
+def with_items(table: DataFrame, items: dict[str, str]) -> DataFrame:
+    """Add ``items``: those of a row's tokens that have one, sorted and distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = MinedIndex(found)
         for batch in batches:
-            verdicts, by = [], []
-            for given, have in zip(batch.column("given").to_pylist(), batch.column("tokens").to_pylist()):
-                hit = None if given else index.match(have)
-                verdicts.append(given or (hit.verdict if hit else default))
-                by.append(" & ".join(hit.tokens) if hit else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*kept, "rule"]), pa.array(verdicts, pa.string()), pa.array(by, pa.string())], names=[*kept, *new])
-
-    return ready.mapInArrow(run, schema)
+            found = [sorted({items[t] for t in ts if t in items}) for ts in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, "items"])
+
+    return table.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema), "items array<string>"]))
+
+
+_RULES = "tokens array<string>, verdict string, confidence double, support double"
+
+
+def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8, least: int = 10) -> tuple[DataFrame, dict[str, str]]:
+    """(rules, items) of ``labelled(tokens, given)``: rules from items to a verdict, without those of which a part says the same as surely."""
+    spark = labelled.sparkSession
+    baskets = labelled.where("given is not null and size(tokens) > 0").select("tokens", "given")
+    n = baskets.count()
+    fewest = max(support * n, least)
+    items = items_of(baskets, fewest) if n >= least else {}
+    if not items:
+        return spark.createDataFrame([], _RULES), items
+    rows = with_items(baskets, items).select(F.concat("items", F.array(F.concat(F.lit(_LABEL), "given"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=fewest / n * (1 - 1e-9), minConfidence=confidence).fit(rows)
+    is_verdict = F.element_at("consequent", 1).startswith(_LABEL)
+    found = model.associationRules.where(is_verdict & ~F.exists("antecedent", lambda t: t.startswith(_LABEL)))
+    rules = written(found.select(F.array_sort("antecedent").alias("tokens"), F.replace(F.element_at("consequent", 1), F.lit(_LABEL), F.lit("")).alias("verdict"), "confidence", "support"))
+    part = rules.where("size(tokens) > 1").select("tokens", "verdict", "confidence", F.explode("tokens").alias("t")).select("tokens", "verdict", "confidence", F.array_remove("tokens", F.col("t")).alias("part"))
+    parts = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("of_part"))
+    spare = part.join(parts, ["part", "verdict"]).where("of_part >= confidence").select("tokens", "verdict").distinct()
+    return written(rules.join(spare, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support")), items
+
+
+def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(items, verdict, mined)`` of the ``sets(items)`` that a rule fits: by highest confidence, then support, then most items."""
+    uses = rules.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("uses"))
+    each = rules.select("*", F.explode("tokens").alias("t")).join(uses, "t")
+    keyed = each.groupBy("tokens", "verdict").agg(F.min(F.struct("uses", "t"))["t"].alias("t"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    asked = sets.select("items", F.explode("items").alias("t")).join(keyed, "t").where(F.size(F.array_except("tokens", "items")) == 0)
+    order = F.struct(-F.col("confidence"), -F.col("support"), -F.size("tokens"), "tokens", "verdict")
+    return asked.groupBy("items").agg(F.min_by(F.struct("verdict", "tokens"), order).alias("x")).select("items", F.col("x.verdict").alias("by"), F.array_join("x.tokens", " & ").alias("mined"))
+
+
+def judge(pages: DataFrame, rules: Sequence[str], support: float = 0.01, confidence: float = 0.8, default: str = "allow") -> DataFrame:
+    """Add ``host``, ``path``, ``rule``, ``verdict`` and ``mined`` (the items of the mined rule that judged, or null)."""
+    ready = written(with_tokens(pages, parse_rules(rules)))
+    found, items = mine(ready.select("tokens", "given"), support, confidence)
+    kept = [F.col(f"`{c}`") for c in ready.columns if c not in ("rule", "given", "tokens", "verdict", "mined", "items", "by")]
+    ready = ready.drop("items", "by", "mined", "verdict")
+    open_ = with_items(ready.where("given is null"), items)
+    answers = matched(open_.where("size(items) > 0").select("items").distinct(), found)
+    judged = open_.join(answers, "items", "left").select(*kept, "rule", F.coalesce("by", F.lit(default)).alias("verdict"), "mined")
+    return ready.where("given is not null").select(*kept, "rule", F.col("given").alias("verdict"), F.lit(None).cast("string").alias("mined")).unionByName(judged)

@@ -50,17 +50,26 @@ def brute_mine(rows, support, confidence):
     return found
 
 
+def brute_pruned(rows, support, confidence):
+    every = brute_mine(rows, support, confidence)
+    part = lambda c, v: [every[q, v][0] for q in itertools.combinations(c, len(c) - 1) if (q, v) in every]
+    return {(c, v): x for (c, v), x in every.items() if not any(p >= x[0] for p in part(c, v))}
+
+
 def test_mining_against_brute_force(spark):
-    rows = [(["a", "b"], "block")] * 6 + [(["a", "c"], "allow")] * 5 + [(["b"], "allow")] * 2 + [(["c", "d"], "allow")] * 3 + [(["d"], "block")] * 3
+    rows = [(["a", "b"], "block")] * 6 + [(["a", "c", "e", "f"], "allow")] * 5 + [(["b"], "allow")] * 2 + [(["c", "d", "e", "f"], "allow")] * 3 + [(["d"], "block")] * 3
     table = spark.createDataFrame([(t, v) for t, v in rows], "tokens array<string>, given string")
-    mined = url_rules.mine(table, 0.1, 0.7, least=1)
-    every = brute_mine(rows, 0.1, 0.7)
-    want = url_rules.pruned([url_rules.Mined(c, v, *x) for (c, v), x in every.items()])
-    assert [(m.tokens, m.verdict, round(m.confidence, 9), round(m.support, 9)) for m in mined] == [(m.tokens, m.verdict, round(m.confidence, 9), round(m.support, 9)) for m in want]
-    index = url_rules.MinedIndex(mined)
-    for have in (["a", "b"], ["a", "c", "d"], ["b"], [], ["zz", "d"]):
-        fits = sorted((m for m in mined if set(m.tokens) <= set(have)), key=lambda m: m.order)
-        assert index.match(sorted(have)) == (fits[0] if fits else None)
+    rules, items = url_rules.mine(table, 0.1, 0.7, least=1)
+    assert items == {"a": "a", "b": "b", "c": "c", "d": "d", "e": "c", "f": "c"}
+    mined = {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in rules.collect()}
+    want = brute_pruned(rows, 0.1, 0.7)
+    as_items = {(tuple(sorted({items[t] for t in c})), v): (round(x[0], 9), round(x[1], 9)) for (c, v), x in want.items()}
+    assert mined == as_items
+    for have in (["a", "b"], ["a", "c", "d"], ["a", "e"], ["f"], ["b"], ["zz"], ["zz", "d"]):
+        fits = sorted((-x[0], -x[1], -len(c), c, v) for (c, v), x in mined.items() if set(c) <= {items.get(t) for t in have})
+        sets = spark.createDataFrame([(sorted({items[t] for t in have if t in items}),)], "items array<string>")
+        got = [(r.by, r.mined) for r in url_rules.matched(sets, rules).collect()]
+        assert got == ([(fits[0][4], " & ".join(fits[0][3]))] if fits else [])
 
 
 def test_mined_rules_judge_the_rest(spark):
