@@ -1,12 +1,12 @@
 """Document quality by co-training two views: a page's text content and its metadata.
 
-The content view holds shares of character classes, word statistics and repetition; the metadata
-view holds the source, the language, the declared length and the layout (lines and their
-lengths). Each view has a logistic classifier. In each round both score a pool of unlabelled
+The content view holds shares of character classes, word and line statistics and repetition; the
+metadata view holds only what a page declares, never its text: the source, the language and the
+declared length. Each view has a logistic classifier. In each round both score a pool of unlabelled
 documents, and each gives the other the documents it is surest of, as many of each class as
 ``per_round`` and the class shares allow; neither gives those on which the other firmly
-disagrees. Then each view is calibrated on labelled documents that took no part in training
-(Platt scaling), and a logistic combination of both calibrated views, fitted on the same
+disagrees. The pool holds no labelled document, so that each view is calibrated on labelled
+documents that took no part in training, not as pseudo-labels either (Platt scaling), and a logistic combination of both calibrated views, fitted on the same
 documents, scores every document. Documents are kept where quality is at least ``keep_above``.
 
 Training reads about ``sample`` labelled documents of each class and ``pool`` unlabelled ones,
@@ -37,29 +37,35 @@ _WORDS = re.compile(WORD)
 #: Class of each byte: upper, lower, digit, space, line end, sentence mark, other ASCII, above ASCII.
 _CLASS = np.array([0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 4 if b == 10 else 3 if b == 32 or 9 <= b <= 13 else 5 if b in b".,;:?'\"()-" else 7 if b >= 128 else 6 for b in range(256)], dtype=np.uint8)
 CLASSES, HASHED = 8, 32
-CONTENT = CLASSES + 8
-METADATA = 2 * HASHED + 5
+LINES = 4
+CONTENT = CLASSES + LINES + 8
+#: Source and language, the declared length, and which of these sizes it is: under 1, 2, 4, ... characters.
+SIZES = 24
+METADATA = 2 * HASHED + 1 + SIZES
 
 
 def content_view(text: str | None, class_shares: np.ndarray) -> np.ndarray:
     out = np.zeros(CONTENT)
     out[:CLASSES] = class_shares
+    lines = (text or "").split("\n")
+    lengths = np.array([len(x) for x in lines], dtype=float)
+    out[CLASSES : CLASSES + LINES] = [np.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.max()), len(set(lines)) / len(lines)]
     words = _WORDS.findall(text or "")
     if words:
         counts, n = Counter(words), len(words)
         top = max(counts.values())
         pairs = Counter(zip(words, words[1:]))
-        out[CLASSES:] = [np.log1p(n), sum(map(len, words)) / n / 10, len(counts) / n, len(counts) / np.sqrt(n) / 10, top / n, sum(k - 1 for k in pairs.values()) / n, sum(not w[-1].isalnum() for w in words) / n, sum(not any(map(str.isalnum, w)) for w in counts.elements()) / n]
+        out[CLASSES + LINES :] = [np.log1p(n), sum(map(len, words)) / n / 10, len(counts) / n, len(counts) / np.sqrt(n) / 10, top / n, sum(k - 1 for k in pairs.values()) / n, sum(not w[-1].isalnum() for w in words) / n, sum(not any(map(str.isalnum, w)) for w in counts.elements()) / n]
     return out
 
 
-def metadata_view(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+def metadata_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
     out = np.zeros(METADATA)
+    size = max(0, n_chars or 0)
     out[zlib.crc32(f"s{source}".encode()) % HASHED] = 1
     out[HASHED + zlib.crc32(f"l{lang}".encode()) % HASHED] = 1
-    lines = (text or "").split("\n")
-    lengths = np.array([len(x) for x in lines], dtype=float)
-    out[2 * HASHED :] = [np.log1p(max(0, n_chars or 0)), np.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.max()), len(set(lines)) / len(lines)]
+    out[2 * HASHED] = np.log1p(size)
+    out[2 * HASHED + 1 + min(SIZES - 1, int(size).bit_length())] = 1
     return out
 
 
@@ -156,7 +162,7 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     shares = np.bincount(np.repeat(np.arange(n), sizes) * CLASSES + _CLASS[raw], minlength=n * CLASSES).reshape(n, CLASSES) / np.maximum(sizes, 1)[:, None]
     texts = batch.column("text").to_pylist()
     content = np.array([content_view(t, s) for t, s in zip(texts, shares)]).reshape(n, CONTENT)
-    facts = zip(texts, *(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+    facts = zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
     return content, np.array([metadata_view(*f) for f in facts]).reshape(n, METADATA)
 
 
@@ -174,8 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, pool: int = 3000
     frame = docs.select("doc_id", *_INPUT).where(F.length("text") > 0)
     labelled = frame.join(F.broadcast(chosen), "doc_id").select("y", *_INPUT)
     rows = docs.count()
-    # The pool takes other hash values than the labelled sample, and what labels it may have are not read.
-    other = frame.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20)) < F.lit(pool / max(1, rows) * (1 << 20))).select(F.lit(-1).alias("y"), *_INPUT)
+    # The pool holds no document that has a label.
+    drawn = frame.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20)) < F.lit(pool / max(1, rows) * (1 << 20)))
+    other = drawn.join(labels.select("doc_id"), "doc_id", "left_anti").select(F.lit(-1).alias("y"), *_INPUT)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -51,3 +51,27 @@ def test_co_training_uses_the_pool():
     more = quality.co_train(a[:45], b[:45], y[:45], a[45:2000], b[45:2000])
     right = [np.mean((m.scores(a[2000:], b[2000:])[2] > 0.5) == y[2000:]) for m in (few, more)]
     assert right[1] > right[0] + 0.01
+
+
+def test_the_pool_holds_no_labelled_document(spark, monkeypatch):
+    rows, labels = make(600, 4)
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")
+    seen = {}
+    whole = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda a, b, y, pa_, pb, rounds: seen.update(pool=pa_, known=a) or whole(a, b, y, pa_, pb, rounds))
+    quality.fit(docs, known, pool=10**6)
+    assert len(seen["pool"]) == 300 and len(seen["known"]) == 300
+
+
+def test_scores_are_those_of_the_fitted_model(spark):
+    rows, labels = make(200, 5)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for r in quality.score(docs, model).collect():
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        shares = np.bincount(quality._CLASS[raw], minlength=quality.CLASSES) / len(raw)
+        a = quality.content_view(r.text, shares)
+        b = quality.metadata_view(r.source, r.lang, r.n_chars)
+        z = [v.slope * (np.clip((x - v.mean) / v.spread, -8, 8) @ v.weights[:-1] + v.weights[-1]) + v.shift for v, x in ((model.content, a), (model.metadata, b))]
+        p = 1 / (1 + np.exp(-(model.combine[0] * z[0] + model.combine[1] * z[1] + model.combine[2])))
+        assert abs(p - r.quality) < 1e-9 and r.keep == bool(r.quality >= 0.5)
