@@ -4,7 +4,9 @@ Features are words and their beginnings of 2 to 6 characters, in lower case; eac
 values, 1 where it occurs and log(1 + 500 rate), its rate being its share of the text's words. They are chosen by how
 surely they lean to documents labelled toxic, and only ``features`` of them stay, so vectors
 are sparse. Labels say only whether a document is toxic. Toxic documents are graded 1 to 3 by
-the total rate of the chosen features that lean to them (terciles); the others have grade 0.
+how far a plain logistic model that has not seen them puts them on the toxic side: the terciles
+of the margins that three models give, each to the third that it was not fitted on. The others
+have grade 0.
 One weight vector serves all grades, P(grade >= k) = sigmoid(w x - theta_k) with rising
 thresholds; the expected severity is the sum over k. A document is called toxic where
 P(grade >= 1) is at least one half.
@@ -13,8 +15,8 @@ The model is fitted on at most about ``sample`` labelled documents of each class
 their ids (a documented bound); every document is scored on its whole text.
 
 Edge cases: a null or empty text has severity 0 and is not toxic. A label that is null or not 0
-or 1 is ignored; of several labels of an id the largest counts. Without labels of both classes
-every severity is 0. Repeated rows are scored each. Old columns that clash with new ones are
+or 1 is ignored; of several labels of an id the largest counts. Without labels of both classes,
+or where no feature leans to toxic documents by more than chance, every severity is 0. Repeated rows are scored each. Old columns that clash with new ones are
 replaced. An empty table gives no rows.
 """
 
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import WORD, written
+from lexloom.llm.quality import fit_logistic
 
 _WORDS = re.compile(WORD)
 _EDGE = ".,;:!?\"'()[]{}*#$%&|-"
@@ -110,6 +113,21 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = 4, l2: float = 1
     return p[:d], p[d] + np.r_[0.0, np.cumsum(np.exp(p[d + 1 :]))]
 
 
+def grades_of(x: np.ndarray, toxic: np.ndarray, folds: int = 3) -> np.ndarray:
+    """0 for what isn't toxic, else 1 to 3: the tercile of its margin, by a model of the other folds."""
+    margin = np.zeros(len(x))
+    fold = np.zeros(len(x), dtype=int)
+    for c in (0, 1):  # rows come in an order of their own, so folds are dealt in turn
+        fold[toxic == c] = np.arange((toxic == c).sum()) % folds
+    for f in range(folds):
+        here, rest = fold == f, fold != f
+        if len(set(toxic[rest].tolist())) == 2:
+            w = fit_logistic(x[rest], toxic[rest], l2=1e-2)
+            margin[here] = x[here] @ w[:-1] + w[-1]
+    cuts = np.quantile(margin[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + (margin > cuts[0]) + (margin > cuts[1]), 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = 4000, features: int = 512) -> Ordinal:
     none = Ordinal([], np.zeros(0), np.zeros(0))
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -162,9 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = 40
     for i, r in enumerate(rows):
         x[i, r.at] = r.value
     toxic = np.array([r.toxic for r in rows])
-    density = np.expm1(x[:, len(names) :]).sum(axis=1)
-    cuts = np.quantile(density[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + (density > cuts[0]) + (density > cuts[1]), 0)
+    grade = grades_of(x, toxic)
     weights, thresholds = fit_ordinal(x, grade)
     return Ordinal(names, weights, thresholds)
 

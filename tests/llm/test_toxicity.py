@@ -51,3 +51,33 @@ def test_ordinal_recovers_order():
     grade = np.digitize(noisy, [-1.0, 1.0, 3.0])
     w, theta = toxicity.fit_ordinal(x, grade, l2=1e-5, rounds=800)
     assert np.allclose(w, [2, -1, 0], atol=0.2) and np.allclose(theta, [-1, 1, 3], atol=0.25)
+
+
+def test_grades_follow_strength_and_come_from_unseen_models():
+    rng = np.random.default_rng(5)
+    toxic = (np.arange(900) % 2).astype(int)
+    strength = rng.uniform(0.5, 3, 900) * toxic
+    x = rng.normal(size=(900, 6)) * 0.3
+    x[:, 0] += strength
+    grade = toxicity.grades_of(x, toxic)
+    assert (grade[toxic == 0] == 0).all() and set(grade[toxic == 1].tolist()) == {1, 2, 3}
+    means = [strength[grade == g].mean() for g in (1, 2, 3)]
+    assert means[0] < means[1] < means[2]
+
+
+def test_scores_are_those_of_the_fitted_model(spark):
+    docs, labels = make(300, 3)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), features=64)
+    for r in toxicity.score(table, model).collect():
+        counts = {}
+        for w in r.text.lower().split():
+            counts[w] = counts.get(w, 0) + 1
+        n = sum(counts.values())
+        eta = 0.0
+        for i, f in enumerate(model.names):
+            k = sum(c for w, c in counts.items() for g in [w.strip(toxicity._EDGE)] if g and (f == g + " " or (not f.endswith(" ") and 2 <= len(f) <= 6 and len(g) > len(f) and g.startswith(f))))
+            if k:
+                eta += model.weights[i] + model.weights[len(model.names) + i] * np.log1p(500 * k / n)
+        at_least = 1 / (1 + np.exp(-(eta - model.thresholds)))
+        assert abs(r.severity - at_least.sum()) < 1e-9 and r.toxic == bool(at_least[0] >= 0.5)
