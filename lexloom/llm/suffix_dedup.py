@@ -204,7 +204,7 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int = 2_000) -> DataFrame:
     """Rows ``(id, mark, low, high)``: bytes [low, high) of a document to remove, in parts that may overlap.
 
     ``docs`` has ``id`` (non-null long), ``mark`` (a hash of the row) and ``bytes``.
@@ -372,7 +372,7 @@ def _cut(docs: DataFrame, text: str, new: dict[str, str], make, length: int, gra
     return frame.mapInArrow(run, schema)
 
 
-def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 2_000) -> DataFrame:
     """The documents with repeated byte strings taken out of ``text``; broken characters at cuts are dropped."""
     columns = docs.columns
 
@@ -382,7 +382,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     return _cut(docs, text, {text: "string"}, make, length, gram, in_task).select(*[F.col(f"`{c}`") for c in columns])
 
 
-def digests(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
+def digests(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 2_000) -> DataFrame:
     """``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each document."""
 
     def make(body: np.ndarray, gone: np.ndarray):
