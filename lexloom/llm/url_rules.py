@@ -183,6 +183,7 @@ def judge(pages: DataFrame, rules: Sequence[str], support: float = 0.01, confide
     kept = [F.col(f"`{c}`") for c in ready.columns if c not in ("rule", "given", "tokens", "verdict", "mined", "items", "by")]
     ready = ready.drop("items", "by", "mined", "verdict")
     open_ = with_items(ready.where("given is null"), items)
-    answers = matched(open_.where("size(items) > 0").select("items").distinct(), found)
+    # Written, so that a set of items that many URLs share can be split in the join.
+    answers = written(matched(open_.where("size(items) > 0").select("items").distinct(), found))
     judged = open_.join(answers, "items", "left").select(*kept, "rule", F.coalesce("by", F.lit(default)).alias("verdict"), "mined")
     return ready.where("given is not null").select(*kept, "rule", F.col("given").alias("verdict"), F.lit(None).cast("string").alias("mined")).unionByName(judged)
