@@ -204,7 +204,7 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int = 2_000) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
     """Rows ``(id, mark, low, high)``: bytes [low, high) of a document to remove, in parts that may overlap.
 
     ``docs`` has ``id`` (non-null long), ``mark`` (a hash of the row) and ``bytes``.
@@ -301,35 +301,39 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int
     names = ["gram", "around", "members", "place", "lead", "n_before", "bytes", "group", "nearest", "farthest"]
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row in the finer groups of both halves of its group's distances [nearest, farthest]."""
+        """Each row in the finer groups of both halves of its group's distances, and a hash of all that the half's windows hold."""
         for whole in batches:
             for batch in (whole.slice(at, 2048) for at in range(0, whole.num_rows, 2048)):
                 before, nb, after, na, near_, far_ = matrices(batch)
                 line = np.concatenate([before[:, ::-1], after], axis=1)
                 grams = gram_hashes(np.r_[line.ravel(), np.zeros(gram, np.uint8)], gram)
-                group, low, high = (batch.column(c).to_numpy() for c in ("group", "nearest", "farthest"))
+                own, low, high = (batch.column(c).to_numpy() for c in ("gram", "nearest", "farthest"))
                 middle = (low + high) // 2
                 for nearest, farthest in ((low, middle), (middle + 1, high)):
                     row = np.flatnonzero((nearest <= farthest) & (near_ <= farthest) & (far_ >= nearest))
-                    # All windows of the half hold these bytes: nearest before the suffix, length - farthest of its own.
-                    begin = row * line.shape[1] + (width - 1) - nearest[row]
-                    key = range_hashes(grams, begin, begin + nearest[row] + length - farthest[row], gram)
-                    key = mix64(key ^ mix64(batch.column("gram").to_numpy().view(np.uint64)[row] + nearest[row].astype(np.uint64)))
+                    nearest, farthest = nearest[row], farthest[row]
+                    at = row * line.shape[1] + width - 1  # where the suffix begins
+                    # All windows of the half hold `nearest` bytes before the suffix and length - farthest of its own.
+                    key = range_hashes(grams, at - nearest, at + length - farthest, gram)
+                    key = mix64(key ^ mix64(own.view(np.uint64)[row] + nearest.astype(np.uint64)))
+                    first, last = np.minimum(farthest, nb[row]), np.minimum(length - nearest, na[row])
+                    held = range_hashes(grams, at - first, at + last, gram) ^ mix64(first.astype(np.uint64) + np.uint64(1))
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names[:7]), pa.array(key.view(np.int64)), pa.array(nearest[row]), pa.array(farthest[row])], names=names)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names[:7]), pa.array(key.view(np.int64)), pa.array(nearest), pa.array(farthest), pa.array(held.view(np.int64))], names=[*names, "held"])
 
     grouped = fetched.withColumns({"group": F.col("gram"), "nearest": F.lit(0).cast("long"), "farthest": F.lit(width - 1).cast("long")})
     found, left = compared(grouped.where("not hot").drop("hot")), grouped.where("hot").drop("hot")
     key = ["gram", "group", "nearest"]
     while not left.isEmpty():
-        left = written(left.mapInArrow(halves, "gram long, around long, members long, place long, lead binary, n_before long, bytes binary, group long, nearest long, farthest long"))
-        sizes = left.groupBy(*key, "farthest").count()
-        one = written(sizes.where("nearest = farthest and count > 1").select(*key))
-        equal = left.where("nearest = farthest and members = 1").join(one, key, "left_semi")
-        found = found.unionByName(equal.select("gram", "around", F.col("nearest").alias("first"), F.col("nearest").alias("last")))
-        large = written(sizes.where((F.col("nearest") < F.col("farthest")) & (F.col("count") > in_task)).select(*key))
-        found = found.unionByName(compared(left.where("nearest < farthest").join(large, key, "left_anti").select(*names)))
-        left = left.join(large, key, "left_semi")
+        spread = written(left.mapInArrow(halves, "gram long, around long, members long, place long, lead binary, n_before long, bytes binary, group long, nearest long, farthest long, held long"))
+        # Rows that hold the same repeat in all the half's windows; one of them stands for them from here on.
+        alike = written(spread.groupBy(*key, "held").agg(F.count("*").alias("n"), F.min("around").alias("around")))
+        equal = spread.where("members = 1").join(alike.where("n > 1").select(*key, "held"), [*key, "held"], "left_semi")
+        found = found.unionByName(equal.select("gram", "around", F.greatest("nearest", near).alias("first"), F.least("farthest", far).alias("last")))
+        one = spread.join(alike, [*key, "held", "around"]).withColumn("members", F.greatest("members", "n")).select(*names)
+        large = written(alike.groupBy(*key).count().where(F.col("count") > in_task).select(*key))
+        found = found.unionByName(compared(one.join(large, key, "left_anti").select(*names)))
+        left = one.join(large, key, "left_semi").select(*names)
 
     maybe = classes.where("members = 1").select("gram", "around", "one.*").join(found, ["gram", "around"])
     rest = maybe.select("id", "mark", (start - F.col("last")).alias("low"), (start - F.col("first") + length).alias("high"))
@@ -372,7 +376,7 @@ def _cut(docs: DataFrame, text: str, new: dict[str, str], make, length: int, gra
     return frame.mapInArrow(run, schema)
 
 
-def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 2_000) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
     """The documents with repeated byte strings taken out of ``text``; broken characters at cuts are dropped."""
     columns = docs.columns
 
@@ -382,7 +386,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     return _cut(docs, text, {text: "string"}, make, length, gram, in_task).select(*[F.col(f"`{c}`") for c in columns])
 
 
-def digests(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 2_000) -> DataFrame:
+def digests(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:
     """``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each document."""
 
     def make(body: np.ndarray, gone: np.ndarray):
