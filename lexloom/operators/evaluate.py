@@ -89,10 +89,36 @@ def failure_class(found: Column, cited: Column, total: Column) -> Column:
     return F.when(found == 0, "miss").when((found < total) & (cited > 0), "partial").when(cited == 0, "uncited").when(cited < found, "half cited").when(found < total, "partial").otherwise("all")
 
 
-def round_robin(table: DataFrame, group: str, order: str) -> DataFrame:
-    """Place of each row when groups take turns."""
-    t = table.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(order)))
-    return t.withColumn("place", F.row_number().over(W.orderBy("turn", group)))
+def round_robin(table: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows when groups take turns, with their place.
+
+    No group gives more than ``most`` rows, which is cut before the shuffle; the places are those of
+    one ordered list of ``most`` rows.
+    """
+    t = table.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("turn") <= most)
+    first = t.orderBy("turn", group).limit(most)
+    return first.withColumn("place", F.row_number().over(W.orderBy("turn", group)))
+
+
+def holders(passages: DataFrame, docs: DataFrame, passage_key: str, key: str, words: int = 8) -> DataFrame:
+    """(passage, document): documents ``(key, body)`` that hold a passage ``(passage_key, text)`` word for word.
+
+    A passage's first ``words`` whole words in a row, by hash, find the candidates in a join with
+    those of the documents; the text decides. Passages too short for that are compared with every
+    document.
+    """
+    def runs(text: Column) -> Column:
+        ws = F.split(text, r"\s+")
+        return F.transform(F.sequence(F.lit(1), F.size(ws) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, words), " ")))
+
+    # The outer words of a passage may be parts of words in a document.
+    long = F.size(F.split("text", r"\s+")) >= words + 2
+    asked = passages.where(long).select(passage_key, "text", F.element_at(runs(F.col("text")), 2).alias("h"))
+    some = docs.where(F.size(F.split("body", r"\s+")) >= words).select(key, F.explode(F.array_distinct(runs(F.col("body")))).alias("h"))
+    pairs = some.join(asked.select("h", passage_key), "h").select(passage_key, key).distinct()
+    found = pairs.join(passages, passage_key).join(docs, key).where(F.contains("body", "text")).select(passage_key, key)
+    short = passages.where(~long).join(docs, F.contains("body", "text")).select(passage_key, key)
+    return found.unionByName(short)
 
 
 def review_scores(answers: DataFrame, key: str, evidence: DataFrame, verdicts: DataFrame, threshold: float = 0.35) -> DataFrame:

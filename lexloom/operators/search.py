@@ -1,17 +1,27 @@
 """Retrieval over many queries at once: BM25, dense, fusion, grouping, reranking.
 
-Tables are long, with explicit ranks; every order that a result depends on has a tie-break.
-A filter of the corpus is applied before anything is ranked.
+Tables are long, with explicit ranks. Scores are ranked as they are (to nine places, so that the
+order in which a sum was taken can't decide) and rounded to six where they are given out; every
+tie goes to the smaller key. A filter of the corpus is applied before anything is ranked.
 
 The store's formulas are ours: idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a term scores
 idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), as often as the query has it; N, df and
 avgdl are those of the whole corpus. Fusion adds 1 / (k + rank), ranks from 1.
+
+Queries are a stated set, asked against all rows in blocks: a block's terms or vectors go to the
+tasks, where a batch of rows is scored for all of them by one matrix product, and only rows that
+can still be among a query's best leave a task. So neither postings of common terms nor pairs of
+queries and rows are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,70 +29,226 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 
 K1, B, RRF_K, HINT_BOOST = 1.2, 0.75, 60, 1.5
+#: Queries in a block, and rows that are scored at once.
+BLOCK, ROWS = 256, 512
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): term counts, and the document's number of terms carried with each."""
-    listed = docs.select(key, T.terms(F.col(text)).alias("ts"))
-    return _spread(listed).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+@dataclass(frozen=True)
+class Index:
+    """Postings ``(term, key, tf, dl, law)``, terms ``(term, df)``, the number of documents and their mean length."""
 
+    postings: DataFrame
+    terms: DataFrame
+    documents: int
+    mean_length: float
 
-def _spread(listed: DataFrame) -> DataFrame:
-    """Rows of terms with ``dl``. The length is taken before, so that rows don't carry the array;
-    the outer form keeps the optimizer from computing the terms once more in a filter.
-    """
-    rest = [c for c in listed.columns if c != "ts"]
-    sized = listed.select(*rest, "ts", F.size("ts").alias("dl"))
-    return sized.select(*rest, "dl", F.explode_outer("ts").alias("term")).where("term is not null")
 
+def postings(docs: DataFrame, key: str, text: str = "text", law: str | None = None) -> DataFrame:
+    """(term, key, tf, dl, law): term counts, and the document's number of terms and its law carried with each."""
+    listed = docs.select(F.col(key).alias("key"), (F.lit(None) if law is None else F.col(law)).cast("string").alias("law"), T.terms(F.col(text)).alias("ts"))
+    # The length is taken before, so that rows don't carry the array; the outer form keeps the
+    # optimizer from computing the terms once more in a filter.
+    sized = listed.select("key", "law", "ts", F.size("ts").alias("dl"))
+    each = sized.select("key", "law", "dl", F.explode_outer("ts").alias("term")).where("term is not null")
+    return each.groupBy("term", "key", "dl", "law").agg(F.count("*").alias("tf")).select("term", "key", "tf", "dl", "law")
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "query_id", keep: Column | None = None, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query, document, score) of every document that shares a term with a query.
 
-    ``docs`` is read twice: once for the corpus's lengths, once for postings of asked terms only,
-    which are filtered before they are counted.
-    """
-    sized = docs.select(key, *([keep.alias("__keep")] if keep is not None else []), T.terms(F.col(text)).alias("ts"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    asked = queries.select(query_key, F.explode_outer(T.terms(F.col("text"))).alias("term")).where("term is not null").groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    found = _spread(sized).join(asked.select("term").distinct(), "term", "left_semi")
-    counted = found.groupBy(*[c for c in found.columns]).agg(F.count("*").alias("tf"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    if keep is not None:
-        counted = counted.where("__keep")
-    weighed = counted.join(df, "term")
-    n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = weighed.select(key, "term", part.alias("part")).join(asked, "term")
-    return scored.groupBy(query_key, key).agg(F.round(F.sum(F.col("qtf") * F.col("part")), 6).alias("score"))
+def lengths(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: ``documents`` and ``mean_length``, documents without a term included."""
+    return docs.agg(F.count("*").alias("documents"), F.coalesce(F.avg(F.size(T.terms(F.col(text)))), F.lit(0.0)).alias("mean_length"))
 
 
-def ranked(scores: DataFrame, limit: int | None, query: str = "query_id", key: str = "doc_id") -> DataFrame:
-    """Rank from 1 by descending score, ties to the smaller key; the limit reaches below the shuffle."""
-    out = scores.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), F.asc(key))))
-    return out if limit is None else out.where(F.col("rank") <= limit)
+def _blocks(queries: DataFrame, query: str, block: int) -> int:
+    """How many blocks of about ``block`` queries there are; queries fall into them by hash."""
+    return -(-queries.select(query).distinct().count() // block)
+
+
+def _in_block(query: str, blocks: int, b: int) -> Column:
+    return F.pmod(F.xxhash64(query), F.lit(blocks)) == b
+
+
+class _Best:
+    """Which rows of batches that pass by can be among each query's ``limit`` best."""
+
+    def __init__(self, queries: int, limit: int):
+        self.limit, self.top = limit, np.full((limit, queries), -np.inf)
+
+    def of(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query) of (rows x queries) scores; minus infinity and NaN never."""
+        scores[np.isnan(scores)] = -np.inf
+        both = np.concatenate([self.top, scores])
+        self.top = np.partition(both, len(both) - self.limit, axis=0)[len(both) - self.limit :]
+        least = self.top.min(axis=0)
+        return np.nonzero((scores >= least - 1e-8 * np.maximum(1, np.abs(least))) & np.isfinite(scores))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def _masks(laws: list[list[str] | None]) -> Callable[[str | None], np.ndarray | None]:
+    """For a row's law, which queries' filters leave it out; None where no query has a filter."""
+    wanted = [set(x) if x else None for x in laws]
+    some, seen = any(w is not None for w in wanted), {}
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    def out(law: str | None) -> np.ndarray | None:
+        if not some:
+            return None
+        if law not in seen:
+            seen[law] = np.array([w is not None and law not in w for w in wanted], dtype=bool)
+        return seen[law]
 
+    return out
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "query_id") -> DataFrame:
-    """Exact cosine of every query with every row: a stated query set against all rows."""
-    pairs = vectors.join(queries.select(query_key, F.col("vector").alias("__q")), F.col(query_key).isNotNull())
-    return pairs.select(query_key, key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
+
+def _filters(queries: DataFrame) -> Column:
+    return F.col("laws") if "laws" in queries.columns else F.lit(None).cast("array<string>")
+
+
+def top_bm25(index: Index, queries: DataFrame, limit: int, query: str = "query_id", key: str = "doc_id", allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, key, score, rank) of each query's ``limit`` best rows that share a term with it.
+
+    ``queries(query, text)`` may have ``laws``, a filter of each query's own; ``allowed(key)`` is
+    one for all. Postings are read by the asked terms only.
+    """
+    spark = queries.sparkSession
+    kinds = {"query": dict(queries.dtypes)[query], "key": dict(index.postings.dtypes)["key"]}
+    schema = f"query {kinds['query']}, key {kinds['key']}, score double"
+    asked = queries.select(F.col(query).alias("query"), _filters(queries).alias("laws"), F.explode_outer(T.terms(F.col("text"))).alias("term")).where("term is not null").groupBy("query", "laws", "term").agg(F.count("*").alias("qtf"))
+    n, average = index.documents, max(index.mean_length, 1e-9)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
+    posted = index.postings if allowed is None else index.postings.join(allowed.select(F.col(allowed.columns[0]).alias("key")).distinct(), "key", "left_semi")
+    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks, found = _blocks(queries, query, BLOCK), []
+    for at in range(blocks):
+        rows = asked.where(_in_block("query", blocks, at)).collect()  # about BLOCK queries and their terms
+        if not rows:
+            continue
+        names = sorted({(r.query, tuple(r.laws) if r.laws is not None else None) for r in rows}, key=str)
+        terms = sorted({r.term for r in rows})
+        place, number = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(terms)}
+        weights = np.zeros((len(terms), len(names)))
+        for r in rows:
+            weights[number[r.term], place[r.query, tuple(r.laws) if r.laws is not None else None]] = r.qtf
+        ids, filters = [q for q, _ in names], [list(x) if x is not None else None for _, x in names]
+        mine = spark.createDataFrame(list(number.items()), "term string, t int").join(index.terms, "term").select("term", "t", idf.alias("idf"))
+        weighed = posted.join(mine, "term").select("key", "law", "t", part.alias("part"))
+        dealt = weighed.repartition(count, "key").sortWithinPartitions("key")
+        found.append(dealt.mapInArrow(_products(weights, ids, filters, limit, kinds["query"]), schema))
+    scored = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    return ranked(scored.withColumnsRenamed({"query": query, "key": key}), limit, query, key)
+
+
+def _products(weights: np.ndarray, ids: list, filters: list, limit: int, kind: str):
+    """Rows ``(key, law, t, part)`` come sorted by key; gives (query, key, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, left_out = _Best(len(ids), limit), _masks(filters)
+        names = pa.array(ids, type=_arrow(kind))
+
+        def settle(lot: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys, law, t, part = (lot.column(c).combine_chunks() for c in ("key", "law", "t", "part"))
+            row = _run_numbers(keys)
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            laws = law.take(pa.array(first)).to_pylist()
+            t, part = t.to_numpy(), part.to_numpy()
+            for s in range(0, len(first), ROWS):
+                low, high = first[s], first[s + ROWS] if s + ROWS < len(first) else len(row)
+                used, column = np.unique(t[low:high], return_inverse=True)
+                table = np.zeros((row[high - 1] - s + 1, len(used)))
+                table[row[low:high] - s, column] = part[low:high]
+                scores = table @ weights[used]
+                scores[scores <= 0] = -np.inf
+                for i, x in enumerate(laws[s : s + ROWS]):
+                    out = left_out(x)
+                    if out is not None:
+                        scores[i, out] = -np.inf
+                i, q = best.of(scores)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), keys.take(pa.array(first[s + i])), pa.array(scores[i, q])], names=["query", "key", "score"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= 65_536:
+                lot = pa.Table.from_batches(held)
+                row = _run_numbers(lot.column("key").combine_chunks())
+                end = int(np.searchsorted(row, row[-1]))  # the last key may go on in the next batch
+                if end:
+                    yield from settle(lot.slice(0, end))
+                    held = lot.slice(end).to_batches()
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    return run
+
+
+def _run_numbers(keys: pa.Array) -> np.ndarray:
+    """Numbers of runs of equal keys, from 0."""
+    codes = keys.dictionary_encode().indices.to_numpy()
+    return np.cumsum(np.r_[0, codes[1:] != codes[:-1]])
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def top_dense(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """(query, key, score, rank) of each query's ``limit`` best rows by exact cosine in double precision.
+
+    ``vectors(key, vector)`` may have ``law``, ``queries(query, vector)`` may have ``laws``. Rows of
+    another length than the query's, and those that are null or zero, have no score.
+    """
+    spark = queries.sparkSession
+    kinds = {"query": dict(queries.dtypes)[query], "key": dict(vectors.dtypes)[key]}
+    schema = f"query {kinds['query']}, key {kinds['key']}, score double"
+    law = F.col("law").cast("string") if "law" in vectors.columns else F.lit(None).cast("string")
+    rows = vectors.select(F.col(key).alias("key"), law.alias("law"), F.col("vector").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)")
+    blocks, found = _blocks(queries, query, BLOCK), []
+    asked = queries.select(F.col(query).alias("query"), _filters(queries).alias("laws"), F.col("vector").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)")
+    for at in range(blocks):
+        some = asked.where(_in_block("query", blocks, at)).collect()  # about BLOCK vectors
+        for width in sorted({len(r.v) for r in some}):
+            mine = sorted((r for r in some if len(r.v) == width), key=lambda r: str(r.query))
+            matrix = np.array([r.v for r in mine]).reshape(len(mine), width)
+            found.append(rows.where(F.size("v") == width).mapInArrow(_cosines(matrix, [r.query for r in mine], [r.laws for r in mine], limit, kinds["query"]), schema))
+    scored = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    return ranked(scored.withColumnsRenamed({"query": query, "key": key}), limit, query, key)
+
+
+def _cosines(matrix: np.ndarray, ids: list, filters: list, limit: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, left_out, names = _Best(len(ids), limit), _masks(filters), pa.array(ids, type=_arrow(kind))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            asked = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 8 * ROWS):
+                    batch = whole.slice(at, 8 * ROWS)
+                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    scores = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ asked.T
+                    for i, x in enumerate(batch.column("law").to_pylist()):
+                        out = left_out(x)
+                        if out is not None:
+                            scores[i, out] = -np.inf
+                    i, q = best.of(scores)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("key").take(pa.array(i)), pa.array(scores[i, q])], names=["query", "key", "score"])
+
+    return run
+
+
+def ranked(scores: DataFrame, limit: int | None, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """Rank from 1 by descending score, ties to the smaller key; the limit reaches below the shuffle."""
+    order = W.partitionBy(query).orderBy(F.desc(F.round("score", 9)), F.asc(key))
+    out = scores.withColumn("rank", F.row_number().over(order))
+    out = out if limit is None else out.where(F.col("rank") <= limit)
+    return out.withColumn("score", F.round("score", 6))
 
 
 def fuse(channels: dict[str, DataFrame], limit: int, k: int = RRF_K, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion of ranked channels; a single channel keeps its own scores."""
     if len(channels) == 1:
-        return ranked(next(iter(channels.values())).select(query, key, "score"), limit, query, key)
+        return next(iter(channels.values())).select(query, key, "score", "rank").where(F.col("rank") <= limit)
     union = reduce(DataFrame.unionByName, [c.select(query, key, (1.0 / (k + F.col("rank"))).alias("part")) for c in channels.values()])
-    return ranked(union.groupBy(query, key).agg(F.round(F.sum("part"), 9).alias("score")), limit, query, key)
+    fused = union.groupBy(query, key).agg(F.round(F.sum("part"), 9).alias("score"))
+    return fused.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))).where(F.col("rank") <= limit)
 
 
 def with_channels(fused: DataFrame, channels: dict[str, DataFrame], query: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -95,14 +261,21 @@ def with_channels(fused: DataFrame, channels: dict[str, DataFrame], query: str =
 def group_to_parents(hits: DataFrame, chunks: DataFrame, hints: DataFrame | None = None, query: str = "query_id", boost: float = HINT_BOOST) -> DataFrame:
     """Hits of chunks to parents: best child's score, once boosted where a hint is in the name, the chunks hit.
 
-    ``chunks(chunk_id, parent_id, name)``. Order: score, number of chunks, then the first place in ``hits``.
+    ``chunks(chunk_id, parent_id, name)``; ``hints(query, hint)`` may have ``pos``: of several that
+    fit, the first by it is the parent's ``hint``. Order: score, number of chunks, then the first
+    place in ``hits``.
     """
     joined = hits.join(chunks, "chunk_id")
     parents = joined.groupBy(query, "parent_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("chunk_id")).alias("hit_chunks"), F.min("rank").alias("first"), F.first("name").alias("name"))
+    hint = F.lit(None).cast("string").alias("hint")
     if hints is not None:
-        hinted = parents.join(hints, (parents[query] == hints[query]) & F.col("name").contains(F.col("hint"))).select(parents[query], "parent_id").distinct()
-        parents = parents.join(hinted.withColumn("hinted", F.lit(True)), [query, "parent_id"], "left")
-        parents = parents.withColumn("score", F.when(F.col("hinted"), F.col("score") * boost).otherwise(F.col("score"))).drop("hinted")
+        place = F.col("pos") if "pos" in hints.columns else F.lit(0)
+        listed = hints.groupBy(query).agg(F.transform(F.array_sort(F.collect_set(F.struct(place.alias("pos"), "hint"))), lambda x: x["hint"]).alias("hints"))
+        fits = F.element_at(F.filter("hints", lambda h: F.contains(F.col("name"), h)), 1)
+        parents = parents.join(listed, query, "left").withColumn("hint", F.when(F.exists(F.coalesce("hints", F.array().cast("array<string>")), lambda h: F.contains(F.col("name"), h)), fits)).drop("hints")
+        parents = parents.withColumn("score", F.when(F.col("hint").isNotNull(), F.col("score") * boost).otherwise(F.col("score")))
+    else:
+        parents = parents.select("*", hint)
     order = W.partitionBy(query).orderBy(F.desc("score"), F.desc(F.size("hit_chunks")), "first")
     return parents.withColumn("rank", F.row_number().over(order))
 
@@ -124,8 +297,9 @@ def rerank(hits: DataFrame, question: str, passage: str, top_n: int = 0, score:
 
     ``hits`` has ``rank``; ``score`` is a column of a model's scores, by default the overlap.
     """
-    new = F.round(score if score is not None else overlap_score(F.col(question), F.col(passage)), 6)
+    new = score if score is not None else overlap_score(F.col(question), F.col(passage))
     inside = F.lit(True) if top_n == 0 else F.col("rank") <= top_n
     out = hits.withColumn("inside", inside).withColumn("score", F.when(F.col("inside"), new).otherwise(F.col("score")))
-    order = W.partitionBy(query).orderBy(F.desc("inside"), F.when(F.col("inside"), -F.col("score")), "rank")
-    return out.withColumn("new_rank", F.row_number().over(order)).drop("inside", "rank").withColumnRenamed("new_rank", "rank")
+    order = W.partitionBy(query).orderBy(F.desc("inside"), F.when(F.col("inside"), -F.round("score", 9)), "rank")
+    out = out.withColumn("new_rank", F.row_number().over(order)).withColumn("score", F.when(F.col("inside"), F.round("score", 6)).otherwise(F.col("score")))
+    return out.drop("inside", "rank").withColumnRenamed("new_rank", "rank")

@@ -6,25 +6,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.operators import answers, evaluate, search
-from lexloom.plans.retrieval import _bm25_sql
+from lexloom.plans.retrieval import _bm25_sql, corpus_index
 from lexloom.plans.tables import Book, table
 
 BOOK = Book()
 
-_POOL = f"{_bm25_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM sc), h AS (SELECT item_id, k AS doc_id, rank FROM r WHERE rank <= 20), gold AS (SELECT item_id, doc_id, source FROM benchmark b JOIN documents d ON contains(d.text, b.text)), res AS (SELECT b.item_id, (SELECT min(rank) FROM h JOIN gold g USING (item_id, doc_id) WHERE h.item_id = b.item_id) AS rank FROM benchmark b)"
+_POOL = f"{_bm25_sql()}, h AS (SELECT item_id, k AS doc_id, rank FROM r WHERE rank <= 20), gold AS (SELECT item_id, doc_id, source FROM benchmark b JOIN documents d ON contains(d.text, b.text)), res AS (SELECT b.item_id, (SELECT min(rank) FROM h JOIN gold g USING (item_id, doc_id) WHERE h.item_id = b.item_id) AS rank FROM benchmark b)"
 _METRICS = "count(*) AS n, coalesce(round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6), 0) AS hit_at_1, coalesce(round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6), 0) AS hit_at_3, coalesce(round(avg(CASE WHEN rank <= 6 THEN 1.0::DOUBLE ELSE 0 END), 6), 0) AS hit_at_6, coalesce(round(sum(CASE WHEN rank <= 6 THEN 1.0::DOUBLE / rank ELSE 0 END) / count(*), 6), 0) AS mrr_at_6, coalesce(round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6), 0) AS mrr, count(rank) AS pool_hits, coalesce(round(avg(CASE WHEN rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6), 0) AS pool_recall"
 
 
 def _gold(spark, sf_dir):
-    """Documents that hold a benchmark passage word for word: its longest line finds them, all of it decides."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("body"))
-    return table(spark, sf_dir, "benchmark").join(docs, F.contains("body", "text")).select("item_id", "doc_id", "source")
+    """Documents that hold a benchmark passage word for word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    found = evaluate.holders(table(spark, sf_dir, "benchmark").select("item_id", "text"), docs, "item_id", "doc_id")
+    return found.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("item_id", "doc_id", "source")
 
 
 def _results(spark, sf_dir, gold):
     cases = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    scores = search.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), cases, query_key="item_id")
-    return evaluate.first_ranks(cases, gold.select("item_id", "doc_id"), search.ranked(scores, 20, "item_id"), "item_id")
+    hits = search.top_bm25(corpus_index(spark, sf_dir), cases, 20, "item_id")
+    return evaluate.first_ranks(cases, gold.select("item_id", "doc_id"), hits, "item_id")
 
 
 @BOOK.query(f"WITH {_POOL} SELECT {_METRICS} FROM res")
@@ -61,12 +62,12 @@ def q_upper_median(spark, sf_dir):
     return evaluate.upper_median(table(spark, sf_dir, "documents"), "n_chars", ["source"])
 
 
-_VARIANTS = "v AS (SELECT user_id AS question, event_id AS pos, list_sort(list_distinct([(event_id % 3), (user_id % 3)])) AS gold0, event_type FROM events WHERE user_id % 5 <> 4), w AS (SELECT question, pos, CASE WHEN event_type = 'view' THEN [] ELSE gold0 END AS gold FROM v)"
+_VARIANTS = "v AS (SELECT user_id AS question, event_id AS pos, list_sort(list_distinct([(event_id % 3), (user_id % 3)])) AS gold0, event_type FROM events), w AS (SELECT question, pos, CASE WHEN event_type = 'view' THEN [] ELSE gold0 END AS gold FROM v)"
 _COMMON = f"{_VARIANTS}, c AS (SELECT * FROM w WHERE len(gold) > 0), n AS (SELECT question, count(*) AS n, arg_min(gold, pos) AS first FROM c GROUP BY question), e AS (SELECT question, key, count(*) AS c FROM (SELECT question, unnest(gold) AS key FROM c) GROUP BY ALL), k AS (SELECT question, string_agg(key, ' ' ORDER BY list_position(first, key)) AS gold FROM n JOIN e USING (question) WHERE c = n AND list_contains(first, key) GROUP BY question), o AS (SELECT question, gold, CASE WHEN n IS NULL THEN 'no citation' WHEN gold IS NULL THEN 'variants disagree' END AS reason FROM (SELECT DISTINCT question FROM w) LEFT JOIN n USING (question) LEFT JOIN k USING (question))"
 
 
 def _common(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 5 <> 4")
+    e = table(spark, sf_dir, "events")
     pair = F.array_sort(F.array_distinct(F.array(F.col("event_id") % 3, F.col("user_id") % 3)))
     gold = F.when(F.col("event_type") == "view", F.array().cast("array<bigint>")).otherwise(pair)
     return evaluate.common_gold(e.select(F.col("user_id").alias("question"), F.col("event_id").alias("pos"), gold.alias("gold"))).withColumn("gold", F.array_join("gold", " "))
@@ -93,7 +94,7 @@ def q_dataset_drift(spark, sf_dir):
 
 @BOOK.query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY turn, p_brand) AS INTEGER) AS place FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part) QUALIFY row_number() OVER (ORDER BY turn, p_brand) <= 200")
 def q_round_robin_candidates(spark, sf_dir):
-    return evaluate.round_robin(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").where("place <= 200").select("p_partkey", "place")
+    return evaluate.round_robin(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 200).select("p_partkey", "place")
 
 
 @BOOK.query(r"""WITH a AS (SELECT doc_id, list_distinct([CAST(doc_id % 4 AS INTEGER), CAST(doc_id % 7 AS INTEGER), CAST(n_chars % 5 AS INTEGER)]) AS labels FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, [] FROM documents WHERE doc_id % 10 = 3),
@@ -122,10 +123,10 @@ _TOP = "t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars
 def _long_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return d.withColumn("rank", rank).select(F.col("source").alias("query_id"), "doc_id", "rank", F.concat(F.lit("《"), "lang", F.lit("》")).alias("citation"), F.substring("text", 1, 40).alias("text"))
+    return d.withColumn("rank", rank).select(F.col("source").alias("query_id"), "doc_id", "rank", F.concat(F.lit("《"), "lang", F.lit("》")).alias("citation"), "text")
 
 
-@BOOK.query(f"""WITH {_TOP}, e AS (SELECT source AS query_id, string_agg('【依据' || rank || '】' || '《' || lang || '》' || chr(10) || substr(text, 1, 40), chr(10) || chr(10) ORDER BY rank) AS block FROM t WHERE rank <= 3 AND source <> 'src1' GROUP BY source)
+@BOOK.query(f"""WITH {_TOP}, e AS (SELECT source AS query_id, string_agg('【依据' || rank || '】' || '《' || lang || '》' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS block FROM t WHERE rank <= 3 AND source <> 'src1' GROUP BY source)
  SELECT q.query_id, block || chr(10) || chr(10) || '问题：' || q.query_id AS prompt, CASE WHEN block IS NULL THEN 'empty' ELSE 'unavailable' END AS route FROM (SELECT DISTINCT source AS query_id FROM documents) q LEFT JOIN e USING (query_id)""")
 def q_answer_prompt(spark, sf_dir):
     labelled = answers.evidence(_long_documents(spark, sf_dir).where("query_id <> 'src1'"), top_n=3)

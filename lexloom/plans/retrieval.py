@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.functions import text as T
-from lexloom.operators import rewrite, rounds, search
+from lexloom.operators import retrieve, rewrite, rounds, search
 from lexloom.plans.tables import Book, table
+from lexloom.session import scratch_folder
+from lexloom.sources import sinks
 
 BOOK = Book()
 
@@ -18,49 +20,84 @@ _BM25 = r"""
  terms AS (SELECT DISTINCT term FROM q),
  tf AS (SELECT k, keep, dl, term, count(*) AS tf FROM (SELECT k, keep, len(ts) AS dl, unnest(ts) AS term FROM tok) SEMI JOIN terms USING (term) GROUP BY ALL),
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
- sc AS (SELECT item_id, k, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
-        FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN totals WHERE keep GROUP BY item_id, k)"""
+ sc AS (SELECT item_id, k, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS raw, round(raw, 6) AS score
+        FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN totals WHERE keep GROUP BY item_id, k),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, k) AS rank FROM sc)"""
 
 
 def _bm25_sql(docs: str = "documents", key: str = "doc_id", keep: str = "true", queries: str = "benchmark") -> str:
     return _BM25.format(docs=docs, key=key, keep=keep, queries=queries)
 
 
+_LINES = "(SELECT doc_id, i - 1 AS line, doc_id || '#' || (i - 1) AS chunk_id, parts[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(parts[i]) <> '')"
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    split = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("law"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return split.where(F.trim("text") != "").withColumn("chunk_id", F.concat_ws("#", "doc_id", "line"))
+
+
+#: Indexes of this application by table and folder: built once, read by every query after.
+_built: dict[tuple[str, str, str], search.Index] = {}
+
+
+def corpus_index(spark, sf_dir, of: str = "documents") -> search.Index:
+    """The written index of the documents or of their lines; the first query that needs it builds it."""
+    key = (spark.sparkContext.applicationId, sf_dir, of)
+    if key not in _built:
+        path = f"{scratch_folder(spark, 'index')}/{len(_built)}"
+        if of == "documents":
+            sinks.save_index(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path, "doc_id", "source")
+        else:
+            sinks.save_index(_chunks(spark, sf_dir), path, "chunk_id", "law")
+        _built[key] = sinks.load_index(spark, path)
+    return _built[key]
+
+
 def _questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", "text")
 
 
-@BOOK.query(f"WITH {_bm25_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM sc) SELECT item_id, k AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6")
+def _bm25(spark, sf_dir, limit: int, **options) -> DataFrame:
+    return search.top_bm25(corpus_index(spark, sf_dir), _questions(spark, sf_dir), limit, "item_id", **options)
+
+
+@BOOK.query(r"""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents), p AS (SELECT DISTINCT doc_id, unnest(ts) AS term FROM tok)
+ SELECT (SELECT count(*) FROM tok) AS documents, (SELECT round(avg(coalesce(len(ts), 0)), 6) FROM tok) AS mean_length, (SELECT count(DISTINCT term) FROM p) AS terms, (SELECT count(*) FROM p) AS postings""")
+def q_index_stats(spark, sf_dir):
+    index = corpus_index(spark, sf_dir)
+    sizes = index.terms.agg(F.count("*").alias("terms")).crossJoin(index.postings.agg(F.count("*").alias("postings")))  # one row each
+    return sizes.select(F.lit(index.documents).cast("long").alias("documents"), F.round(F.lit(index.mean_length), 6).alias("mean_length"), "terms", "postings")
+
+
+@BOOK.query(f"WITH {_bm25_sql()} SELECT item_id, k AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6")
 def q_bm25_topk(spark, sf_dir):
-    scores = search.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir), query_key="item_id")
-    return search.ranked(scores, 6, "item_id")
+    return _bm25(spark, sf_dir, 6)
 
 
-@BOOK.query(f"""WITH {_bm25_sql(keep="lang IN ('de', 'fr') AND source <> 'src0'")}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM sc) SELECT item_id, k AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
+@BOOK.query(f"""WITH {_bm25_sql(keep="lang IN ('de', 'fr') AND source <> 'src0'")} SELECT item_id, k AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
 def q_filtered_search(spark, sf_dir):
     keep = F.col("lang").isin("de", "fr") & (F.col("source") != "src0")
-    scores = search.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), query_key="item_id", keep=keep)
-    return search.ranked(scores, 6, "item_id")
+    return _bm25(spark, sf_dir, 6, allowed=table(spark, sf_dir, "documents").where(keep).select("doc_id"))
 
 
-_DENSE = """ v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
- qv AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id < 10),
- d AS (SELECT query_id, vec_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM v CROSS JOIN qv),
- dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d),
- s AS (SELECT query_id, vec_id, round(list_dot_product(v[1:32], q[1:32]) / (sqrt(list_dot_product(v[1:32], v[1:32])) * sqrt(list_dot_product(q[1:32], q[1:32]))), 6) AS score FROM v CROSS JOIN qv),
- sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
- f AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM dr WHERE rank <= 20 UNION ALL SELECT * FROM sr WHERE rank <= 20) GROUP BY ALL),
+_DENSE = """ v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+ d AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(v.v, q.v) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(q.v, q.v))) AS raw, round(raw, 6) AS score FROM v CROSS JOIN v q),
+ dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, vec_id) AS rank FROM d WHERE isfinite(raw)),
+ h AS (SELECT vec_id, v[1:32] AS v FROM v),
+ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(v.v, q.v) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(q.v, q.v))) AS raw, round(raw, 6) AS score FROM h v CROSS JOIN h q),
+ sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, vec_id) AS rank FROM s WHERE isfinite(raw)),
+ f AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, vec_id, rank FROM dr WHERE rank <= 20 UNION ALL SELECT query_id, vec_id, rank FROM sr WHERE rank <= 20) GROUP BY ALL),
  fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f)"""
 
 
 def _channels(spark, sf_dir, limit: int = 20) -> dict[str, DataFrame]:
-    """Two rankings of the vectors for ten of them: by whole vectors, and by their first halves."""
+    """Two rankings of the vectors for each of them: by whole vectors, and by their first halves."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     out = {}
     for name, v in (("dense", F.col("vector")), ("half", F.slice("vector", 1, 32))):
         t = vectors.select("vec_id", v.alias("vector"))
-        asked = t.where("vec_id < 10").withColumnRenamed("vec_id", "query_id")
-        out[name] = search.ranked(search.dense(t, asked, "vec_id"), limit, key="vec_id")
+        out[name] = search.top_dense(t, t.withColumnRenamed("vec_id", "query_id"), limit, "vec_id")
     return out
 
 
@@ -81,44 +118,78 @@ def q_channel_detail(spark, sf_dir):
     return search.with_channels(search.fuse(channels, 10, key="vec_id"), channels, key="vec_id")
 
 
-_LINES = "(SELECT doc_id, i - 1 AS line, doc_id || '#' || (i - 1) AS chunk_id, parts[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(parts[i]) <> '')"
+def _parents(spark, sf_dir) -> DataFrame:
+    """Chunks that are hit name their document and its source."""
+    return _chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").alias("parent_id"), F.col("law").alias("name"))
 
 
-def _chunks(spark, sf_dir) -> DataFrame:
-    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return split.where(F.trim("text") != "").withColumn("chunk_id", F.concat_ws("#", "doc_id", "line"))
+def _hints(spark, sf_dir) -> DataFrame:
+    """Each question hints at two sources, the first of which is its first."""
+    two = F.array(*[F.struct(F.lit(i).alias("pos"), F.concat(F.lit("src"), (F.col("item_id") + i) % 4).alias("hint")) for i in range(2)])
+    return _questions(spark, sf_dir).select("item_id", F.explode(two).alias("x")).select("item_id", "x.pos", "x.hint")
 
 
-def _grouped(spark, sf_dir) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    asked = _questions(spark, sf_dir).where("item_id < 20")
-    hits = search.ranked(search.bm25(chunks, asked, "chunk_id", "item_id"), 20, "item_id", "chunk_id")
-    parents = chunks.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("chunk_id", F.col("doc_id").alias("parent_id"), F.col("source").alias("name"))
-    hints = spark.createDataFrame([(i, f"src{i % 3}") for i in range(20)], "item_id long, hint string")
-    return search.group_to_parents(hits, parents, hints, "item_id")
+_HINT = "CASE WHEN contains(any_value({name}), 'src' || ({id} % 4)) THEN 'src' || ({id} % 4) WHEN contains(any_value({name}), 'src' || (({id} + 1) % 4)) THEN 'src' || (({id} + 1) % 4) END"
 
 
-@BOOK.query(f"""WITH {_bm25_sql(docs=_LINES, key="chunk_id", queries="(SELECT * FROM benchmark WHERE item_id < 20)")},
- r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM sc), h AS (SELECT * FROM r WHERE rank <= 20),
- p AS (SELECT h.item_id, l.doc_id AS parent_id, max(h.score) * CASE WHEN contains(any_value(d.source), 'src' || (h.item_id % 3)) THEN 1.5 ELSE 1 END AS score, count(DISTINCT l.chunk_id) AS n, string_agg(l.chunk_id, ' ' ORDER BY l.chunk_id) AS chunks, min(h.rank) AS first
+@BOOK.query(f"""WITH {_bm25_sql(docs=_LINES, key="chunk_id")}, h AS (SELECT * FROM r WHERE rank <= 20),
+ p AS (SELECT h.item_id, l.doc_id AS parent_id, {_HINT.format(name="d.source", id="h.item_id")} AS hint, max(h.score) * CASE WHEN hint IS NULL THEN 1 ELSE 1.5 END AS score, count(DISTINCT l.chunk_id) AS n, string_agg(l.chunk_id, ' ' ORDER BY l.chunk_id) AS chunks, min(h.rank) AS first
        FROM h JOIN {_LINES} l ON l.chunk_id = h.k JOIN documents d ON d.doc_id = l.doc_id GROUP BY h.item_id, l.doc_id)
- SELECT item_id, parent_id, score, chunks, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n DESC, first) AS INTEGER) AS rank FROM p""")
+ SELECT item_id, parent_id, hint, score, chunks, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n DESC, first) AS INTEGER) AS rank FROM p""")
 def q_group_child_parent(spark, sf_dir):
-    return _grouped(spark, sf_dir).select("item_id", "parent_id", "score", F.array_join("hit_chunks", " ").alias("chunks"), "rank")
+    hits = search.top_bm25(corpus_index(spark, sf_dir, "lines"), _questions(spark, sf_dir), 20, "item_id", "chunk_id")
+    grouped = search.group_to_parents(hits, _parents(spark, sf_dir), _hints(spark, sf_dir), "item_id")
+    return grouped.select("item_id", "parent_id", "hint", "score", F.array_join("hit_chunks", " ").alias("chunks"), "rank")
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text: Column) -> Column:
+    """A stand-in embedder: how often each letter a-z occurs."""
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
+
+
+_VECTOR = "list_transform(string_split('" + " ".join(_LETTERS) + "', ' '), lambda c: CAST(length({0}) - length(replace({0}, c, '')) AS DOUBLE))"
+_ALLOWED = "(b.item_id % 3 <> 0 OR d.source IN ('src1', 'src2'))"
+
+
+@BOOK.query(rf"""WITH lines AS {_LINES}, tok AS (SELECT chunk_id, doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM lines), totals AS (SELECT count(*) AS n, avg(coalesce(len(ts), 0)) AS avgdl FROM tok),
+ b AS (SELECT item_id, trim(text) AS text FROM benchmark), q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM b) GROUP BY ALL),
+ tf AS (SELECT chunk_id, doc_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, doc_id, len(ts) AS dl, unnest(ts) AS term FROM tok) SEMI JOIN q USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ sb AS (SELECT item_id, chunk_id, any_value(doc_id) AS doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS raw FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN totals GROUP BY item_id, chunk_id),
+ bm AS (SELECT b.item_id, chunk_id, raw, row_number() OVER (PARTITION BY b.item_id ORDER BY round(raw, 9) DESC, chunk_id) AS rank FROM sb b JOIN documents d USING (doc_id) WHERE {_ALLOWED} QUALIFY rank <= 20),
+ v AS (SELECT chunk_id, doc_id, {_VECTOR.format("text")} AS v FROM lines), qv AS (SELECT item_id, {_VECTOR.format("text")} AS v FROM b),
+ sd AS (SELECT b.item_id, chunk_id, list_dot_product(v.v, b.v) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(b.v, b.v))) AS raw FROM v JOIN documents d USING (doc_id) CROSS JOIN qv b WHERE {_ALLOWED}),
+ de AS (SELECT item_id, chunk_id, raw, row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, chunk_id) AS rank FROM sd WHERE isfinite(raw) QUALIFY rank <= 20),
+ f AS (SELECT item_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT item_id, chunk_id, rank FROM bm UNION ALL SELECT item_id, chunk_id, rank FROM de) GROUP BY ALL),
+ fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 20),
+ p AS (SELECT fr.item_id, l.doc_id AS parent_id, {_HINT.format(name="d.source", id="fr.item_id")} AS hint, max(fr.score) * CASE WHEN hint IS NULL THEN 1 ELSE 1.5 END AS score, count(*) AS n, string_agg(fr.chunk_id, ' ' ORDER BY fr.chunk_id) AS chunks, min(fr.rank) AS first, min(de.rank) AS dense_rank, min(bm.rank) AS bm25_rank
+   FROM fr JOIN lines l USING (chunk_id) JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN de ON de.item_id = fr.item_id AND de.chunk_id = fr.chunk_id LEFT JOIN bm ON bm.item_id = fr.item_id AND bm.chunk_id = fr.chunk_id GROUP BY fr.item_id, l.doc_id),
+ g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n DESC, first) AS rank FROM p),
+ x AS (SELECT g.*, len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+')), list_distinct(regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}]+')))) / greatest(len(list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+'))), 1) AS new FROM g JOIN b USING (item_id) JOIN documents d ON d.doc_id = g.parent_id),
+ y AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (rank <= 8) DESC, CASE WHEN rank <= 8 THEN -round(new, 9) END, rank) AS place FROM x)
+ SELECT item_id, parent_id, CAST(place AS INTEGER) AS rank, CASE WHEN rank <= 8 THEN round(new, 6) ELSE score END AS score, chunks, hint, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank FROM y WHERE place <= CASE WHEN item_id % 2 = 0 THEN 6 ELSE 10 END""")
+def q_retrieve(spark, sf_dir):
+    """The whole retrieval of every question: filter, dense and BM25, fusion, parents with hints, reranking."""
+    asked = _questions(spark, sf_dir).withColumns({"laws": F.when(F.col("item_id") % 3 == 0, F.array(F.lit("src1"), F.lit("src2"))), "top_k": F.when(F.col("item_id") % 2 == 0, 6).otherwise(10)})
+    chunks = _chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").alias("parent_id"), F.col("law").alias("name"), "law", letter_counts(F.col("text")).alias("vector"))
+    corpus = retrieve.Corpus(corpus_index(spark, sf_dir, "lines"), chunks, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), "text"))
+    found, _ = retrieve.retrieved(corpus, asked, retrieve.Settings(rerank_first=8), letter_counts, hints=_hints(spark, sf_dir), query="item_id")
+    return found.select("item_id", "parent_id", "rank", "score", F.array_join("hit_chunks", " ").alias("chunks"), "hint", "dense_rank", "bm25_rank")
 
 
 _TERMS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
 
 
-@BOOK.query(f"""WITH {_bm25_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM sc),
- pool AS (SELECT r.item_id, k AS doc_id, rank, r.score, round(len(list_intersect({_TERMS.format('b.text')}, {_TERMS.format('d.text')})) / greatest(len({_TERMS.format('b.text')}), 1), 6) AS new
+@BOOK.query(f"""WITH {_bm25_sql()},
+ pool AS (SELECT r.item_id, k AS doc_id, rank, r.score, len(list_intersect({_TERMS.format('b.text')}, {_TERMS.format('d.text')})) / greatest(len({_TERMS.format('b.text')}), 1) AS new
           FROM r JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = r.k WHERE rank <= 20),
- w AS (SELECT *, rank <= 10 AS inside, CASE WHEN rank <= 10 THEN new ELSE score END AS s FROM pool)
- SELECT * FROM (SELECT item_id, doc_id, s AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY inside DESC, CASE WHEN inside THEN -s END, rank) AS INTEGER) AS rank FROM w) WHERE rank <= 12""")
+ w AS (SELECT *, rank <= 10 AS inside, CASE WHEN rank <= 10 THEN round(new, 6) ELSE score END AS s FROM pool)
+ SELECT * FROM (SELECT item_id, doc_id, s AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY inside DESC, CASE WHEN inside THEN -round(new, 9) END, rank) AS INTEGER) AS rank FROM w) WHERE rank <= 12""")
 def q_rerank(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir)
-    pool = search.ranked(search.bm25(docs, asked, query_key="item_id"), 20, "item_id")
-    pool = pool.join(asked.withColumnRenamed("text", "question"), "item_id").join(docs, "doc_id")
+    pool = _bm25(spark, sf_dir, 20).join(asked.withColumnRenamed("text", "question"), "item_id").join(docs, "doc_id")
     return search.rerank(pool, "question", "text", 10, query="item_id").where("rank <= 12").select("item_id", "doc_id", "score", "rank")
 
 
@@ -184,13 +255,21 @@ def q_material_labels(spark, sf_dir):
  m AS (SELECT c.item_id, i, coalesce(1.0::DOUBLE / n.n, 0) AS mark FROM c LEFT JOIN n ON n.item_id = c.item_id AND n.gram = c.gram),
  w AS (SELECT m.item_id, i, round(sum(mark) OVER (PARTITION BY m.item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING), 9) AS score, length(s) AS len FROM m JOIN g USING (item_id)),
  b AS (SELECT item_id, min(i) AS start FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM w WHERE i <= len - 59) WHERE score = best GROUP BY item_id)
- SELECT item_id, CAST(start AS INTEGER) AS start, substr(s, start, 60) AS snippet FROM b JOIN g USING (item_id)""")
+ SELECT item_id, CAST(coalesce(start, 1) AS INTEGER) AS start, substr(s, coalesce(start, 1), 60) AS snippet FROM g LEFT JOIN b USING (item_id)""")
 def q_snippet_window(spark, sf_dir):
     return rewrite.best_windows(_questions(spark, sf_dir).withColumn("question", F.lit("the and")), "item_id", 60).select("item_id", "start", "snippet")
 
 
-@BOOK.query()
+_PARTS = "SELECT DISTINCT p_name AS text FROM part"
+
+
+@BOOK.query(rf"""WITH q AS ({_PARTS}), n AS (SELECT row_number() OVER (ORDER BY name) AS pos, name FROM (SELECT DISTINCT reverse(p_name) || p_type AS name FROM part)),
+ s AS (SELECT text, i, len, substr(text, i, len) AS sub FROM (SELECT text, i, unnest(range(1, length(text) - i + 2)) AS len FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM q))),
+ m AS (SELECT s.text, pos, first(sub ORDER BY len DESC, i) AS hint FROM s JOIN n ON contains(name, sub) GROUP BY s.text, pos)
+ SELECT text, hint, min(pos) AS pos FROM m WHERE length(hint) >= 2 AND hint NOT IN ('re', 'l ') GROUP BY text, hint""")
 def q_law_hint_lcs(spark, sf_dir):
-    asked = table(spark, sf_dir, "conversations").where("turn = 0 and text is not null").select("conv_id", "text")
-    names = table(spark, sf_dir, "benchmark").where("item_id < 8").select(F.col("item_id").alias("pos"), F.substring("text", 1, 40).alias("name"))
-    return rewrite.name_hints(asked, names, "conv_id", stop=["the ", "and "])
+    parts = table(spark, sf_dir, "part")
+    names = parts.select(F.concat(F.reverse("p_name"), "p_type").alias("name")).distinct()
+    names = names.withColumn("pos", F.row_number().over(W.orderBy("name")).cast("long"))  # a list of names, short by nature
+    asked = parts.select(F.col("p_name").alias("text")).distinct().withColumn("k", F.col("text"))
+    return rewrite.name_hints(asked, names, "k", stop=["re", "l "]).withColumnRenamed("k", "text")

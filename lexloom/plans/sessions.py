@@ -121,4 +121,4 @@ def q_rate_stream(spark, sf_dir):
 @BOOK.query()
 def q_slot_ratio(spark, sf_dir):
     pairs = sessions.turn_pairs(table(spark, sf_dir, "conversations"), "conv_id").where("answer is not null")
-    return pairs.select("conv_id", "turn", F.round(rewrite.ratio(F.substring("question", 1, 80), F.substring("answer", 1, 80)), 6).alias("ratio"))
+    return pairs.select("conv_id", "turn", F.round(rewrite.ratio(F.col("question"), F.col("answer")), 6).alias("ratio"))

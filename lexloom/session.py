@@ -18,3 +18,17 @@ def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> S
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("lexloom")
     return builder.config(map=settings).getOrCreate()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application that driver and executors share; it goes when the application ends.
+
+    It lies in ``spark.checkpoint.dir``, or in the warehouse where none is set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexloom-shared"
+    folder = f"{base}/{name}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder

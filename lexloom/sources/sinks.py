@@ -55,8 +55,21 @@ def build_index(spark: SparkSession, chunks: DataFrame, path: str, embed=None) -
         notes.append(f"embedding failed: {type(error).__name__}")
         save(rows.drop("vector"), f"{path}/chunks")
     rows = spark.read.parquet(f"{path}/chunks")
-    save(search.postings(rows, "chunk_id", "embed_text"), f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    save(postings.groupBy("term").agg(F.count("*").alias("df")), f"{path}/terms")
-    save(rows.agg(F.count("*").alias("chunks"), F.count_distinct("law_id").alias("laws")).withColumn("notes", F.array(*map(F.lit, notes)).cast("array<string>")), f"{path}/meta")
+    save_index(rows.withColumnRenamed("embed_text", "text") if "text" not in rows.columns else rows.drop("text").withColumnRenamed("embed_text", "text"), path, "chunk_id", "law_id")
+    laws = rows.agg(F.count("*").alias("chunks"), F.count_distinct("law_id").alias("laws")).withColumn("notes", F.array(*map(F.lit, notes)).cast("array<string>"))
+    save(laws, f"{path}/meta")
     return notes
+
+
+def save_index(docs: DataFrame, path: str, key: str, law: str | None = None) -> None:
+    """Postings in order of their terms, so that a read by terms skips the others; terms; and the corpus's lengths."""
+    spark = docs.sparkSession
+    postings = search.postings(docs, key, "text", law)
+    postings.repartitionByRange("term").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
+    save(spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")), f"{path}/terms")
+    save(search.lengths(docs), f"{path}/lengths")
+
+
+def load_index(spark: SparkSession, path: str) -> search.Index:
+    lengths = spark.read.parquet(f"{path}/lengths").first()
+    return search.Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), lengths.documents, lengths.mean_length)

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import scratch_folder
+
 
 def _folder(spark: SparkSession) -> str:
-    """Streams checkpoint in the shared folder that the session names; without one, in the warehouse, which is shared too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexloom-streams"
-    return f"{base}/stream/{uuid.uuid4().hex}"
+    """A stream's own folder among those that driver and executors share."""
+    return f"{scratch_folder(spark, 'stream')}/{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
