@@ -107,14 +107,15 @@ def holders(passages: DataFrame, docs: DataFrame, passage_key: str, key: str, wo
     those of the documents; the text decides. Passages too short for that are compared with every
     document.
     """
+    pattern = r"(?<!\S)(?=(\S+(?:\s+\S+){%d}))" % (words - 1)
+
     def runs(text: Column) -> Column:
-        ws = F.split(text, r"\s+")
-        return F.transform(F.sequence(F.lit(1), F.size(ws) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, words), " ")))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x))
 
     # The outer words of a passage may be parts of words in a document.
     long = F.size(F.split("text", r"\s+")) >= words + 2
     asked = passages.where(long).select(passage_key, "text", F.element_at(runs(F.col("text")), 2).alias("h"))
-    some = docs.where(F.size(F.split("body", r"\s+")) >= words).select(key, F.explode(F.array_distinct(runs(F.col("body")))).alias("h"))
+    some = docs.select(key, F.explode(F.array_distinct(runs(F.col("body")))).alias("h"))
     pairs = some.join(asked.select("h", passage_key), "h").select(passage_key, key).distinct()
     found = pairs.join(passages, passage_key).join(docs, key).where(F.contains("body", "text")).select(passage_key, key)
     short = passages.where(~long).join(docs, F.contains("body", "text")).select(passage_key, key)

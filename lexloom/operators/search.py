@@ -53,11 +53,6 @@ def postings(docs: DataFrame, key: str, text: str = "text", law: str | None = No
     return each.groupBy("term", "key", "dl", "law").agg(F.count("*").alias("tf")).select("term", "key", "tf", "dl", "law")
 
 
-def lengths(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: ``documents`` and ``mean_length``, documents without a term included."""
-    return docs.agg(F.count("*").alias("documents"), F.coalesce(F.avg(F.size(T.terms(F.col(text)))), F.lit(0.0)).alias("mean_length"))
-
-
 def _blocks(queries: DataFrame, query: str, block: int) -> int:
     """How many blocks of about ``block`` queries there are; queries fall into them by hash."""
     return -(-queries.select(query).distinct().count() // block)

@@ -62,12 +62,17 @@ def build_index(spark: SparkSession, chunks: DataFrame, path: str, embed=None) -
 
 
 def save_index(docs: DataFrame, path: str, key: str, law: str | None = None) -> None:
-    """Postings in order of their terms, so that a read by terms skips the others; terms; and the corpus's lengths."""
+    """Postings, sorted by term in each file so that a read by terms skips the others; terms; and the corpus's lengths.
+
+    Postings of one term are spread over all files, so that none grows with a common term.
+    """
     spark = docs.sparkSession
-    postings = search.postings(docs, key, "text", law)
-    postings.repartitionByRange("term").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
-    save(spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")), f"{path}/terms")
-    save(search.lengths(docs), f"{path}/lengths")
+    search.postings(docs, key, "text", law).sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    save(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")), f"{path}/terms")
+    words = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    n = docs.agg(F.count("*").alias("documents")).crossJoin(words)  # one row each
+    save(n.select("documents", (F.col("words") / F.greatest(F.col("documents"), F.lit(1))).alias("mean_length")), f"{path}/lengths")
 
 
 def load_index(spark: SparkSession, path: str) -> search.Index:
