@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import thrifty
 
 #: Words that are merged in one run, so that scratch arrays stay small.
 LOT = 100_000
@@ -215,4 +216,4 @@ def _apply(docs: DataFrame, tokenizer_path: str, text: str, new: list[str]) -> D
                 arrays = [*batch.columns[:-1], *(pa.array(found[c], type=_KINDS[c][1]) for c in new)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(thrifty(run), schema)

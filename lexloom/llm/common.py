@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -92,6 +93,26 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 22):
         yield batch.slice(start)
 
 
+def thrifty(run):
+    """``run`` of a mapInArrow, whose worker gives memory back to the system when its task ends.
+
+    Spark keeps Python workers for later tasks; what Arrow and the C library hold free in them would
+    count against the executor all the while.
+    """
+
+    def thrifty_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return thrifty_run
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64 on unsigned 64-bit numbers."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

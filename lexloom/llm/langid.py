@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import flat, slices
+from lexloom.llm.common import flat, slices, thrifty
 
 #: Public language families by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
                 shares.append(counts[at] / max(1, b - a))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(ats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))], names=["lang", "at", "share"])
 
-    rows = sorted(chosen.mapInArrow(vectors, "lang string, at array<int>, share array<double>").collect(), key=lambda r: (r.lang, r.at, r.share))
+    rows = sorted(chosen.mapInArrow(thrifty(vectors), "lang string, at array<int>, share array<double>").collect(), key=lambda r: (r.lang, r.at, r.share))
     x = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
     for i, r in enumerate(rows):
         x[i, r.at] = r.share
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: Hierarchy, text: str = "text", closest: bool
                 added = [pa.array(names[lang].tolist(), pa.string()), pa.array(score), *[pa.array(near)] * closest]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added], names=[*kept, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(thrifty(run), schema)
 
 
 def fold(doc_id: str = "doc_id") -> Column:

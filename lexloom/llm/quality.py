@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, flat, slices
+from lexloom.llm.common import WORD, flat, slices, thrifty
 
 _WORDS = re.compile(WORD)
 #: Class of each byte: upper, lower, digit, space, line end, sentence mark, other ASCII, above ASCII.
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, pool: int = 3000
             a, b = _views(batch)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], names=["y", "a", "b"])
 
-    got = sorted(labelled.unionByName(other).mapInArrow(vectors, "y int, a array<double>, b array<double>").collect(), key=lambda r: (r.a, r.b, r.y))
+    got = sorted(labelled.unionByName(other).mapInArrow(thrifty(vectors), "y int, a array<double>, b array<double>").collect(), key=lambda r: (r.a, r.b, r.y))
     y = np.array([r.y for r in got])
     a, b = np.array([r.a for r in got]), np.array([r.b for r in got])
     if len(set(y[y >= 0])) < 2:
@@ -213,4 +213,4 @@ def score(docs: DataFrame, model: CoTrained | None, keep_above: float = 0.5) ->
                 found = [np.where(some, f, 0.0) for f in found]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, found), pa.array(found[2] >= keep_above)], names=[*kept, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(thrifty(run), schema)

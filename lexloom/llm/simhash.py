@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, components, cut, written
+from lexloom.llm.common import WORD, components, cut, thrifty, written
 
 _WORDS = re.compile(WORD.encode())
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataF
                     fps[i] = majority(np.array(hashes, dtype="<u8"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fps.view(np.int64))], names=[*kept, "fp"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("__bytes")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("__bytes")).mapInArrow(thrifty(run), schema)
 
 
 # -- the plan -----------------------------------------------------------------------------
@@ -248,11 +248,11 @@ def links(nodes: DataFrame, tau: int = 3, in_task: int = 16_384, sample: int = 2
     while True:
         # A bucket with no more than tau free bits isn't cut: few distinct fingerprints are left to it.
         large = written(probes.groupBy(*where).count().where((F.col("count") > in_task) & (F.bit_count("fixed") < 64 - tau)).select(*where))
-        part = probes.join(large, where, "left_anti").repartition(n, *where).sortWithinPartitions(*where).mapInArrow(_bucket_links(tau), "a long, b long")
+        part = probes.join(large, where, "left_anti").repartition(n, *where).sortWithinPartitions(*where).mapInArrow(thrifty(_bucket_links(tau)), "a long, b long")
         found = part if found is None else found.unionByName(part)
         if large.isEmpty():
             return found
-        probes = written(probes.join(large, where, "left_semi").select("fp", *where).mapInArrow(_finer(tau), "fp long, part int, fixed long, key long").distinct())
+        probes = written(probes.join(large, where, "left_semi").select("fp", *where).mapInArrow(thrifty(_finer(tau)), "fp long, part int, fixed long, key long").distinct())
 
 
 def _named(nodes: DataFrame, tau: int, in_task: int) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import discard, flat, mix64, slices, written
+from lexloom.llm.common import discard, flat, mix64, slices, thrifty, written
 
 LENGTH, GRAM = 200, 32
 _BITS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -222,7 +222,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(doc), batch.column("mark").take(doc), pa.array(where), pa.array(g), pa.array(c)], names=["id", "mark", "place", "gram", "around"])
 
     # place: the suffix's start, and how far before it its last and its first window begin (two bytes each).
-    picked = written(docs.select("id", "mark", "bytes").mapInArrow(pick, "id long, mark long, place long, gram long, around long"))
+    picked = written(docs.select("id", "mark", "bytes").mapInArrow(thrifty(pick), "id long, mark long, place long, gram long, around long"))
     # Written, so that both sides of the join are plain exchanges and a hot gram can be split.
     often = written(picked.groupBy("gram").count().where("count > 1").select("gram"))
     tied = written(picked.join(often, "gram", "left_semi"))
@@ -253,7 +253,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int
             yield pa.RecordBatch.from_arrays([*fields.values(), pa.array(lead, pa.binary()), pa.array(a - low), pa.array(cut_out, pa.binary())], names=names)
 
     fields = "gram long, around long, members long, place long, hot boolean, lead binary, n_before long, bytes binary"
-    fetched = written(docs.select("id", "mark", "bytes").join(wanted, ["id", "mark"]).select("bytes", "asked").mapInArrow(fetch, fields))
+    fetched = written(docs.select("id", "mark", "bytes").join(wanted, ["id", "mark"]).select("bytes", "asked").mapInArrow(thrifty(fetch), fields))
 
     def matrices(batch: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
         raw, ends = flat(batch.column("bytes"))
@@ -296,7 +296,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int
     result = "gram long, around long, first long, last long"
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.repartitionByRange(buckets, "lead", "group").sortWithinPartitions("lead", "group").mapInArrow(compare, result)
+        return rows.repartitionByRange(buckets, "lead", "group").sortWithinPartitions("lead", "group").mapInArrow(thrifty(compare), result)
 
     names = ["gram", "around", "members", "place", "lead", "n_before", "bytes", "group", "nearest", "farthest"]
 
@@ -325,7 +325,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, in_task: int
     found, left = compared(grouped.where("not hot").drop("hot")), grouped.where("hot").drop("hot")
     key = ["gram", "group", "nearest"]
     while not left.isEmpty():
-        spread = written(left.mapInArrow(halves, "gram long, around long, members long, place long, lead binary, n_before long, bytes binary, group long, nearest long, farthest long, held long"))
+        spread = written(left.mapInArrow(thrifty(halves), "gram long, around long, members long, place long, lead binary, n_before long, bytes binary, group long, nearest long, farthest long, held long"))
         # Rows that hold the same repeat in all the half's windows; one of them stands for them from here on.
         alike = written(spread.groupBy(*key, "held").agg(F.count("*").alias("n"), F.min("around").alias("around")))
         equal = spread.where("members = 1").join(alike.where("n > 1").select(*key, "held"), [*key, "held"], "left_semi")
@@ -373,7 +373,7 @@ def _cut(docs: DataFrame, text: str, new: dict[str, str], make, length: int, gra
             kinds = {"bigint": pa.int64(), "string": pa.string()}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(list(v), type=kinds[k]) for v, k in zip(columns, new.values()))], names=[*kept, *new])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(thrifty(run), schema)
 
 
 def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, in_task: int = 20_000) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, written
+from lexloom.llm.common import WORD, thrifty, written
 from lexloom.llm.quality import fit_logistic
 
 _WORDS = re.compile(WORD)
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = 40
     sizes = {r.toxic: r["count"] for r in sample_table.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return none
-    per = sample_table.mapInArrow(spread, "toxic int, feature string, rate double").groupBy("feature").agg(
+    per = sample_table.mapInArrow(thrifty(spread), "toxic int, feature string, rate double").groupBy("feature").agg(
         *[F.sum(F.when(F.col("toxic") == c, F.col("rate"))).alias(f"r{c}") for c in (0, 1)],
         *[F.sum(F.when(F.col("toxic") == c, F.lit(1))).alias(f"n{c}") for c in (0, 1)],
     )
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = 40
             xs = [model.vector(v) for v in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([list(x) for x in xs], pa.list_(pa.int32())), pa.array([list(x.values()) for x in xs], pa.list_(pa.float64()))], names=["toxic", "at", "value"])
 
-    rows = sample_table.mapInArrow(vectors, "toxic int, at array<int>, value array<double>").collect()
+    rows = sample_table.mapInArrow(thrifty(vectors), "toxic int, at array<int>, value array<double>").collect()
     rows.sort(key=lambda r: (r.toxic, r.at, r.value))
     x = np.zeros((len(rows), 2 * len(names)))
     for i, r in enumerate(rows):
@@ -199,4 +199,4 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
             first = np.array([p for _, p in found], dtype=float)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([s for s, _ in found], pa.float64()), pa.array(first), pa.array(first >= 0.5)], names=[*kept, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(thrifty(run), schema)
