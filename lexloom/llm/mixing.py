@@ -203,7 +203,7 @@ def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **o
     times = drawn.groupBy("row", "epoch", "shard").agg(F.sum("words").alias("n"), F.min("place").alias("__place"), pieces.alias("pieces")).join(keyed, "row")
     whole = F.col("n") == F.col("size")
     times = written(times.select(F.struct("doc_id", "key", "mark").alias("__k"), F.col("size").alias("__size"), F.col("shard").alias("__shard"), "__place", F.when(~whole, F.col("pieces")).alias("__pieces")))
-    left = docs.withColumn("__k", F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark"))).dropDuplicates(["__k"])
+    left = docs.withColumn("__k", F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark")))
     names = docs.columns
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "__shard int, __place bigint"])
 
@@ -216,13 +216,17 @@ def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **o
                 yield pa.RecordBatch.from_arrays([*(new[c] if c in new else batch.column(c) for c in names), batch.column("__shard"), batch.column("__place")], names=[*names, "__shard", "__place"])
 
     def joined(some: DataFrame) -> DataFrame:
-        # A struct is never null, and null fields of two structs are equal.
-        return left.join(some, left["__k"] == some["__k"]).select(*[left[f"`{c}`"] for c in names], "__size", "__shard", "__place", "__pieces")
-
-    # Only documents that are drawn in part have their words counted out, in Python; the others' texts stay as they are.
-    full = joined(times.where("__pieces is null"))
+        # A struct is never null, and null fields of two structs are equal. Rows of one key are one text.
+        one = left.dropDuplicates(["__k"]) if some is times else left.join(some.select("__k").distinct(), "__k", "left_semi").dropDuplicates(["__k"])
+        mine = some.where("__pieces is null") if some is times else some
+        return one.join(mine, one["__k"] == mine["__k"]).select(*[one[f"`{c}`"] for c in names], "__size", "__shard", "__place", "__pieces")
+
+    # Only documents that are drawn in part have their words counted out, in Python; the others' texts
+    # stay as they are. The former are few, and written, so that Spark knows their size and need not
+    # shuffle all texts to find theirs.
+    full = joined(times)
     full = full.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names], "__shard", "__place")
-    both = full.unionByName(joined(times.where("__pieces is not null")).mapInArrow(thrifty(run), schema))
+    both = full.unionByName(joined(written(times.where("__pieces is not null"))).mapInArrow(thrifty(run), schema))
     # Places are spread evenly, so equal lengths of (shard, place) make equal partitions.
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = (F.col("__shard") + F.col("__place") / F.lit(2.0**64) + 0.5) / shards
