@@ -199,38 +199,39 @@ def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **o
     """
     facts, drawn = draws(docs, shards=shards, **options)
     keyed = facts.select("row", "doc_id", "key", "size", "mark")
-    pieces = F.collect_list(F.struct("first", "words"))
-    times = drawn.groupBy("row", "epoch", "shard").agg(F.sum("words").alias("n"), F.min("place").alias("__place"), pieces.alias("pieces")).join(keyed, "row")
-    whole = F.col("n") == F.col("size")
-    times = written(times.select(F.struct("doc_id", "key", "mark").alias("__k"), F.col("size").alias("__size"), F.col("shard").alias("__shard"), "__place", F.when(~whole, F.col("pieces")).alias("__pieces")))
-    left = docs.withColumn("__k", F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark")))
+    per = drawn.drop("doc_id").join(keyed, "row").groupBy("doc_id", "key", "mark", "size").agg(F.collect_list(F.struct("row", "epoch", "shard", "place", "first", "words")).alias("__drawn"))
+    per = per.select(F.struct("doc_id", "key", "mark").alias("__k"), F.col("size").alias("__size"), "__drawn")
+    left = docs.withColumn("__k", F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark"))).dropDuplicates(["__k"])
     names = docs.columns
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "__shard int, __place bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for everything in batches:
-            for batch in slices(everything, "text"):
-                texts, sizes, lists = (batch.column(c).to_pylist() for c in ("text", "__size", "__pieces"))
-                out = [cut_out(text, size, [(d["first"], d["words"]) for d in drawn_]) for text, size, drawn_ in zip(texts, sizes, lists)]
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts, sizes, lists = (batch.column(c).to_pylist() for c in ("text", "__size", "__drawn"))
+                at, out, shard, place = [], [], [], []
+                for i, (text, size, drawn_) in enumerate(zip(texts, sizes, lists)):
+                    times: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+                    first: dict[tuple[int, int, int], int] = {}
+                    for d in drawn_:
+                        key = d["row"], d["epoch"], d["shard"]
+                        times.setdefault(key, []).append((d["first"], d["words"]))
+                        first[key] = min(first.get(key, d["place"]), d["place"])
+                    for key in sorted(times):
+                        at.append(i)
+                        out.append(cut_out(text, size, times[key]))
+                        shard.append(key[2])
+                        place.append(first[key])
                 new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
-                yield pa.RecordBatch.from_arrays([*(new[c] if c in new else batch.column(c) for c in names), batch.column("__shard"), batch.column("__place")], names=[*names, "__shard", "__place"])
-
-    def joined(some: DataFrame) -> DataFrame:
-        # A struct is never null, and null fields of two structs are equal. Rows of one key are one text.
-        one = left.dropDuplicates(["__k"]) if some is times else left.join(some.select("__k").distinct(), "__k", "left_semi").dropDuplicates(["__k"])
-        mine = some.where("__pieces is null") if some is times else some
-        return one.join(mine, one["__k"] == mine["__k"]).select(*[one[f"`{c}`"] for c in names], "__size", "__shard", "__place", "__pieces")
-
-    # Only documents that are drawn in part have their words counted out, in Python; the others' texts
-    # stay as they are. The former are few, and written, so that Spark knows their size and need not
-    # shuffle all texts to find theirs.
-    full = joined(times)
-    full = full.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names], "__shard", "__place")
-    both = full.unionByName(joined(written(times.where("__pieces is not null"))).mapInArrow(thrifty(run), schema))
+                columns = [new[c] if c in new else batch.column(c).take(pa.array(at, pa.int64())) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*names, "__shard", "__place"])
+
+    # A struct is never null, and null fields of two structs are equal.
+    joined = left.join(per, left["__k"] == per["__k"]).select(*[left[f"`{c}`"] for c in names], "__size", "__drawn")
     # Places are spread evenly, so equal lengths of (shard, place) make equal partitions.
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = (F.col("__shard") + F.col("__place") / F.lit(2.0**64) + 0.5) / shards
-    dealt = both.repartitionById(n, F.least(F.lit(n - 1), F.floor(share * n).cast("int"))).sortWithinPartitions("__shard", "__place")
+    dealt = joined.mapInArrow(thrifty(run), schema).repartitionById(n, F.least(F.lit(n - 1), F.floor(share * n).cast("int"))).sortWithinPartitions("__shard", "__place")
     out = [F.col(f"`{c}`") for c in names if not places or c not in ("shard", "place")]
     return dealt.select(*out, *[F.col(f"__{c}").alias(c) for c in ("shard", "place") if places])
 
