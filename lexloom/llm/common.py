@@ -81,8 +81,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 22):
-    """Cut a batch where its texts pass ``most_bytes``, so that scratch arrays stay small."""
-    sizes = np.diff(flat(batch.column(column))[1])
+    """Cut a batch where its texts (or a column of their sizes) pass ``most_bytes``, so that scratch arrays stay small."""
+    held = batch.column(column)
+    sizes = held.to_numpy() if pa.types.is_integer(held.type) else np.diff(flat(held)[1])
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if i > start and total + size > most_bytes:

@@ -196,6 +196,7 @@ def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **o
     ``shard`` and ``place``. Blocks of a document that fall to several shards make a row in each.
     Columns are those of ``docs``; ``n_chars``, if there, is the new text's length. A document drawn
     in full twice comes out twice. Rows that are equal in id, source and text share their draws.
+    Texts travel to their shards compressed by zstd, one by one.
     """
     facts, drawn = draws(docs, shards=shards, **options)
     keyed = facts.select("row", "doc_id", "key", "size", "mark")
@@ -203,9 +204,12 @@ def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **o
     per = per.select(F.struct("doc_id", "key", "mark").alias("__k"), F.col("size").alias("__size"), "__drawn")
     left = docs.withColumn("__k", F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark"))).dropDuplicates(["__k"])
     names = docs.columns
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "__shard int, __place bigint"])
+    types = {c: docs.schema[c].dataType.simpleString() for c in names}
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "__shard int, __place bigint"])
+    packed_schema = ", ".join([*(f"`{c}` {'binary' if c == 'text' else t}" for c, t in types.items()), "__shard int, __place bigint, __bytes bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts, sizes, lists = (batch.column(c).to_pylist() for c in ("text", "__size", "__drawn"))
@@ -222,16 +226,28 @@ def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **o
                         out.append(cut_out(text, size, times[key]))
                         shard.append(key[2])
                         place.append(first[key])
-                new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
+                raw = [t.encode() for t in out]
+                new = {"text": pa.array([codec.compress(b, asbytes=True) for b in raw], pa.binary()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
                 columns = [new[c] if c in new else batch.column(c).take(pa.array(at, pa.int64())) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*names, "__shard", "__place"])
+                where = [pa.array(shard, pa.int32()), pa.array(place, pa.int64()), pa.array([len(b) for b in raw], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *where], names=[*names, "__shard", "__place", "__bytes"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for whole in batches:
+            for batch in slices(whole, "__bytes"):
+                packed, sizes = batch.column("text").to_pylist(), batch.column("__bytes").to_pylist()
+                texts = pa.array([codec.decompress(b, n, asbytes=True) for b, n in zip(packed, sizes)], pa.binary()).cast(pa.string())
+                columns = [texts if c == "text" else batch.column(c) for c in [*names, "__shard", "__place"]]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "__shard", "__place"])
 
     # A struct is never null, and null fields of two structs are equal.
     joined = left.join(per, left["__k"] == per["__k"]).select(*[left[f"`{c}`"] for c in names], "__size", "__drawn")
     # Places are spread evenly, so equal lengths of (shard, place) make equal partitions.
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = (F.col("__shard") + F.col("__place") / F.lit(2.0**64) + 0.5) / shards
-    dealt = joined.mapInArrow(thrifty(run), schema).repartitionById(n, F.least(F.lit(n - 1), F.floor(share * n).cast("int"))).sortWithinPartitions("__shard", "__place")
+    packed = joined.mapInArrow(thrifty(run), packed_schema)
+    dealt = packed.repartitionById(n, F.least(F.lit(n - 1), F.floor(share * n).cast("int"))).sortWithinPartitions("__shard", "__place").mapInArrow(thrifty(unpack), schema)
     out = [F.col(f"`{c}`") for c in names if not places or c not in ("shard", "place")]
     return dealt.select(*out, *[F.col(f"__{c}").alias(c) for c in ("shard", "place") if places])
 
