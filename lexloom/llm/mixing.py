@@ -202,7 +202,9 @@ def drawn_documents(docs: DataFrame, shards: int = 64, places: bool = False, **o
     keyed = facts.select("row", "doc_id", "key", "size", "mark")
     per = drawn.drop("doc_id").join(keyed, "row").groupBy("doc_id", "key", "mark", "size").agg(F.collect_list(F.struct("row", "epoch", "shard", "place", "first", "words")).alias("__drawn"))
     per = per.select(F.struct("doc_id", "key", "mark").alias("__k"), F.col("size").alias("__size"), "__drawn")
-    left = docs.withColumn("__k", F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark"))).dropDuplicates(["__k"])
+    # Equal types down to what may be null: a cast in the join would shuffle the texts once more.
+    key = F.struct("doc_id", source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("mark")).cast(per.schema["__k"].dataType)
+    left = docs.withColumn("__k", key).dropDuplicates(["__k"])
     names = docs.columns
     types = {c: docs.schema[c].dataType.simpleString() for c in names}
     schema = ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "__shard int, __place bigint"])
