@@ -113,3 +113,8 @@ ASKED_NUMERAL = rf"第\s*({NUMERAL}+)\s*条"
 ASKED_NUMBER = r"第\s*(\d{1,4})\s*条"
 CITED_LABEL = r"[\[【]依据\s*(\d+)[\]】]"
 ANSWER_MARK = r"\[(?:依据|时效|材料)\s*\d+\]|【(?:依据|时效|材料)\s*\d+】"
+
+# Clauses that make a chapter's first article no evidence, and notes that a prompt leaves out.
+PREAMBLE = "制定(?:本|该)(?:条例|法|规定|办法)"
+SCOPE = "(适用|遵守)(本条例|本法)"
+SILENT_NOTES = ["法名线索：", "未重排：", "重排失败"]
