@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import rewrite, sessions
 from lexloom.plans.tables import Book, table
-from lexloom.streaming import limits
+from lexloom.streaming import limits, topics
 
 BOOK = Book()
 
@@ -94,15 +94,28 @@ def q_trajectory(spark, sf_dir):
     return sessions.trajectory(e, "user_id", "event_type", ["click", "view", "purchase"])
 
 
-@BOOK.query("""WITH RECURSIVE t AS (SELECT user_id, event_id AS turn, CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'continue' WHEN 'purchase' THEN 'resume' ELSE 'unsure' END AS label, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+_FOLD = """WITH RECURSIVE t AS (SELECT user_id, event_id AS turn, CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'continue' WHEN 'purchase' THEN 'resume' ELSE 'unsure' END AS label, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
  f AS (SELECT user_id, turn, n, 't' || turn AS topic, 't' || turn AS first FROM t WHERE n = 1 UNION ALL SELECT t.user_id, t.turn, t.n, CASE t.label WHEN 'new' THEN 't' || t.turn ELSE f.topic END, f.first FROM f JOIN t ON t.user_id = f.user_id AND t.n = f.n + 1)
- SELECT user_id, turn, topic FROM f""")
+ SELECT user_id, turn, topic FROM f"""
+
+
+def _label():
+    return F.when(F.col("event_type") == "view", "new").when(F.col("event_type") == "click", "continue").when(F.col("event_type") == "purchase", "resume").otherwise("unsure")
+
+
+@BOOK.query(_FOLD)
 def q_topic_fold(spark, sf_dir):
-    label = F.when(F.col("event_type") == "view", "new").when(F.col("event_type") == "click", "continue").when(F.col("event_type") == "purchase", "resume").otherwise("unsure")
-    t = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("turn"), label.alias("label"), F.lit("elsewhere").alias("wanted"))
+    t = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("turn"), _label().alias("label"), F.lit("elsewhere").alias("wanted"))
     return sessions.folded_topics(t, "user_id")
 
 
+@BOOK.query(_FOLD)
+def q_topic_stream(spark, sf_dir):
+    stream = limits.events(spark, f"{sf_dir}/events.parquet")
+    found = topics.topics(stream, "user_id", "ts", columns={"turn": F.col("event_id"), "label": _label(), "wanted": F.lit("elsewhere")})
+    return limits.latest(limits.drained(found, "update"), ["user_id", "turn"]).select("user_id", "turn", "topic")
+
+
 @BOOK.query("SELECT event_id, 86400 - CAST(floor(epoch(ts)) AS BIGINT) % 86400 AS retry, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def q_day_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.seconds_to_midnight(F.col("ts")).alias("retry"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
