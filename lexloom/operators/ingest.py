@@ -54,3 +54,49 @@ def stale_reason(facts: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame
     for name, holds in rules:
         reason = F.when(holds, name) if reason is None else reason.when(holds, name)
     return facts.withColumn("reason", reason)
+
+
+def stale_rules() -> list[tuple[str, Column]]:
+    """The reasons to build anew, in the order they are asked."""
+    return [
+        ("no structure", F.col("laws") == 0),
+        ("parse missing", F.col("unparsed") > 0),
+        ("file count", F.col("files") != F.col("laws")),
+        ("new file", F.col("first_odd") == "new"),
+        ("file changed", F.col("first_odd") == "changed"),
+        ("no chunks", F.col("parents").isNull() | F.col("chunks").isNull()),
+        ("parents differ", F.col("parents") != F.col("articles")),
+        ("no snapshot", F.col("snapshot_rows").isNull()),
+        ("no collection", F.col("collection_rows").isNull()),
+        ("rows differ", F.col("collection_rows") != F.col("snapshot_rows")),
+        ("other model", F.col("want_dense") & F.col("vector_enabled") & ~F.col("model").eqNullSafe(F.col("want_model"))),
+        ("no vectors", F.col("want_dense") & ~F.col("vector_enabled") & ~F.col("embed_failed")),
+    ]
+
+
+def build_facts(manifest: DataFrame, parsed: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
+    """Counts that the rules on structure ask, of each corpus ``by``.
+
+    ``manifest(file, law_id, sha1, articles)``, ``parsed(law_id)`` that are there, ``files(file, sha1)``
+    of the source. A corpus counts if it has a row in ``manifest`` or ``files``. ``first_odd`` says
+    whether the first file, by name, that doesn't match the manifest is ``new`` or ``changed``.
+    """
+    there = parsed.select(*by, "law_id").distinct().withColumn("__there", F.lit(True))
+    laws = manifest.join(there, [*by, "law_id"], "left").groupBy(*by).agg(
+        F.count("*").alias("laws"), F.count_if(F.col("__there").isNull()).alias("unparsed"), F.coalesce(F.sum("articles"), F.lit(0)).alias("articles"))
+    known = manifest.groupBy(*by, "file").agg(F.max("sha1").alias("__sha1"), F.lit(True).alias("__known"))
+    odd = F.when(F.col("__known").isNull(), "new").when(~F.col("sha1").eqNullSafe(F.col("__sha1")), "changed")
+    first = F.min(F.when(odd.isNotNull(), F.struct("file", odd.alias("kind"))))
+    sources = files.join(known, [*by, "file"], "left").groupBy(*by).agg(F.count("*").alias("files"), first["kind"].alias("first_odd"))
+    return laws.join(sources, by, "full").na.fill(0, ["laws", "unparsed", "articles", "files"])
+
+
+def staleness(facts: DataFrame, rules: list[tuple[str, Column]] | None = None) -> DataFrame:
+    """``reason`` to build each corpus anew, null where it is up to date.
+
+    Beside the columns of ``build_facts``: ``parents``, ``chunks``, ``snapshot_rows``,
+    ``collection_rows`` (null: not there), ``want_dense``, ``vector_enabled``, ``model``,
+    ``want_model``, ``embed_failed``. Null flags count as false.
+    """
+    flags = ["want_dense", "vector_enabled", "embed_failed"]
+    return stale_reason(facts.na.fill(False, flags), rules or stale_rules())

@@ -99,6 +99,28 @@ def q_sha1_gate(spark, sf_dir):
     return ingest.compared(old, new)
 
 
+@BOOK.query("""WITH d AS (SELECT doc_id, doc_id % 16 AS corpus, 'f' || doc_id AS file, sha1(text) AS sha1, text, doc_id % 4 AS articles FROM documents),
+ m AS (SELECT * FROM d WHERE corpus <> 0),
+ s AS (SELECT corpus, CASE WHEN corpus = 3 THEN 'g' || doc_id ELSE file END AS file, CASE WHEN corpus = 4 THEN sha1(text || '!') ELSE sha1 END AS sha1 FROM d WHERE NOT (corpus = 2 AND doc_id % 32 = 2)),
+ lm AS (SELECT corpus, count(*) AS laws, count(*) FILTER (corpus = 1) AS unparsed, CAST(sum(articles) AS BIGINT) AS articles FROM m GROUP BY corpus),
+ j AS (SELECT s.corpus, s.file, CASE WHEN m.file IS NULL THEN 'new' WHEN s.sha1 IS DISTINCT FROM m.sha1 THEN 'changed' END AS odd FROM s LEFT JOIN m ON m.corpus = s.corpus AND m.file = s.file),
+ lf AS (SELECT corpus, count(*) AS files, min_by(odd, file) FILTER (odd IS NOT NULL) AS odd FROM j GROUP BY corpus),
+ f AS (SELECT coalesce(lm.corpus, lf.corpus) AS corpus, coalesce(laws, 0) AS laws, coalesce(unparsed, 0) AS unparsed, coalesce(articles, 0) AS articles, coalesce(files, 0) AS files, odd FROM lm FULL JOIN lf ON lm.corpus = lf.corpus)
+ SELECT corpus, laws, files, CASE WHEN laws = 0 THEN 'no structure' WHEN unparsed > 0 THEN 'parse missing' WHEN laws <> files THEN 'file count' WHEN odd = 'new' THEN 'new file' WHEN odd = 'changed' THEN 'file changed'
+  WHEN corpus = 5 THEN 'no chunks' WHEN corpus = 6 THEN 'parents differ' WHEN corpus = 7 THEN 'no snapshot' WHEN corpus = 8 THEN 'no collection' WHEN corpus = 9 THEN 'rows differ' WHEN corpus = 10 THEN 'other model' WHEN corpus = 11 THEN 'no vectors' END AS reason FROM f""")
+def q_stale_reason(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 16).alias("corpus"), F.concat(F.lit("f"), "doc_id").alias("file"), F.col("text").cast("binary").alias("text"), (F.col("doc_id") % 4).alias("articles"))
+    c = F.col("corpus")
+    manifest = d.where(c != 0).select("corpus", "file", F.col("doc_id").alias("law_id"), F.sha1("text").alias("sha1"), "articles")
+    files = d.where(~((c == 2) & (F.col("doc_id") % 32 == 2))).select(
+        "corpus", F.when(c == 3, F.concat(F.lit("g"), "doc_id")).otherwise(F.col("file")).alias("file"), F.sha1(F.when(c == 4, F.concat("text", F.lit(b"!"))).otherwise(F.col("text"))).alias("sha1"))
+    facts = ingest.build_facts(manifest, manifest.where(c != 1).select("corpus", "law_id"), files, ["corpus"])
+    facts = facts.withColumn("parents", F.when(c != 5, F.col("articles") + (c == 6).cast("long"))).withColumn("chunks", F.col("parents")).withColumn("snapshot_rows", F.when(c != 7, F.col("articles") * 2))
+    facts = facts.withColumn("collection_rows", F.when(c != 8, F.col("articles") * 2 + (c == 9).cast("long"))).withColumn("want_dense", c != 13).withColumn("vector_enabled", ~c.isin(11, 12, 13))
+    facts = facts.withColumn("model", F.when(c != 10, "m")).withColumn("want_model", F.lit("m")).withColumn("embed_failed", c == 12)
+    return ingest.staleness(facts).select("corpus", "laws", "files", "reason")
+
+
 @BOOK.query(r"""WITH f AS (SELECT doc_id, 'd' || doc_id || CASE WHEN doc_id % 11 = 0 THEN '.exe' ELSE '.md' END AS file, text, length(text) AS size, sha1(text) AS sha1, len(regexp_extract_all(text, '\.')) AS articles, CAST(len(string_split(text, '!')) - 1 AS DOUBLE) / greatest(length(text), 1) AS leftover FROM documents),
  g AS (SELECT *, row_number() OVER (PARTITION BY sha1 ORDER BY doc_id) AS nth FROM f)
  SELECT doc_id, CASE WHEN NOT regexp_matches(file, '\.(docx|md|txt|pdf)$') THEN 'suffix' WHEN size = 0 THEN 'empty' WHEN size > 20000 THEN 'too large' WHEN articles = 0 THEN 'no article' WHEN leftover > 0.02 THEN 'leftovers' WHEN nth > 1 THEN 'duplicate' ELSE 'ready' END AS status FROM g""")
