@@ -118,3 +118,14 @@ ANSWER_MARK = r"\[(?:依据|时效|材料)\s*\d+\]|【(?:依据|时效|材料)\s
 PREAMBLE = "制定(?:本|该)(?:条例|法|规定|办法)"
 SCOPE = "(适用|遵守)(本条例|本法)"
 SILENT_NOTES = ["法名线索：", "未重排：", "重排失败"]
+
+# The lines of a receipt, and of a search that fails.
+RECEIPT_HEAD = "检索#%s「%s」｜命中 %s 条（新增 %s / 已知 %s）"
+RECEIPT_EMPTY = "没有命中的法条。请换一组更接近法条原文的关键词，或补上具体违法情形与地点后重试。"
+RECEIPT_NOTHING_NEW = "注意：本轮没有新增法条，与之前的检索重复。换个完全不同的角度，或直接结束检索。"
+RECEIPT_KNOWN = "（上一轮已给过原文）"
+RECEIPT_REFS = "    相关条："
+RECEIPT_NOTE = "提示："
+SEARCH_TIMEOUT = "检索超时（超过 %s 秒仍未返回），本次没取到结果。可以换一组关键词再试，或用更通用的说法。"
+SEARCH_FAILURE = "检索失败：%s。可以换一组关键词再试，或用更通用的说法。"
+TIMEOUT, FAILURE = "检索超时", "检索失败"

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.functions import fixed
 from lexloom.functions import text as T
+from lexloom.operators.golden import prompt_notes
 
 
 def evidence(hits: DataFrame, query: str = "query_id", top_n: int = 0, show_top: int = 0) -> DataFrame:
@@ -61,3 +63,33 @@ def receipts(hits: DataFrame, seen: DataFrame, query: str = "query_id", key: str
     t = hits.join(seen.select(query, key).distinct().withColumn("known", F.lit(True)), [query, key], "left")
     first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]), 1, 3)
     return t.groupBy(query).agg(F.count_if(F.col("known").isNull()).alias("fresh"), F.count("known").alias("seen"), first.alias("first"))
+
+
+def receipt_texts(calls: DataFrame, hits: DataFrame, seen: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """(query, receipt): what a caller reads of each search.
+
+    ``calls(query, n, text, notes)``, ``hits(query, rank, key, citation, shown, refs)``, ``seen(query, key)``;
+    ``shown`` is the snippet, as of ``rewrite.shown_snippets``. A hit that was seen, or comes a second
+    time in one call, is cited without it. A call without hits says so; null texts count as empty.
+    """
+    first = F.row_number().over(W.partitionBy(query, key).orderBy("rank")) == 1
+    t = hits.join(seen.select(query, key).distinct().withColumn("__seen", F.lit(True)), [query, key], "left")
+    t = t.withColumn("__new", F.col("__seen").isNull()).withColumn("__known", ~(F.col("__new") & first))
+    t = t.withColumn("__n", F.row_number().over(W.partitionBy(query).orderBy("rank", key)))
+    cited = F.concat(F.lit("【"), F.col("__n").cast("string"), F.lit("】"), F.coalesce("citation", F.lit("")), F.when(F.col("__known"), fixed.RECEIPT_KNOWN).otherwise(""))
+    shown = F.when(~F.col("__known"), F.concat(F.lit("    "), F.coalesce("shown", F.lit(""))))
+    refs = F.when(F.size("refs") > 0, F.concat(F.lit(fixed.RECEIPT_REFS), F.array_join("refs", "、")))
+    per = t.groupBy(query).agg(F.count("*").alias("__all"), F.count_if("__new").alias("__fresh"), _joined("__n", F.concat_ws("\n", cited, shown, refs), "\n").alias("__lines"))
+    total, fresh = F.coalesce("__all", F.lit(0)), F.coalesce("__fresh", F.lit(0))
+    head = F.format_string(fixed.RECEIPT_HEAD, F.col("n").cast("string"), F.coalesce("text", F.lit("")), total.cast("string"), fresh.cast("string"), (total - fresh).cast("string"))
+    warning = F.when(total == 0, fixed.RECEIPT_EMPTY).when(fresh == 0, fixed.RECEIPT_NOTHING_NEW)
+    notes = F.transform(prompt_notes(F.col("notes")), lambda n: F.concat(F.lit(fixed.RECEIPT_NOTE), n))
+    told = F.when(F.size(notes) > 0, F.array_join(notes, "\n"))
+    return calls.join(per, query, "left").select(query, F.concat_ws("\n", head, warning, "__lines", told).alias("receipt"))
+
+
+def failure_receipts(failed: DataFrame, timed_out: Column, budget: Column, message: Column) -> DataFrame:
+    """Add ``receipt`` and ``error`` of searches that ran out of ``budget`` seconds or failed with a ``message``."""
+    late = F.format_string(fixed.SEARCH_TIMEOUT, F.regexp_replace(budget.cast("string"), r"\.0$", ""))
+    receipt = F.when(timed_out, late).otherwise(F.format_string(fixed.SEARCH_FAILURE, F.coalesce(message, F.lit(""))))
+    return failed.withColumn("receipt", receipt).withColumn("error", F.when(timed_out, fixed.TIMEOUT).otherwise(fixed.FAILURE))

@@ -140,3 +140,19 @@ def q_tool_receipts(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("doc_id"))
     hits = e.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")))
     return answers.receipts(hits, e.where("doc_id % 3 = 0")).withColumn("first", F.array_join("first", " "))
+
+
+@BOOK.query("""WITH h AS (SELECT user_id AS query_id, event_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id % 3 = 0 AS known FROM events WHERE user_id % 5 <> 0),
+ p AS (SELECT query_id, count(*) AS total, count(*) FILTER (NOT known) AS fresh, string_agg('【' || n || '】《' || event_type || '》' || CASE WHEN known THEN '（上一轮已给过原文）' ELSE chr(10) || '    ' || coalesce(props, '') END || CASE WHEN event_id % 4 = 0 THEN chr(10) || '    相关条：' || event_type || '、' || event_id ELSE '' END, chr(10) ORDER BY n) AS lines FROM h GROUP BY query_id),
+ c AS (SELECT DISTINCT user_id AS query_id FROM events)
+ SELECT query_id, md5('检索#' || query_id || '「用户' || query_id || '」｜命中 ' || coalesce(total, 0) || ' 条（新增 ' || coalesce(fresh, 0) || ' / 已知 ' || (coalesce(total, 0) - coalesce(fresh, 0)) || '）'
+  || CASE WHEN total IS NULL THEN chr(10) || '没有命中的法条。请换一组更接近法条原文的关键词，或补上具体违法情形与地点后重试。' WHEN fresh = 0 THEN chr(10) || '注意：本轮没有新增法条，与之前的检索重复。换个完全不同的角度，或直接结束检索。' ELSE '' END
+  || coalesce(chr(10) || lines, '') || CASE WHEN query_id % 2 = 0 THEN chr(10) || '提示：请核对' ELSE '' END) AS digest FROM c LEFT JOIN p USING (query_id)""")
+def q_receipt_texts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("doc_id"), "event_type", "props")
+    name, even = F.concat(F.lit("用户"), "query_id"), F.col("query_id") % 2 == 0
+    notes = F.when(even, F.array(F.lit("未重排：没有模型"), F.lit("请核对")))
+    calls = e.select("query_id").distinct().select("query_id", F.col("query_id").alias("n"), name.alias("text"), notes.alias("notes"))
+    refs = F.when(F.col("doc_id") % 4 == 0, F.array("event_type", F.col("doc_id").cast("string")))
+    hits = e.where("query_id % 5 <> 0").select("query_id", "doc_id", F.col("doc_id").alias("rank"), F.concat(F.lit("《"), "event_type", F.lit("》")).alias("citation"), F.col("props").alias("shown"), refs.alias("refs"))
+    return answers.receipt_texts(calls, hits, e.where("doc_id % 3 = 0")).select("query_id", F.md5(F.col("receipt").cast("binary")).alias("digest"))
