@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,6 +30,21 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import thrifty
 
+#: Code points that the library's word pattern, which knows Unicode 16, takes for unassigned.
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    "\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    "\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2"
+    "\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Capitals newer than Python's tables, and their small letters.
+SMALL_LETTERS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL_LETTERS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATER = re.compile(f"[{LATER}]")
+
 #: Words that are merged in one run, so that scratch arrays stay small.
 LOT = 100_000
 
@@ -71,6 +87,9 @@ class WordBPE:
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
+        # Where a text has code points that our pattern knows and the library's doesn't, without these.
+        without = regex.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{LATER}]]", pattern)
+        self.old_words = regex.compile(without, regex.VERSION1)
         self.cache_words = cache_words
         self.cache: dict[str, tuple[bytes, bytes]] = {}
 
@@ -85,12 +104,15 @@ class WordBPE:
     def split(self, text: str) -> list[str]:
         """Words in order; an added token is one that begins with a NUL mark."""
         if self.cut_added is None or not any(t in text for t in self.added):
-            return self.words.findall(self.normal(text))
+            return self.found(self.normal(text))
         found: list[str] = []
         for part in self.cut_added.split(text):
-            found += ["\0" + part] if part in self.added else self.words.findall(self.normal(part))
+            found += ["\0" + part] if part in self.added else self.found(self.normal(part))
         return found
 
+    def found(self, text: str) -> list[str]:
+        return (self.words if text.isascii() or not _LATER.search(text) else self.old_words).findall(text)
+
     # -- words to ids --------------------------------------------------------------------
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many words, flat, and each word's number of ids."""
@@ -140,7 +162,7 @@ class WordBPE:
                 plain.append(w)
         if not plain:
             return out
-        ids, sizes = self.merged([w.encode() for w in plain])
+        ids, sizes = self.merged([w.translate(SMALL_LETTERS).encode() for w in plain])
         raw, listed, at = ids.astype("<u4").tobytes(), ids.tolist(), 0
         for w, n in zip(plain, sizes.tolist()):
             out[w] = (raw[4 * at : 4 * (at + n)], b" ".join([self.strings[i] for i in listed[at : at + n]]))
