@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, flat, slices, thrifty
+from lexloom.llm.common import WORD, flat, slices, thrifty, written
 
 _WORDS = re.compile(WORD)
 #: Class of each byte: upper, lower, digit, space, line end, sentence mark, other ASCII, above ASCII.
@@ -171,25 +171,26 @@ _INPUT = ["text", "source", "lang", "n_chars"]
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, pool: int = 3000, rounds: int = 5) -> CoTrained | None:
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    totals = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    if len(totals) < 2:
+    some = docs.where(F.length("text") > 0)
+    # Copies, and rows of one id, are drawn by their texts, each distinct one once: so the samples bound rows.
+    # The pool (y null) holds no text of a document that has a label.
+    with_label = labels.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left").withColumn("has", F.lit(1))
+    marked = written(some.select("doc_id", F.xxhash64("text").alias("mark")).join(with_label, "doc_id", "left").groupBy("mark").agg(F.min("y").alias("y"), F.max("has").alias("has")).where("y is not null or has is null").select("mark", F.coalesce("y", F.lit(-1)).alias("y")))
+    totals = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
+    if not {0, 1} <= totals.keys():
         return None
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("y") == 1, F.lit(sample / totals[1])).otherwise(F.lit(sample / totals[0]))
-    chosen = known.where(place < share)  # about 2 x sample ids
-    frame = docs.select("doc_id", *_INPUT).where(F.length("text") > 0)
-    labelled = frame.join(F.broadcast(chosen), "doc_id").select("y", *_INPUT)
-    rows = docs.count()
-    # The pool holds no document that has a label.
-    drawn = frame.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20)) < F.lit(pool / max(1, rows) * (1 << 20)))
-    other = drawn.join(labels.select("doc_id"), "doc_id", "left_anti").select(F.lit(-1).alias("y"), *_INPUT)
+    rates = {y: (pool if y == -1 else sample) / n for y, n in totals.items()}
+    share = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("y")]
+    chosen = marked.where(F.pmod(F.xxhash64("mark", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))  # about 2 x sample + pool marks
+    rows = some.select(F.xxhash64("text").alias("mark"), *_INPUT).join(F.broadcast(chosen), "mark")
+    drawn = rows.groupBy("mark").agg(F.min(F.struct("y", *_INPUT)).alias("row")).select("row.*")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = _views(batch)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], names=["y", "a", "b"])
 
-    got = sorted(labelled.unionByName(other).mapInArrow(thrifty(vectors), "y int, a array<double>, b array<double>").collect(), key=lambda r: (r.a, r.b, r.y))
+    got = sorted(drawn.mapInArrow(thrifty(vectors), "y int, a array<double>, b array<double>").collect(), key=lambda r: (r.a, r.b, r.y))
     y = np.array([r.y for r in got])
     a, b = np.array([r.a for r in got]), np.array([r.b for r in got])
     if len(set(y[y >= 0])) < 2:

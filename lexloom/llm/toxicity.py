@@ -131,12 +131,16 @@ def grades_of(x: np.ndarray, toxic: np.ndarray, folds: int = 3) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = 4000, features: int = 512) -> Ordinal:
     none = Ordinal([], np.zeros(0), np.zeros(0))
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # Copies, and rows of one id, are drawn by their texts, each distinct one once: so the sample bounds rows.
+    marked = docs.select("doc_id", F.xxhash64(text).alias("mark")).join(known, "doc_id").groupBy("mark").agg(F.max("toxic").alias("toxic"))
+    marked = written(marked)
+    totals = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return none
     share = F.when(F.col("toxic") == 1, F.lit(sample / totals[1])).otherwise(F.lit(sample / totals[0]))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    frame = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 x sample ids, about
+    chosen = marked.where(F.pmod("mark", F.lit(1 << 20)) < share * (1 << 20))  # 2 x sample marks, about
+    texts = docs.select(F.xxhash64(text).alias("mark"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "mark")
+    frame = texts.groupBy("mark").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

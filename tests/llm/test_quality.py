@@ -75,3 +75,13 @@ def test_scores_are_those_of_the_fitted_model(spark):
         z = [v.slope * (np.clip((x - v.mean) / v.spread, -8, 8) @ v.weights[:-1] + v.weights[-1]) + v.shift for v, x in ((model.content, a), (model.metadata, b))]
         p = 1 / (1 + np.exp(-(model.combine[0] * z[0] + model.combine[1] * z[1] + model.combine[2])))
         assert abs(p - r.quality) < 1e-9 and r.keep == bool(r.quality >= 0.5)
+
+
+def test_a_repeated_id_is_no_larger_sample(spark, monkeypatch):
+    rows, labels = make(300, 6)
+    more = [(5, f"river stone {i}", "en", "good", 9, "old") for i in range(2000)] + [(None, f"cloud {i % 900}", "en", "bad", 9, "old") for i in range(1800)]
+    docs = spark.createDataFrame(rows + more, SCHEMA)
+    seen, whole = {}, quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda a, b, y, pa_, pb, rounds: seen.update(pool=len(pa_), known=len(a)) or whole(a, b, y, pa_, pb, rounds))
+    quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample=100, pool=100)
+    assert 50 < seen["pool"] < 160 and 100 < seen["known"] < 300

@@ -81,3 +81,12 @@ def test_scores_are_those_of_the_fitted_model(spark):
                 eta += model.weights[i] + model.weights[len(model.names) + i] * np.log1p(500 * k / n)
         at_least = 1 / (1 + np.exp(-(eta - model.thresholds)))
         assert abs(r.severity - at_least.sum()) < 1e-9 and r.toxic == bool(at_least[0] >= 0.5)
+
+
+def test_a_repeated_id_is_no_larger_sample(spark, monkeypatch):
+    docs, labels = make(200, 3)
+    table = spark.createDataFrame(docs + [(4, f"river stone {i}") for i in range(3000)] + [docs[5]] * 2000, "doc_id long, text string")
+    seen, whole = [], toxicity.grades_of
+    monkeypatch.setattr(toxicity, "grades_of", lambda x, toxic: seen.append(len(x)) or whole(x, toxic))
+    toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample=100, features=64)
+    assert 100 < seen[0] < 320  # about 100 of each class, whatever repeats
