@@ -168,7 +168,7 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 16
     apart = np.array([[abs(int(np.searchsorted(s, a, "right")) - int(np.searchsorted(s, b, "right"))) for s, a, b in zip(splitters, own[r.query_id], r["keys"])] for r in near], dtype=np.int64)
     used, reach = pick_reach(apart, cells, recall) if len(apart) else (1, 0)
 
-    size = max(1, tile_rows // per_cell)  # cells in a tile
+    size = max(1, tile_rows // -(-n // max(1, cells)))  # cells in a tile, by the rows that a cell really has
 
     def spread(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
