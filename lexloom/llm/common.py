@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; the warehouse where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; with a local master, the warehouse where none is set."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not context._jsc.sc().getCheckpointDir().isDefined() and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     current = context._jsc.sc().getCheckpointDir()
     if folder is None:
         folder = current.get() if current.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/lexloom-shared"

@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from lexloom.llm.common import WORD, components, cut, thrifty, written
 
@@ -281,15 +282,27 @@ def hex_fingerprint(fp):
 def first_of_each(docs: DataFrame, rooted: DataFrame, text: str = "text") -> DataFrame:
     """Of each root of ``rooted(doc_id, mark, root)`` one row of ``docs``: smallest id (null last), then first text.
 
-    ``mark`` is ``xxhash64`` of the text; rows of one id are told apart by it.
+    ``mark`` is ``xxhash64`` of the text; rows of one id are told apart by it. Of rows equal in id and
+    text the first by their other columns stays, as far as Spark can order these (maps it can't).
+    Columns of ``docs`` may have any names.
     """
     rooted = written(rooted)
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("__least"))
-    keep = rooted.join(least, "root").where("doc_id <=> __least").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "root").distinct()
-    found = docs.join(keep, F.equal_null(docs["doc_id"], keep["__id"]) & (F.xxhash64(docs[text]) == keep["__mark"]))
-    rest = [c for c in docs.columns if c not in (text, "doc_id")]
-    row = F.struct(*[x for c in (text, *rest) for x in (F.col(f"`{c}`").isNull().alias(f"__no_{c}"), docs[f"`{c}`"].alias(c))], docs["doc_id"].alias("doc_id"))
-    return found.groupBy(keep["root"]).agg(F.min(row).alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    keep = rooted.join(least, "root").where("doc_id <=> least").select("doc_id", "mark", "root").distinct()
+    names = docs.columns
+    inner = {c: f"__c{i}" for i, c in enumerate(names)}
+    plain = docs.toDF(*inner.values())
+    found = plain.join(keep, F.equal_null(plain[inner["doc_id"]], keep["doc_id"]) & (F.xxhash64(inner[text]) == keep["mark"]))
+    ordered = [inner[text], *(c for n, c in inner.items() if n not in (text, "doc_id") and _orderable(docs.schema[n].dataType))]
+    order = F.struct(*[x for c in ordered for x in (F.col(c).isNull().alias(f"{c}_no"), F.col(c))])
+    row = F.min_by(F.struct(*inner.values()), order)
+    return found.groupBy("root").agg(row.alias("row")).select(*[F.col(f"row.{c}").alias(n) for n, c in inner.items()])
+
+
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return _orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, tau: int = 3, in_task: int = 16_384) -> DataFrame:

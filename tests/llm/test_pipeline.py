@@ -76,3 +76,15 @@ def test_run_and_empty(spark, folder, tmp_path):
     assert got and all(r.n_tokens == len(r.ids) for r in got)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark, folder):
+    """Names that the operators use inside, maps, nulls and repeated rows, through all stages that return documents."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(3))
+    docs = docs.selectExpr("*", "doc_id * 2 as score", "'x' as lang_pred", "1 as closest", "'r' as root", "doc_id as __id", "map('k', doc_id) as facts", "array(1, null) as mark")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        rows = got.collect()
+        assert rows and all(r.score == 2 * r.doc_id and r.facts == {"k": r.doc_id} and r["__id"] == r.doc_id and r.mark == [1, None] and (r.lang_pred, r.closest, r.root) == ("x", 1, "r") for r in rows), name
