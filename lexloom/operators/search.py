@@ -8,16 +8,14 @@ The store's formulas are ours: idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a term
 idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), as often as the query has it; N, df and
 avgdl are those of the whole corpus. Fusion adds 1 / (k + rank), ranks from 1.
 
-Queries are a stated set, asked against all rows in blocks: a block's terms or vectors go to the
-tasks, where a batch of rows is scored for all of them by one matrix product, and only rows that
-can still be among a query's best leave a task. So neither postings of common terms nor pairs of
-queries and rows are shuffled.
+Queries are a stated set, asked against all rows in blocks: of BM25, by shards of documents
+(:mod:`lexloom.operators.postings`); of vectors, a batch of rows is scored for a block of queries
+by one matrix product. Only rows that can still be among a query's best leave a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -27,32 +25,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators.postings import B, K1, Index, searched
 
-K1, B, RRF_K, HINT_BOOST = 1.2, 0.75, 60, 1.5
+RRF_K, HINT_BOOST = 60, 1.5
 #: Queries in a block, and rows that are scored at once.
 BLOCK, ROWS = 256, 512
 
 
-@dataclass(frozen=True)
-class Index:
-    """Postings ``(term, key, tf, dl, law)``, terms ``(term, df)``, the number of documents and their mean length."""
-
-    postings: DataFrame
-    terms: DataFrame
-    documents: int
-    mean_length: float
-
-
-def postings(docs: DataFrame, key: str, text: str = "text", law: str | None = None) -> DataFrame:
-    """(term, key, tf, dl, law): term counts, and the document's number of terms and its law carried with each."""
-    listed = docs.select(F.col(key).alias("key"), (F.lit(None) if law is None else F.col(law)).cast("string").alias("law"), T.terms(F.col(text)).alias("ts"))
-    # The length is taken before, so that rows don't carry the array; the outer form keeps the
-    # optimizer from computing the terms once more in a filter.
-    sized = listed.select("key", "law", "ts", F.size("ts").alias("dl"))
-    each = sized.select("key", "law", "dl", F.explode_outer("ts").alias("term")).where("term is not null")
-    return each.groupBy("term", "key", "dl", "law").agg(F.count("*").alias("tf")).select("term", "key", "tf", "dl", "law")
-
-
 def _blocks(queries: DataFrame, query: str, block: int) -> int:
     """How many blocks of about ``block`` queries there are; queries fall into them by hash."""
     return -(-queries.select(query).distinct().count() // block)
@@ -100,86 +79,10 @@ def top_bm25(index: Index, queries: DataFrame, limit: int, query: str = "query_i
     """(query, key, score, rank) of each query's ``limit`` best rows that share a term with it.
 
     ``queries(query, text)`` may have ``laws``, a filter of each query's own; ``allowed(key)`` is
-    one for all. Postings are read by the asked terms only.
+    one for all. Only postings that can matter are read: :mod:`lexloom.operators.postings`.
     """
-    spark = queries.sparkSession
-    kinds = {"query": dict(queries.dtypes)[query], "key": dict(index.postings.dtypes)["key"]}
-    schema = f"query {kinds['query']}, key {kinds['key']}, score double"
-    asked = queries.select(F.col(query).alias("query"), _filters(queries).alias("laws"), F.explode_outer(T.terms(F.col("text"))).alias("term")).where("term is not null").groupBy("query", "laws", "term").agg(F.count("*").alias("qtf"))
-    n, average = index.documents, max(index.mean_length, 1e-9)
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-    posted = index.postings if allowed is None else index.postings.join(allowed.select(F.col(allowed.columns[0]).alias("key")).distinct(), "key", "left_semi")
-    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks, found = _blocks(queries, query, BLOCK), []
-    for at in range(blocks):
-        rows = asked.where(_in_block("query", blocks, at)).collect()  # about BLOCK queries and their terms
-        if not rows:
-            continue
-        names = sorted({(r.query, tuple(r.laws) if r.laws is not None else None) for r in rows}, key=str)
-        terms = sorted({r.term for r in rows})
-        place, number = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(terms)}
-        weights = np.zeros((len(terms), len(names)))
-        for r in rows:
-            weights[number[r.term], place[r.query, tuple(r.laws) if r.laws is not None else None]] = r.qtf
-        ids, filters = [q for q, _ in names], [list(x) if x is not None else None for _, x in names]
-        mine = spark.createDataFrame(list(number.items()), "term string, t int").join(index.terms, "term").select("term", "t", idf.alias("idf"))
-        weighed = posted.join(mine, "term").select("key", "law", "t", part.alias("part"))
-        dealt = weighed.repartition(count, "key").sortWithinPartitions("key")
-        found.append(dealt.mapInArrow(_products(weights, ids, filters, limit, kinds["query"]), schema))
-    scored = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
-    return ranked(scored.withColumnsRenamed({"query": query, "key": key}), limit, query, key)
-
-
-def _products(weights: np.ndarray, ids: list, filters: list, limit: int, kind: str):
-    """Rows ``(key, law, t, part)`` come sorted by key; gives (query, key, score)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, left_out = _Best(len(ids), limit), _masks(filters)
-        names = pa.array(ids, type=_arrow(kind))
-
-        def settle(lot: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys, law, t, part = (lot.column(c).combine_chunks() for c in ("key", "law", "t", "part"))
-            row = _run_numbers(keys)
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            laws = law.take(pa.array(first)).to_pylist()
-            t, part = t.to_numpy(), part.to_numpy()
-            for s in range(0, len(first), ROWS):
-                low, high = first[s], first[s + ROWS] if s + ROWS < len(first) else len(row)
-                used, column = np.unique(t[low:high], return_inverse=True)
-                table = np.zeros((row[high - 1] - s + 1, len(used)))
-                table[row[low:high] - s, column] = part[low:high]
-                scores = table @ weights[used]
-                scores[scores <= 0] = -np.inf
-                for i, x in enumerate(laws[s : s + ROWS]):
-                    out = left_out(x)
-                    if out is not None:
-                        scores[i, out] = -np.inf
-                i, q = best.of(scores)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), keys.take(pa.array(first[s + i])), pa.array(scores[i, q])], names=["query", "key", "score"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= 65_536:
-                lot = pa.Table.from_batches(held)
-                row = _run_numbers(lot.column("key").combine_chunks())
-                end = int(np.searchsorted(row, row[-1]))  # the last key may go on in the next batch
-                if end:
-                    yield from settle(lot.slice(0, end))
-                    held = lot.slice(end).to_batches()
-        if held:
-            yield from settle(pa.Table.from_batches(held))
-
-    return run
-
-
-def _run_numbers(keys: pa.Array) -> np.ndarray:
-    """Numbers of runs of equal keys, from 0."""
-    codes = keys.dictionary_encode().indices.to_numpy()
-    return np.cumsum(np.r_[0, codes[1:] != codes[:-1]])
+    found = searched(index, queries, limit, query, allowed, k1, b).where("key is not null").select("query", "key", "score")
+    return ranked(found.withColumnsRenamed({"query": query, "key": key}), limit, query, key)
 
 
 def _arrow(kind: str) -> pa.DataType:

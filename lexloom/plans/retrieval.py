@@ -66,7 +66,7 @@ def _bm25(spark, sf_dir, limit: int, **options) -> DataFrame:
  SELECT (SELECT count(*) FROM tok) AS documents, (SELECT round(avg(coalesce(len(ts), 0)), 6) FROM tok) AS mean_length, (SELECT count(DISTINCT term) FROM p) AS terms, (SELECT count(*) FROM p) AS postings""")
 def q_index_stats(spark, sf_dir):
     index = corpus_index(spark, sf_dir)
-    sizes = index.terms.agg(F.count("*").alias("terms")).crossJoin(index.postings.agg(F.count("*").alias("postings")))  # one row each
+    sizes = index.terms.agg(F.count("*").alias("terms")).crossJoin(index.postings.agg(F.sum("n").alias("postings")))  # one row each
     return sizes.select(F.lit(index.documents).cast("long").alias("documents"), F.round(F.lit(index.mean_length), 6).alias("mean_length"), "terms", "postings")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.operators import search
+from lexloom.operators import postings
 
 
 def save(df: DataFrame, path: str, export_json: bool = False) -> None:
@@ -61,20 +61,15 @@ def build_index(spark: SparkSession, chunks: DataFrame, path: str, embed=None) -
     return notes
 
 
-def save_index(docs: DataFrame, path: str, key: str, law: str | None = None) -> None:
-    """Postings, sorted by term in each file so that a read by terms skips the others; terms; and the corpus's lengths.
-
-    Postings of one term are spread over all files, so that none grows with a common term.
-    """
+def save_index(docs: DataFrame, path: str, key: str, law: str | None = None, **shards) -> None:
+    """Shards of documents with their postings in blocks, written as they are read; terms; and the corpus's lengths."""
     spark = docs.sparkSession
-    search.postings(docs, key, "text", law).sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    save(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")), f"{path}/terms")
-    words = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
-    n = docs.agg(F.count("*").alias("documents")).crossJoin(words)  # one row each
-    save(n.select("documents", (F.col("words") / F.greatest(F.col("documents"), F.lit(1))).alias("mean_length")), f"{path}/lengths")
+    postings.shards(docs, key, "text", law, **shards).write.mode("overwrite").parquet(f"{path}/shards")
+    index = postings.index_of(spark.read.parquet(f"{path}/shards"))
+    save(index.terms, f"{path}/terms")
+    save(spark.createDataFrame([(index.documents, index.mean_length, index.shards)], "documents long, mean_length double, shards long"), f"{path}/lengths")
 
 
-def load_index(spark: SparkSession, path: str) -> search.Index:
+def load_index(spark: SparkSession, path: str) -> postings.Index:
     lengths = spark.read.parquet(f"{path}/lengths").first()
-    return search.Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), lengths.documents, lengths.mean_length)
+    return postings.index_of(spark.read.parquet(f"{path}/shards"), spark.read.parquet(f"{path}/terms"), (lengths.documents, lengths.mean_length, lengths.shards))

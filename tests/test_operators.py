@@ -197,7 +197,8 @@ def test_readers(spark, tmp_path):
 def test_index_without_embedder(spark, tmp_path):
     chunks = spark.createDataFrame([("c1", "l", None, "red road", "red road"), ("c2", "l", "x", "blue", "blue")], "chunk_id string, law_id string, chapter string, text string, embed_text string")
     assert sinks.build_index(spark, chunks, f"{tmp_path}/i") == ["no embedder: lexical search only"]
-    assert spark.read.parquet(f"{tmp_path}/i/postings").count() == 3
+    index = sinks.load_index(spark, f"{tmp_path}/i")
+    assert index.postings.count() == 3 and index.documents == 2 and index.mean_length == 1.5
     assert spark.read.parquet(f"{tmp_path}/i/chunks").where("chapter = ''").count() == 1
 
 
