@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.operators import retrieve, rewrite, rounds, search
+from lexloom.operators import postings, retrieve, rewrite, rounds, search
 from lexloom.plans.tables import Book, table
 from lexloom.session import scratch_folder
-from lexloom.sources import sinks
+from lexloom.sources import segments, sinks
 
 BOOK = Book()
 
@@ -37,23 +37,50 @@ def _chunks(spark, sf_dir) -> DataFrame:
     return split.where(F.trim("text") != "").withColumn("chunk_id", F.concat_ws("#", "doc_id", "line"))
 
 
-#: Indexes of this application by table and folder: built once, read by every query after.
-_built: dict[tuple[str, str, str], search.Index] = {}
+#: Indexes of this application by table, folder and its files: built once, read by every query after.
+_built: dict[tuple[str, str, str, str], postings.Index] = {}
 
 
-def corpus_index(spark, sf_dir, of: str = "documents") -> search.Index:
+def _state(spark, path: str) -> str:
+    """Names, sizes and times of a table's files: another state is another table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}{{,/*}}"))
+    return ";".join(sorted(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in found))
+
+
+def corpus_index(spark, sf_dir, of: str = "documents") -> postings.Index:
     """The written index of the documents or of their lines; the first query that needs it builds it."""
-    key = (spark.sparkContext.applicationId, sf_dir, of)
+    key = (spark.sparkContext.applicationId, sf_dir, of, _state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _built:
         path = f"{scratch_folder(spark, 'index')}/{len(_built)}"
         if of == "documents":
             sinks.save_index(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path, "doc_id", "source")
-        else:
+            _built[key] = sinks.load_index(spark, path)
+        elif of == "lines":
             sinks.save_index(_chunks(spark, sf_dir), path, "chunk_id", "law")
-        _built[key] = sinks.load_index(spark, path)
+            _built[key] = sinks.load_index(spark, path)
+        else:
+            segments.sync(spark, path, _older(spark, sf_dir))
+            segments.sync(spark, path, _keyed(spark, sf_dir))
+            _built[key] = segments.load(spark, path)
+            _roots[key] = path
     return _built[key]
 
 
+_roots: dict[tuple[str, str, str, str], str] = {}
+
+
+def _keyed(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("source").alias("law"))
+
+
+def _older(spark, sf_dir) -> DataFrame:
+    """The documents before a change: one source had other texts, one wasn't there, one had copies that are gone."""
+    now = _keyed(spark, sf_dir)
+    other = now.where("law is null or law <> 'src3'").withColumn("text", F.when(F.col("law") == "src0", F.concat(F.lit("older words "), "text")).otherwise(F.col("text")))
+    return other.unionByName(now.where("law = 'src1'").withColumn("key", -1 - F.col("key")))
+
+
 def _questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", "text")
 
@@ -75,6 +102,23 @@ def q_bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 6)
 
 
+@BOOK.query(f"WITH {_bm25_sql()} SELECT item_id, k AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6")
+def q_incremental_topk(spark, sf_dir):
+    """As q_bm25_topk, of an index that came from an older version of the documents by additions, changes and deletions."""
+    return search.top_bm25(corpus_index(spark, sf_dir, "segments"), _questions(spark, sf_dir), 6, "item_id")
+
+
+@BOOK.query("""SELECT change, count(*) AS n FROM (
+ SELECT CASE WHEN source = 'src3' THEN 'added' WHEN source = 'src0' AND text IS NOT NULL THEN 'changed' ELSE 'unchanged' END AS change FROM documents
+ UNION ALL SELECT 'deleted' FROM documents WHERE source = 'src1') GROUP BY change""")
+def q_incremental_changes(spark, sf_dir):
+    """What the second version of that index found to add, change and delete against the first."""
+    corpus_index(spark, sf_dir, "segments")
+    root = _roots[spark.sparkContext.applicationId, sf_dir, "segments", _state(spark, f"{sf_dir}/documents.parquet")]
+    found = segments.changes(spark, root, _keyed(spark, sf_dir), segments.manifest(spark, root, 1))
+    return found.groupBy("change").agg(F.count("*").alias("n"))
+
+
 @BOOK.query(f"""WITH {_bm25_sql(keep="lang IN ('de', 'fr') AND source <> 'src0'")} SELECT item_id, k AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
 def q_filtered_search(spark, sf_dir):
     keep = F.col("lang").isin("de", "fr") & (F.col("source") != "src0")
