@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.operators import postings, retrieve, rewrite, rounds, search
+from lexloom.operators import postings, retrieve, rewrite, rounds, search, vector_index
 from lexloom.plans.tables import Book, table
 from lexloom.session import scratch_folder
 from lexloom.sources import segments, sinks
@@ -150,6 +150,41 @@ def q_dense_topk(spark, sf_dir):
     return _channels(spark, sf_dir, 10)["dense"]
 
 
+_vectors: dict[tuple[str, str, str], vector_index.VectorIndex] = {}
+
+
+def _vector_index(spark, sf_dir) -> vector_index.VectorIndex:
+    """An index of two thirds of the vectors, to which the others were added later."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _vectors:
+        path = f"{scratch_folder(spark, 'vectors')}/{len(_vectors)}"
+        rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+        late = F.pmod(F.xxhash64("vec_id"), F.lit(3)) == 0
+        vector_index.build(rows.where(~late), path, "vec_id", list_rows=32)
+        _vectors[key] = vector_index.add(rows.where(late), path, "vec_id")
+    return _vectors[key]
+
+
+def _asking(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@BOOK.query()
+def q_vector_index(spark, sf_dir):
+    """The ten nearest vectors of each by the inverted file, and how many rows were read for it."""
+    made, asked = _vector_index(spark, sf_dir), _asking(spark, sf_dir)
+    read = vector_index.rows_read(made, asked)
+    return vector_index.searched(made, asked, 10, key="vec_id").join(read, "query_id")
+
+
+@BOOK.query(f"WITH {_DENSE} SELECT count(*) AS true_pairs, true AS recall_reached, true AS scores_equal FROM dr WHERE rank <= 10")
+def q_vector_recall(spark, sf_dir):
+    """Whether the inverted file finds nine of ten true neighbours of all vectors, each with its true score."""
+    found = vector_index.searched(_vector_index(spark, sf_dir), _asking(spark, sf_dir), 10, key="vec_id").select("query_id", "vec_id", F.col("score").alias("found"))
+    both = _channels(spark, sf_dir, 10)["dense"].join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count("*").alias("true_pairs"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"), F.coalesce(F.max(F.abs(F.col("found") - F.col("score"))) < 1e-6, F.lit(True)).alias("scores_equal"))
+
+
 @BOOK.query(f"WITH {_DENSE} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 10")
 def q_rrf_fusion(spark, sf_dir):
     return search.fuse(_channels(spark, sf_dir), 10, key="vec_id")
