@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
 from lexloom.functions.fixed import ARTICLE_REF, NATION, PREAMBLE, SCOPE, SILENT_NOTES, TITLE
-
-#: Characters of a name by which candidates are found.
-HEAD = 4
+from lexloom.operators.names import occurrences
 
 
 def preamble(text: Column) -> Column:
@@ -22,28 +21,20 @@ def pure_scope(text: Column) -> Column:
 
 
 def name_aliases(names: DataFrame, name: str) -> DataFrame:
-    """``(alias, head)``: each name, and its form without the nation's name if that has four characters or more.
-
-    ``head`` begins the short form, so that names which all begin with the nation's don't share it.
-    """
+    """``alias``: each name, and its form without the nation's name if that has four characters or more."""
     short = F.when(F.startswith(name, F.lit(NATION)), F.substr(F.col(name), F.lit(len(NATION) + 1))).otherwise(F.col(name))
     forms = names.where(F.length(name) > 0).select(F.col(name).alias("alias"), short.alias("short"))
-    forms = forms.withColumn("head", F.substring(F.when(F.col("short") == "", F.col("alias")).otherwise(F.col("short")), 1, HEAD))
-    return forms.select("alias", "head").union(forms.where(F.length("short") >= 4).select("short", "head")).distinct()
+    return forms.select("alias").union(forms.where(F.length("short") >= 4).select("short")).distinct()
 
 
 def guarded(questions: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """``(key, reason, alias)``: why a question gives its own place away, null where it doesn't.
 
     Reasons in order: empty, number, title, name (the longest alias in it, ties by code point).
-    ``key`` is unique. Names meet questions by an equal head of up to four characters and are
-    then looked for; nothing is broadcast by hand, and rows grow with the questions' lengths.
+    ``key`` is unique. Each question is read once by the automaton of all names.
     """
-    asked = questions.select(key, F.trim(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__t")))
-    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.col("__t").substr(i, F.lit(n)) for n in range(1, HEAD + 1)]))))
-    met = asked.select(key, F.explode(grams).alias("head")).join(name_aliases(names, name), "head").select(key, "alias")
-    pairs = met.join(asked, key).where(F.contains("__t", "alias"))  # the texts meet their candidates alone, not each of their grams
+    asked = questions.select(key, T.u_trim(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    pairs = occurrences(asked, name_aliases(names, name), key, "__t", "alias").withColumnRenamed("name", "alias")
     best = pairs.groupBy(key).agg(F.min(F.struct((-F.length("alias")).alias("n"), "alias")).alias("b")).select(key, F.col("b.alias").alias("alias"))
     t = F.col("__t")
     reason = F.when(t == "", "empty").when(t.rlike(ARTICLE_REF), "number").when(t.rlike(TITLE), "title").when(F.col("alias").isNotNull(), "name")

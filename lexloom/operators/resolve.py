@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import fixed
 from lexloom.functions import text as T
+from lexloom.operators.names import occurrences, substrings
 
 
 def resolved(mentions: DataFrame, names: DataFrame, key: str, tiers: int = 3) -> DataFrame:
@@ -15,18 +16,18 @@ def resolved(mentions: DataFrame, names: DataFrame, key: str, tiers: int = 3) ->
 
     ``mentions(key, name)``, ``names(id, name, pos)``; of equal names the last ``pos`` wins. The
     lowest tier with exactly one name counts; without one ``id`` is null and ``candidates`` lists
-    the names of the lowest tier that has any, sorted. Names are a dimension table; the theta join
-    runs over distinct mentions only.
+    the names of the lowest tier that has any, sorted. Names are a dimension table of short strings.
     """
     known = names.groupBy("name").agg(F.max_by("id", "pos").alias("id")).withColumnRenamed("name", "full")
     asked = mentions.where(F.col("name") != "").select("name").distinct()
-    n, f = F.col("name"), F.col("full")
-    tier = F.when(n == f, 1).when(f.endswith(n), 2)
-    match = f.endswith(n)
+    # A mention in a name is equal to one of the name's parts; a name in a mention is found by the names' automaton.
+    within = known.select("full", F.explode(substrings(F.col("full"))).alias("name")).join(asked, "name")
+    tier = F.when(F.col("name") == F.col("full"), 1).when(F.endswith("full", "name"), 2).otherwise(3)
+    pairs = within.select("name", "full", tier.alias("tier"))
     if tiers == 3:
-        tier = tier.when(F.contains(f, n) | F.contains(n, f), 3)
-        match = F.contains(f, n) | F.contains(n, f)
-    pairs = asked.join(known, match).withColumn("tier", tier)
+        around = occurrences(asked.withColumn("mention", F.col("name")), known, "mention", "name", "full")
+        pairs = pairs.unionByName(around.where("mention <> name").select(F.col("mention").alias("name"), F.col("name").alias("full"), F.lit(3).alias("tier")))
+    pairs = pairs.where(F.col("tier") <= tiers).groupBy("name", "full").agg(F.min("tier").alias("tier")).join(known, "full")
     # A wider tier holds what the narrower ones hold.
     count = [F.count(F.when(F.col("tier") <= t, 1)).alias(f"n{t}") for t in range(1, tiers + 1)]
     pick = [F.max(F.when(F.col("tier") <= t, F.col("id"))).alias(f"id{t}") for t in range(1, tiers + 1)]
@@ -91,7 +92,8 @@ def located(questions: DataFrame, key: str, laws: DataFrame, articles: DataFrame
     asked = questions.select(key, "text", T.article_number(no).alias("no")).where("no is not null")
     named = asked.select(key, F.explode(F.regexp_extract_all("text", F.lit(fixed.TITLE), F.lit(1))).alias("name"))
     bracketed = resolved(named.withColumn("name", T.u_trim(F.col("name"))), laws.select(F.col("law").alias("id"), "name", F.monotonically_increasing_id().alias("pos")), key).where("id is not null").select(key, F.col("id").alias("law"), F.lit(1).alias("tier"))
-    inside = asked.join(laws, F.contains(F.col("text"), F.col("name"))).select(key, "law", F.instr("text", F.col("name")).alias("low"), (F.instr("text", F.col("name")) + F.length("name")).alias("high"))
+    first = occurrences(asked, laws, key).groupBy(key, "name").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+    inside = first.join(laws, "name").select(key, "law", "low", "high")
     spans = outermost(inside, [key]).select(key, "law", F.lit(2).alias("tier"))
     index = first_of(articles, "law", "no")
     anywhere = asked.join(index, "no").select(key, "law", F.lit(3).alias("tier"))

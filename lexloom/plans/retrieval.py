@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.operators import postings, retrieve, rewrite, rounds, search, vector_index
+from lexloom.operators.names import occurrences
 from lexloom.plans.tables import Book, table
 from lexloom.session import scratch_folder
 from lexloom.sources import segments, sinks
@@ -352,3 +353,14 @@ def q_law_hint_lcs(spark, sf_dir):
     names = names.withColumn("pos", F.row_number().over(W.orderBy("name")).cast("long"))  # a list of names, short by nature
     asked = parts.select(F.col("p_name").alias("text")).distinct().withColumn("k", F.col("text"))
     return rewrite.name_hints(asked, names, "k", stop=["re", "l "]).withColumnRenamed("k", "text")
+
+
+@BOOK.query(r"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS name FROM benchmark),
+ h AS (SELECT doc_id, name, strpos(text, name) AS low FROM documents JOIN n ON contains(text, name))
+ SELECT doc_id, count(*) AS names, CAST(sum(low) AS BIGINT) AS places, first(name ORDER BY length(name) DESC, name) AS longest FROM h GROUP BY doc_id""")
+def q_names_in_texts(spark, sf_dir):
+    """Of all longer words of the benchmark, those that occur anywhere in each document, by one pass of an automaton."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))).alias("name"))
+    first = occurrences(table(spark, sf_dir, "documents"), words, "doc_id").groupBy("doc_id", "name").agg(F.min("low").alias("low"))
+    longest = F.min(F.struct((-F.length("name")).alias("n"), "name"))["name"]
+    return first.groupBy("doc_id").agg(F.count("*").alias("names"), F.sum("low").alias("places"), longest.alias("longest"))
