@@ -203,7 +203,9 @@ def predict(docs: DataFrame, model: Hierarchy, text: str = "text", closest: bool
                     sizes = np.diff(ends)
                     margins = np.tile(bias, (batch.num_rows, 1))
                     some = np.flatnonzero(sizes)
-                    if len(some):
+                    if len(bucket) > len(weights) and batch.num_rows == 1:  # a long text: the weights once, not once a trigram
+                        margins += np.bincount(bucket, minlength=len(weights)) @ weights / len(bucket)
+                    elif len(some):
                         margins[some] += np.add.reduceat(weights[bucket], ends[:-1][some], axis=0) / sizes[some, None]
                     found, sure, least = mine.decide(margins)
                     lang, score, near = np.where(letters, found, lang), np.where(letters, sure, 0.0), np.where(letters, least, 0.0)

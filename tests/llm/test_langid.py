@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -72,3 +73,42 @@ def test_trigrams_stay_in_their_texts():
         raw = np.frombuffer(t.encode(), np.uint8)
         alone, _ = langid.trigrams(raw, np.array([0, len(raw)]))
         assert together[at[i] : at[i + 1]].tolist() == alone.tolist(), t
+
+
+def plain_buckets(text):
+    """Hashed trigrams of a text, written down anew: bytes folded, runs of spaces one, three at a time."""
+    body, mask = [], 0xFFFFFFFF
+    for b in text.encode():
+        b = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+        if b != 32 or not body or body[-1] != 32:
+            body.append(b)
+    out = []
+    for x, y, z in zip(body, body[1:], body[2:]):
+        code = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) * 0x27D4EB2F & mask
+        out.append(((code ^ code >> 15) * 0x2C1B3C6D & mask) >> 19)
+    return out
+
+
+def test_predictions_are_those_of_the_fitted_machines(spark):
+    rng = np.random.default_rng(8)
+    langs = list(SYLLABLES)
+    docs = [(i, sentence(langs[i % 5], int(rng.integers(3, 40)), rng), langs[i % 5]) for i in range(300)]
+    docs += [(900, "The  thing!! whed\n\n" * 3000, "en"), (901, "漢", "xx"), (902, "é", "fr"), (903, "a b", "en")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(table, langid.fold() != 2)
+    weights, bias = model.weights.tolist(), model.bias.tolist()
+    family = {"de": "germanic", "en": "germanic", "fr": "romance", "es": "romance", "xx": "only xx"}
+    families = sorted(set(family.values()))
+    pairs = [(a, b) for i, a in enumerate(model.languages) for b in model.languages[i + 1 :] if family[a] == family[b]]
+    sure = lambda m: 1 / (1 + math.exp(-2 * max(-30, min(30, m))))
+    for r in langid.predict(table, model).collect():
+        found = plain_buckets(r.text)
+        m = [b + (sum(weights[k][j] for k in found) / len(found) if found else 0) for j, b in enumerate(bias)]
+        best = max(range(len(families)), key=lambda f: m[f])
+        inside = [x for x in model.languages if family[x] == families[best]]
+        score, lang = sure(m[best]), inside[0]
+        for j, (a, b) in enumerate(pairs, len(families)):  # two languages in a family here: one machine decides
+            if a in inside:
+                lang = a if m[j] >= 0 else b
+                score *= max(sure(m[j]), 1 - sure(m[j]))
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9, r.doc_id

@@ -1,4 +1,8 @@
+import math
+import zlib
+
 import numpy as np
+import pyarrow as pa
 
 from lexloom.llm import quality
 
@@ -85,3 +89,33 @@ def test_a_repeated_id_is_no_larger_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "co_train", lambda a, b, y, pa_, pb, rounds: seen.update(pool=len(pa_), known=len(a)) or whole(a, b, y, pa_, pb, rounds))
     quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample=100, pool=100)
     assert 50 < seen["pool"] < 160 and 100 < seen["known"] < 300
+
+
+def test_features_against_plain_ones(spark):
+    """Both views written down anew from their description."""
+    texts = ["Some Words, some words.\nA line 12\n\nA line 12", "x", "\n", "é漢😀 !!! ...", "a b a b a b", "UPPER lower 123\t,;", "word " * 900]
+    kinds = [str.isupper, str.islower, str.isdigit, lambda c: c in " \t\v\f\r", lambda c: c == "\n", lambda c: c in ".,;:?'\"()-"]
+    facts = [("s0", "en", 10), (None, None, None), ("s1", "de", -4), ("s0", None, 0), ("x", "y", 1 << 40), ("é", "fr", 255), ("s", "t", 256)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "source": [f[0] for f in facts], "lang": [f[1] for f in facts], "n_chars": pa.array([f[2] for f in facts], pa.int64())})
+    content, metadata = quality._views(batch)
+    for i, (t, (source, lang, n)) in enumerate(zip(texts, facts)):
+        shares = [0] * 8
+        for b in t.encode():
+            c = chr(b)
+            shares[7 if b >= 128 else next((k for k, f in enumerate(kinds) if f(c)), 6)] += 1
+        lines, words = t.split("\n"), t.split()
+        pairs = list(zip(words, words[1:]))
+        want = [x / len(t.encode()) for x in shares]
+        want += [math.log(1 + len(lines)), math.log(1 + sum(map(len, lines)) / len(lines)), math.log(1 + max(map(len, lines))), len(set(lines)) / len(lines)]
+        if words:
+            k = len(words)
+            want += [math.log(1 + k), sum(map(len, words)) / k / 10, len(set(words)) / k, len(set(words)) / math.sqrt(k) / 10, max(map(words.count, words)) / k]
+            want += [(len(pairs) - len(set(pairs))) / k, sum(not w[-1].isalnum() for w in words) / k, sum(not any(c.isalnum() for c in w) for w in words) / k]
+        else:
+            want += [0.0] * 8
+        assert np.allclose(content[i], want)
+        size = max(0, n or 0)
+        plain = np.zeros(32 + 32 + 1 + 24)
+        plain[zlib.crc32(f"s{source}".encode()) % 32] = plain[32 + zlib.crc32(f"l{lang}".encode()) % 32] = 1
+        plain[64], plain[65 + min(23, len(bin(size)) - 2 if size else 0)] = math.log(1 + size), 1
+        assert np.allclose(metadata[i], plain)
