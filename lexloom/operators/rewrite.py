@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import fixed
 from lexloom.functions import text as T
+from lexloom.operators import fragments
 
 
 def expanded(queries: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = fixed.ALIASES, most: int = 8) -> DataFrame:
@@ -27,30 +28,13 @@ def expanded(queries: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] =
     return out.withColumn("expanded", F.concat_ws(" ", text, F.nullif(F.array_join("expansions", " "), F.lit(""))))
 
 
-def longest_common(a: str, b: str) -> str:
-    m = SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b))
-    return a[m.a : m.a + m.size]
-
-
 def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
 def name_hints(queries: DataFrame, names: DataFrame, key: str, stop: Sequence[str] = fixed.GENERIC, least: int = 2) -> DataFrame:
-    """(key, hint, pos): the longest part that a text and a name ``(pos, name)`` share, if it says something; first place of each.
-
-    Sequence matching is no built-in; it runs in Arrow batches over questions and the list of names.
-    """
-    pairs = queries.select(key, "text").join(names, F.col("text").isNotNull() & F.col("name").isNotNull())
-
-    @F.pandas_udf("string")
-    def fragment(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, them in batches:
-            yield pd.Series([longest_common(a, b) for a, b in zip(texts, them)], dtype=object)
-
-    found = pairs.select(key, "pos", fragment("text", "name").alias("hint"))
-    found = found.where((F.length("hint") >= least) & ~F.col("hint").isin(list(stop)))
-    return found.groupBy(key, "hint").agg(F.min("pos").alias("pos"))
+    """(key, hint, pos): the longest part that a text and a name ``(pos, name)`` share, if it says something; first place of each."""
+    return fragments.hints(queries, names, key, least=least).where(~F.col("hint").isin(list(stop)))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.operators import answers, evaluate, search
+from lexloom.operators import answers, evaluate, fragments, search, sessions
 from lexloom.plans.retrieval import _bm25_sql, corpus_index
 from lexloom.plans.tables import Book, table
+from lexloom.session import scratch_folder
+from lexloom.sources import versions
 
 BOOK = Book()
 
@@ -62,6 +66,20 @@ def q_upper_median(spark, sf_dir):
     return evaluate.upper_median(table(spark, sf_dir, "documents"), "n_chars", ["source"])
 
 
+@BOOK.query("""WITH n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
+ p AS (SELECT conv_id, turn, text AS q, CASE WHEN nr = 'assistant' THEN nt END AS a FROM n WHERE role = 'user'),
+ x AS (SELECT conv_id, turn, i, substr(q, i, 1) AS c FROM (SELECT *, unnest(range(1, length(q) + 1)) AS i FROM p)), y AS (SELECT conv_id, turn, j, substr(a, j, 1) AS c FROM (SELECT *, unnest(range(1, length(a) + 1)) AS j FROM p)),
+ r AS (SELECT conv_id, turn, i, i - j AS d, i - row_number() OVER (PARTITION BY conv_id, turn, i - j ORDER BY i) AS g FROM x JOIN y USING (conv_id, turn, c)),
+ l AS (SELECT conv_id, turn, count(*) AS n, min(i) AS i FROM r GROUP BY conv_id, turn, d, g),
+ b AS (SELECT conv_id, turn, max(n) AS n, arg_min(i, i - 1000000 * n) AS i FROM l GROUP BY conv_id, turn)
+ SELECT p.conv_id, p.turn, CASE WHEN q IS NULL OR a IS NULL THEN NULL ELSE CAST(coalesce(n, 0) AS INTEGER) END AS overlap, CASE WHEN q IS NULL OR a IS NULL THEN NULL ELSE coalesce(substr(q, i, n), '') END AS part FROM p LEFT JOIN b USING (conv_id, turn)""")
+def q_overlap_lengths(spark, sf_dir):
+    """How much of each question is copied from its answer: their longest common part."""
+    pairs = sessions.turn_pairs(table(spark, sf_dir, "conversations"), "conv_id").withColumn("case", F.struct("conv_id", "turn"))
+    found = fragments.overlaps(pairs, pairs.select("case", F.col("answer").alias("text")), "case")
+    return found.select("case.conv_id", "case.turn", "overlap", "part")
+
+
 _VARIANTS = "v AS (SELECT user_id AS question, event_id AS pos, list_sort(list_distinct([(event_id % 3), (user_id % 3)])) AS gold0, event_type FROM events), w AS (SELECT question, pos, CASE WHEN event_type = 'view' THEN [] ELSE gold0 END AS gold FROM v)"
 _COMMON = f"{_VARIANTS}, c AS (SELECT * FROM w WHERE len(gold) > 0), n AS (SELECT question, count(*) AS n, arg_min(gold, pos) AS first FROM c GROUP BY question), e AS (SELECT question, key, count(*) AS c FROM (SELECT question, unnest(gold) AS key FROM c) GROUP BY ALL), k AS (SELECT question, string_agg(key, ' ' ORDER BY list_position(first, key)) AS gold FROM n JOIN e USING (question) WHERE c = n AND list_contains(first, key) GROUP BY question), o AS (SELECT question, gold, CASE WHEN n IS NULL THEN 'no citation' WHEN gold IS NULL THEN 'variants disagree' END AS reason FROM (SELECT DISTINCT question FROM w) LEFT JOIN n USING (question) LEFT JOIN k USING (question))"
 
@@ -92,6 +110,37 @@ def q_dataset_drift(spark, sf_dir):
     return evaluate.drift(d.where("doc_id % 4 <> 0"), new, "doc_id")
 
 
+_CLEAN = "[0-9]{4,}"
+
+
+@BOOK.query(f"""WITH a AS (SELECT doc_id, lang, text FROM documents), b AS (SELECT doc_id, lang, regexp_replace(text, '{_CLEAN}', '#', 'g') AS text FROM documents WHERE n_chars >= 200 UNION ALL SELECT -1 - item_id, NULL, text FROM benchmark)
+ SELECT doc_id, CASE WHEN b.text IS NULL THEN 'missing' WHEN a.text IS NULL THEN 'extra' ELSE 'changed' END AS state, CASE WHEN a.text IS NULL THEN 0 ELSE 1 END::BIGINT AS old_rows, CASE WHEN b.text IS NULL THEN 0 ELSE 1 END::BIGINT AS new_rows FROM a FULL JOIN b USING (doc_id) WHERE a.text IS DISTINCT FROM b.text""")
+def q_version_diff(spark, sf_dir):
+    """The documents against a version with numbers masked, short ones dropped and the benchmark's passages added."""
+    old, new = _versions(spark, sf_dir)
+    return versions.differences(spark, old, new, "doc_id")
+
+
+@BOOK.query(f"""WITH a AS (SELECT doc_id, text FROM documents), b AS (SELECT doc_id, regexp_replace(text, '{_CLEAN}', '#', 'g') AS text FROM documents WHERE n_chars >= 200 UNION ALL SELECT -1 - item_id, text FROM benchmark),
+ f AS (SELECT min(doc_id) AS k FROM a FULL JOIN b USING (doc_id) WHERE a.text IS DISTINCT FROM b.text), n AS (SELECT (SELECT count(*) FROM a) AS old_rows, (SELECT count(*) FROM b) AS new_rows)
+ SELECT CASE WHEN old_rows <> new_rows THEN 'count' WHEN k IS NULL THEN 'same' ELSE 'position' END AS verdict, old_rows, new_rows, k AS first_key, CASE WHEN k IS NOT NULL THEN (SELECT count(*) FROM a WHERE doc_id < k) + 1 END AS position FROM f, n""")
+def q_version_verdict(spark, sf_dir):
+    """The same two versions in one row: counts, and where in order of the key they first differ."""
+    old, new = _versions(spark, sf_dir)
+    return versions.verdict(spark, old, new, "doc_id")
+
+
+def _versions(spark, sf_dir) -> tuple[str, str]:
+    """Signatures of both versions, written for this call."""
+    folder = f"{scratch_folder(spark, 'versions')}/{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars")
+    extra = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.lit(None).cast("string").alias("lang"), "text")
+    new = d.where("n_chars >= 200").select("doc_id", "lang", F.regexp_replace("text", _CLEAN, "#").alias("text")).unionByName(extra)
+    versions.sign(d.drop("n_chars"), "doc_id", f"{folder}/old")
+    versions.sign(new, "doc_id", f"{folder}/new", like=f"{folder}/old")
+    return f"{folder}/old", f"{folder}/new"
+
+
 @BOOK.query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY turn, p_brand) AS INTEGER) AS place FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part) QUALIFY row_number() OVER (ORDER BY turn, p_brand) <= 200")
 def q_round_robin_candidates(spark, sf_dir):
     return evaluate.round_robin(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 200).select("p_partkey", "place")
