@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import rewrite, sessions
 from lexloom.plans.tables import Book, table
-from lexloom.streaming import limits, topics
+from lexloom.streaming import limits, states, topics
 
 BOOK = Book()
 
@@ -116,6 +116,35 @@ def q_topic_stream(spark, sf_dir):
     return limits.latest(limits.drained(found, "update"), ["user_id", "turn"]).select("user_id", "turn", "topic")
 
 
+@BOOK.query("""WITH e AS (SELECT user_id, event_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(floor(abs(value)) AS BIGINT) AS amount FROM events),
+ f AS (SELECT user_id, max(event_id) AS t FROM e WHERE event_type = 'purchase' GROUP BY user_id),
+ s AS (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY event_id DESC) AS n FROM e LEFT JOIN f USING (user_id) WHERE t IS NULL OR event_id > t),
+ p AS (SELECT user_id, day, min(event_id) FILTER (event_type = 'view') AS a, min(event_id) FILTER (event_type = 'click') AS r, count(*) FILTER (event_type = 'click') AS n FROM e WHERE event_type IN ('view', 'click') GROUP BY ALL),
+ q AS (SELECT *, CASE WHEN r IS NULL THEN 'open' WHEN a IS NULL THEN 'unasked' WHEN r > a THEN 'answered' ELSE 'conflict' END AS status FROM p)
+ SELECT user_id, 'last' AS kind, 'type' AS field, '' AS slot, max(event_id) AS turn, arg_max(event_type, event_id) AS value FROM e GROUP BY user_id
+ UNION ALL SELECT user_id, 'sum', 'amount', '', NULL, CAST(CAST(coalesce(sum(amount), 0) AS BIGINT) AS VARCHAR) FROM e GROUP BY user_id
+ UNION ALL SELECT user_id, 'window', 'seen', CAST(n AS VARCHAR), event_id, event_type FROM s WHERE n <= 5
+ UNION ALL SELECT user_id, 'pause', day, status, coalesce(r, a), CASE WHEN r IS NOT NULL THEN 'event ' || r END FROM q
+ UNION ALL SELECT user_id, 'refused', day, '', NULL, CAST(n - CASE WHEN status = 'answered' THEN 1 ELSE 0 END AS VARCHAR) FROM q""")
+def q_session_states(spark, sf_dir):
+    """Every user's state after all events: last kind, sum, newest entries since a purchase, and each day's question with its answer."""
+    stream = limits.events(spark, f"{sf_dir}/events.parquet")
+    day, kind = F.to_date("ts").cast("string"), F.col("event_type")
+
+    def update(op, field, value, when=None):
+        made = F.struct(F.lit(op).alias("op"), field.alias("field"), value.cast("string").alias("value"))
+        return made if when is None else F.when(when, made)
+
+    each = F.array(
+        update("set", F.lit("type"), kind), update("add", F.lit("amount"), F.floor(F.abs("value"))), update("append", F.lit("seen"), kind),
+        update("clear", F.lit("seen"), kind, kind == "purchase"), update("pause", day, F.lit(None), kind == "view"), update("resume", day, F.concat(F.lit("event "), "event_id"), kind == "click"),
+    )
+    updates = stream.select("user_id", "ts", F.col("event_id").alias("turn"), F.explode(F.filter(each, lambda u: u.isNotNull())).alias("u")).select("user_id", "ts", "turn", "u.*")
+    with states.store(spark):
+        out = limits.drained(states.states(updates, "user_id", "ts", live="60 days"), "update")
+    return states.held(out, "user_id")
+
+
 @BOOK.query("SELECT event_id, 86400 - CAST(floor(epoch(ts)) AS BIGINT) % 86400 AS retry, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def q_day_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.seconds_to_midnight(F.col("ts")).alias("retry"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
