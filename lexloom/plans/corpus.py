@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import corpus, ingest, resolve
+from lexloom.operators import build, corpus, ingest, resolve
 from lexloom.plans.tables import Book, table
+from lexloom.session import scratch_folder
 
 BOOK = Book()
 
@@ -172,3 +175,21 @@ def q_span_antijoin(spark, sf_dir):
     low = F.unix_timestamp("ts")
     high = low + F.floor(F.abs("value") * 1000) % 90000
     return resolve.outermost(table(spark, sf_dir, "events").select("event_id", "user_id", low.alias("low"), high.alias("high")), ["user_id"])
+
+
+@BOOK.query("""WITH l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''), c AS (SELECT DISTINCT doc_id, line FROM l),
+ w AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(line), '[a-z]+'))) AS term FROM c) GROUP BY term)
+ SELECT 1 AS place, 'lines' AS stage, (SELECT count(*) FROM documents) AS rows_in, count(*) AS rows_out, CAST(sum(length(line)) AS BIGINT) AS total FROM l
+ UNION ALL SELECT 2, 'distinct', (SELECT count(*) FROM l), count(*), CAST(sum(length(line)) AS BIGINT) FROM c
+ UNION ALL SELECT 3, 'terms', (SELECT count(*) FROM c), count(*), CAST(sum(n) AS BIGINT) FROM w""")
+def q_build_report(spark, sf_dir):
+    """Documents to lines, distinct lines and terms, built behind the gate; what each stage read and wrote, as measured while writing."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit("[a-z]+"), F.lit(0)))
+    stages = [
+        build.Stage("lines", lambda d: d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''"), {"total": "sum(length(line))"}),
+        build.Stage("distinct", lambda d: d.distinct(), {"total": "sum(length(line))"}),
+        build.Stage("terms", lambda d: d.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n")), {"total": "sum(n)"}),
+    ]
+    root = f"{scratch_folder(spark, 'build')}/{uuid.uuid4().hex}"
+    build.ensure_ready(table(spark, sf_dir, "documents").select("doc_id", "text"), root, stages)
+    return build.report(spark, root).select("place", "stage", "rows_in", "rows_out", F.col("measures")["total"].alias("total"))
