@@ -10,7 +10,8 @@ avgdl are those of the whole corpus. Fusion adds 1 / (k + rank), ranks from 1.
 
 Queries are a stated set, asked against all rows in blocks: of BM25, by shards of documents
 (:mod:`lexloom.operators.postings`); of vectors, a batch of rows is scored for a block of queries
-by one matrix product. Only rows that can still be among a query's best leave a task.
+by one matrix product. A few queries go to the rows where these lie; of many, each task holds a block
+and reads all rows, packed, in the order of their keys. What leaves a task is about ``limit`` rows a query.
 """
 
 from __future__ import annotations
@@ -28,17 +29,8 @@ from lexloom.functions import text as T
 from lexloom.operators.postings import B, K1, Index, searched
 
 RRF_K, HINT_BOOST = 60, 1.5
-#: Queries in a block, and rows that are scored at once.
-BLOCK, ROWS = 256, 512
-
-
-def _blocks(queries: DataFrame, query: str, block: int) -> int:
-    """How many blocks of about ``block`` queries there are; queries fall into them by hash."""
-    return -(-queries.select(query).distinct().count() // block)
-
-
-def _in_block(query: str, blocks: int, b: int) -> Column:
-    return F.pmod(F.xxhash64(query), F.lit(blocks)) == b
+#: So many queries are sent to the rows; more are dealt into ``DEALT`` blocks or more, of ``BLOCK`` at most. Rows that are scored at once.
+FEW, DEALT, BLOCK, ROWS = 1024, 24, 32_768, 1024
 
 
 class _Best:
@@ -95,32 +87,170 @@ def top_dense(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "do
     ``vectors(key, vector)`` may have ``law``, ``queries(query, vector)`` may have ``laws``. Rows of
     another length than the query's, and those that are null or zero, have no score.
     """
-    spark = queries.sparkSession
     kinds = {"query": dict(queries.dtypes)[query], "key": dict(vectors.dtypes)[key]}
     schema = f"query {kinds['query']}, key {kinds['key']}, score double"
     law = F.col("law").cast("string") if "law" in vectors.columns else F.lit(None).cast("string")
-    rows = vectors.select(F.col(key).alias("key"), law.alias("law"), F.col("vector").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)")
-    blocks, found = _blocks(queries, query, BLOCK), []
-    asked = queries.select(F.col(query).alias("query"), _filters(queries).alias("laws"), F.col("vector").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)")
-    for at in range(blocks):
-        some = asked.where(_in_block("query", blocks, at)).collect()  # about BLOCK vectors
-        for width in sorted({len(r.v) for r in some}):
-            mine = sorted((r for r in some if len(r.v) == width), key=lambda r: str(r.query))
-            matrix = np.array([r.v for r in mine]).reshape(len(mine), width)
-            found.append(rows.where(F.size("v") == width).mapInArrow(_cosines(matrix, [r.query for r in mine], [r.laws for r in mine], limit, kinds["query"]), schema))
-    scored = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    rows = _numbers(vectors.select(F.col(key).alias("key"), law.alias("law"), F.col("vector").alias("v")))
+    asked = _numbers(queries.select(F.col(query).alias("query"), _filters(queries).alias("laws"), F.col("vector").alias("v")))
+    some = asked.limit(FEW + 1).collect()
+    if len(some) > FEW:
+        scored = _dealt(rows, asked, asked.count(), limit, kinds, schema)
+    else:
+        scored = _sent(rows, some, limit, kinds, schema)
     return ranked(scored.withColumnsRenamed({"query": query, "key": key}), limit, query, key)
 
 
+def _numbers(rows: DataFrame) -> DataFrame:
+    """Rows whose ``v`` is there as a whole; floats stay such, all others are doubles."""
+    kind = "array<float>" if dict(rows.dtypes)["v"] == "array<float>" else "array<double>"
+    return rows.withColumn("v", F.col("v").cast(kind)).where("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
+
+
+def _sent(rows: DataFrame, some: list, limit: int, kinds: dict[str, str], schema: str) -> DataFrame:
+    """Candidates of a few queries, from the tasks that read the rows."""
+    found = []
+    for width in sorted({len(r.v) for r in some}):
+        mine = sorted((r for r in some if len(r.v) == width), key=lambda r: str(r.query))
+        matrix = np.array([r.v for r in mine], np.float64).reshape(len(mine), width)
+        found.append(rows.where(F.size("v") == width).mapInArrow(_cosines(matrix, [r.query for r in mine], [r.laws for r in mine], limit, kinds["query"]), schema))
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
+
+
+def _dealt(rows: DataFrame, asked: DataFrame, n: int, limit: int, kinds: dict[str, str], schema: str) -> DataFrame:
+    """Each query's best, where a task holds a block of queries and all rows pass by, packed and by ascending key."""
+    blocks = max(-(-n // BLOCK), min(DEALT, -(-n // (FEW // 2))))
+    packs = _packs(rows.repartitionByRange(DEALT, "key").sortWithinPartitions("key"), "key", kinds["key"], "law", "string")
+    packs = packs.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), F.col("ids")[0].alias("first"), "width", "v", F.col("ids").alias("keys"), F.col("law").alias("row_laws"))
+    asking = _packs(asked.repartition(blocks), "query", kinds["query"], "laws", "array<string>")
+    asking = asking.select(F.pmod("task", F.lit(blocks)).alias("block"), F.lit(0).alias("side"), "width", "v", F.col("ids").alias("queries"), F.col("laws").alias("query_laws"))
+    both = packs.unionByName(asking, allowMissingColumns=True)
+    return both.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "side", "first").mapInArrow(_passing(limit, _arrow(kinds["query"]), _arrow(kinds["key"])), schema)
+
+
+def _packs(rows: DataFrame, key: str, kind: str, law: str, law_kind: str) -> DataFrame:
+    """``(task, width, ids, law, v)``: ``ROWS`` rows or fewer of one width in order, their vectors as bytes of doubles or floats."""
+    single = dict(rows.dtypes)["v"] == "array<float>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                some = whole.slice(at, ROWS)
+                sizes = np.diff(some.column("v").offsets.to_numpy())
+                for width in np.unique(sizes).tolist():
+                    batch = some.filter(pa.array(sizes == width))
+                    one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+                    x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32 if single else np.float64)
+                    yield pa.RecordBatch.from_arrays([batch.column("task").slice(0, 1), pa.array([width], pa.int32()), one(batch.column(key)), one(batch.column(law)), pa.array([x.tobytes()], pa.binary())], names=["task", "width", "ids", law, "v"])
+
+    kept = rows.select(F.spark_partition_id().alias("task"), key, law, "v")
+    packed = kept.mapInArrow(run, f"task int, width int, ids array<{kind}>, {law} array<{law_kind}>, v binary")
+    return packed if not single else packed.withColumn("width", -F.col("width"))  # a negative width says floats
+
+
+def _unpacked(width: int, v: pa.Scalar, count: int) -> np.ndarray:
+    """Unit rows in double precision; those without a direction are NaN."""
+    x = np.frombuffer(v.as_buffer(), np.float32 if width < 0 else np.float64).astype(np.float64).reshape(count, -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class _Held:
+    """The best rows so far of a block of queries of one width, where rows come by ascending key.
+
+    A later row of an equal score can't get in. Products of floats tell which rows can, by a margin
+    above their error; these are scored in double precision.
+    """
+
+    def __init__(self, limit: int, ids: list[pa.Array], laws: list, units: np.ndarray):
+        self.limit, self.ids, self.laws = limit, ids, _masks(laws)
+        self.x, self.short = units, units.astype(np.float32)
+        self.margin = (units.shape[1] + 8) * 2.0**-22
+        self.scores = np.full((len(units), limit), -np.inf)
+        self.keys = np.empty((len(units), limit), dtype=object)
+
+    def take(self, units: np.ndarray, keys: np.ndarray, laws: list) -> None:
+        short = units.astype(np.float32).T
+        masks = [(i, m) for i, m in enumerate(map(self.laws, laws)) if m is not None]
+        for low in range(0, len(self.x), 512):
+            high = min(low + 512, len(self.x))
+            near = self.short[low:high] @ short
+            for i, m in masks:
+                near[m[low:high], i] = -np.inf
+            q, r = np.nonzero(near >= (self.scores[low:high, -1:] - self.margin).astype(np.float32))
+            if not len(q):
+                continue
+            if len(q) * 16 > near.size:
+                found = (self.x[low:high] @ units.T)[q, r]
+            else:
+                found = np.concatenate([np.einsum("ij,ij->i", self.x[low + q[s : s + 65_536]], units[r[s : s + 65_536]]) for s in range(0, len(q), 65_536)])
+            q = q + low
+            rounded = np.round(found, 9)
+            ok = np.isfinite(found) & np.isfinite(near[q - low, r]) & (rounded > np.round(self.scores[q, -1], 9))
+            if ok.any():
+                self._merge(q[ok], found[ok], rounded[ok], keys[r[ok]])
+
+    def _merge(self, q: np.ndarray, found: np.ndarray, rounded: np.ndarray, keys: np.ndarray) -> None:
+        """Those held come first among equal scores, and new ones come by ascending key."""
+        who = np.unique(q)
+        every = np.concatenate([np.repeat(who, self.limit), q])
+        scores = np.concatenate([self.scores[who].ravel(), found])
+        names = np.concatenate([self.keys[who].ravel(), keys])
+        order = np.lexsort((-np.concatenate([np.round(self.scores[who].ravel(), 9), rounded]), every))  # stable
+        every = every[order]
+        starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        best = order[starts[:, None] + np.arange(self.limit)]
+        self.scores[who], self.keys[who] = scores[best], names[best]
+
+    def given(self, query_type: pa.DataType, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays(self.ids)
+        for low in range(0, len(self.x), 4096):
+            q, j = np.nonzero(np.isfinite(self.scores[low : low + 4096]))
+            q = q + low
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)).cast(query_type), pa.array(self.keys[q, j].tolist(), key_type), pa.array(self.scores[q, j])], names=["query", "key", "score"])
+
+
+def _passing(limit: int, query_type: pa.DataType, key_type: pa.DataType):
+    """Packs come sorted by block and side, queries first, and rows by key: gives each query's best when its block ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, waiting, held = None, {}, {}
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for x in held.values():
+                yield from x.given(query_type, key_type)
+
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for i, (block, side, width) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "side", "width")))):
+                    if block != here:
+                        yield from settle()
+                        here, waiting, held = block, {}, {}
+                    v, size = batch.column("v")[i], abs(width)
+                    if side == 0:
+                        ids = batch.column("queries")[i].values
+                        waiting.setdefault(size, []).append((ids, batch.column("query_laws")[i].as_py(), _unpacked(width, v, len(ids))))
+                        continue
+                    if size in waiting:
+                        ids, laws, units = zip(*waiting.pop(size))
+                        held[size] = _Held(limit, list(ids), [x for some in laws for x in some], np.concatenate(units))
+                    if size in held:
+                        keys = batch.column("keys")[i].values.to_pylist()
+                        names = np.empty(len(keys), dtype=object)
+                        names[:] = keys
+                        held[size].take(_unpacked(width, v, len(keys)), names, batch.column("row_laws")[i].as_py())
+            yield from settle()
+
+    return run
+
+
 def _cosines(matrix: np.ndarray, ids: list, filters: list, limit: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, left_out, names = _Best(len(ids), limit), _masks(filters), pa.array(ids, type=_arrow(kind))
         with np.errstate(invalid="ignore", divide="ignore"):
             asked = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
             for whole in batches:
-                for at in range(0, whole.num_rows, 8 * ROWS):
-                    batch = whole.slice(at, 8 * ROWS)
-                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for at in range(0, whole.num_rows, 2 * ROWS):
+                    batch = whole.slice(at, 2 * ROWS)
+                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                     scores = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ asked.T
                     for i, x in enumerate(batch.column("law").to_pylist()):
                         out = left_out(x)

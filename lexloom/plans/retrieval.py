@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,7 +195,7 @@ def q_rrf_fusion(spark, sf_dir):
 @BOOK.query(f"""WITH {_DENSE} SELECT fr.query_id, fr.vec_id, fr.score, CAST(fr.rank AS INTEGER) AS rank, CAST(a.rank AS INTEGER) AS dense_rank, a.score AS dense_score, CAST(b.rank AS INTEGER) AS half_rank, b.score AS half_score
  FROM fr LEFT JOIN (SELECT * FROM dr WHERE rank <= 20) a ON a.query_id = fr.query_id AND a.vec_id = fr.vec_id LEFT JOIN (SELECT * FROM sr WHERE rank <= 20) b ON b.query_id = fr.query_id AND b.vec_id = fr.vec_id WHERE fr.rank <= 10""")
 def q_channel_detail(spark, sf_dir):
-    channels = _channels(spark, sf_dir)
+    channels = {name: c.persist(StorageLevel.DISK_ONLY) for name, c in _channels(spark, sf_dir).items()}  # each is read twice
     return search.with_channels(search.fuse(channels, 10, key="vec_id"), channels, key="vec_id")
 
 
