@@ -6,6 +6,9 @@ around members of its own; what can't be parted that way (equal vectors) lies in
 ``most`` rows, and a query visits all chunks of a list. How many lists a query visits is calibrated:
 the fewest that find ``recall`` of the true neighbours of a bounded set of rows asked by brute force.
 
+A search deals the chunks into groups, a task each. A query goes to a group once, however many of its
+lists lie there, and of each group only its ``limit`` best rows come back.
+
 Rows that are null, zero, of another length or hold null or non-finite numbers aren't indexed.
 Added rows join the lists as they are; :func:`build` anew when lists have grown too long.
 """
@@ -18,14 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.operators import search
 
 #: Centroids, at most: they go to every task.
 MOST_LISTS = 65_536
+#: Groups of chunks that a search is dealt into, at least, and rows in a group, about.
+GROUPS, GROUP_ROWS = 24, 65_536
+#: Products of rows and centroids that are held at once, about.
+PRODUCTS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -55,8 +62,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _trained(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means of unit rows, begun at evenly spaced ones; lists that lose all rows keep their centroid."""
     c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)].copy()
+    step = max(1, PRODUCTS // len(c))
     for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+        near = np.concatenate([(x[i : i + step] @ c.T).argmax(axis=1) for i in range(0, len(x), step)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1)
@@ -64,6 +72,15 @@ def _trained(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _ranked_lists(x: np.ndarray, centroids: np.ndarray, probes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Slices of rows, by their first, with the ``probes`` nearest lists of each, the nearest first."""
+    step = max(1, PRODUCTS // len(centroids))
+    for at in range(0, len(x), step):
+        near = x[at : at + step] @ centroids.T
+        top = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+        yield at, np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def _nearest(rows: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFrame:
     """``rows`` with ``lists``, the ``probes`` nearest ones, the nearest first."""
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "lists array<int>"])
@@ -71,11 +88,8 @@ def _nearest(rows: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                near = _matrix(batch.column("v")) @ centroids.T
-                top = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
+            for at, top in _ranked_lists(_matrix(whole.column("v")), centroids, probes) if whole.num_rows else ():
+                batch = whole.slice(at, len(top))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(top.ravel(), pa.int32()), probes).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "lists"])
 
@@ -119,8 +133,9 @@ def build(vectors: DataFrame, path: str, key: str, list_rows: int = 256, most: i
 
 
 def _write(placed: DataFrame, chunks: np.ndarray, path: str, mode: str) -> None:
-    of_list = F.lit(chunks.tolist()).cast("array<bigint>")
-    chunk = F.pmod(F.xxhash64("key"), F.element_at(of_list, F.col("list") + 1)).cast("int")
+    several = [F.lit(int(x)) for i in np.flatnonzero(chunks > 1) for x in (i, chunks[i])]
+    of_list = F.coalesce(F.create_map(*several)[F.col("list").cast("int")], F.lit(1)) if several else F.lit(1)
+    chunk = F.pmod(F.xxhash64("key"), of_list).cast("int")
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed.withColumn("chunk", chunk).repartition(n, "list", "chunk").sortWithinPartitions("list", "chunk", "key").write.mode(mode).parquet(path)
 
@@ -150,61 +165,124 @@ def _calibrated(made: VectorIndex, unit: DataFrame, few: DataFrame, limit: int,
 
 def searched(made: VectorIndex, queries: DataFrame, limit: int, query: str = "query_id", key: str = "key", probes: int | None = None) -> DataFrame:
     """``(query, key, score, rank)``: of the rows in the lists nearest to each query the ``limit`` best by exact cosine."""
-    return search.ranked(_found(made, queries, limit, query, probes).where("key is not null").select(F.col("query").alias(query), F.col("key").alias(key), "score"), limit, query, key)
+    return search.ranked(_found(made, queries, limit, query, probes).select(F.col("query").alias(query), F.col("key").alias(key), "score"), limit, query, key)
 
 
 def rows_read(made: VectorIndex, queries: DataFrame, query: str = "query_id", probes: int | None = None) -> DataFrame:
-    """``(query, read)``: how many rows each query is compared with."""
-    return _found(made, queries, 1, query, probes).where("key is null").groupBy(F.col("query").alias(query)).agg(F.sum("read").alias("read"))
+    """``(query, read)``: how many rows each query is compared with, those of all lists that it visits."""
+    counts, centroids = np.zeros(len(made.centroids), np.int64), made.centroids
+    for r in made.rows.groupBy("list").count().collect():  # MOST_LISTS, at most
+        counts[r["list"]] = r["count"]
+    n = min(probes or made.probes, len(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, top in _ranked_lists(_matrix(whole.column("v")), centroids, n) if whole.num_rows else ():
+                yield pa.RecordBatch.from_arrays([whole.column("key").slice(at, len(top)), pa.array(counts[top].sum(axis=1))], names=["key", "read"])
+
+    asked = _unit(queries, query, centroids.shape[1])
+    each = asked.mapInArrow(run, f"key {queries.schema[query].dataType.simpleString()}, read long")
+    return each.where("read > 0").groupBy(F.col("key").alias(query)).agg(F.sum("read").alias("read"))
+
+
+def _visits(made: VectorIndex, queries: DataFrame, query: str, probes: int, groups: int) -> DataFrame:
+    """``(group, query, lists, v)``: each query once for each group that holds rows of lists it visits, with these lists.
+
+    A chunk's group is list + chunk modulo ``groups``.
+    """
+    centroids, chunks = made.centroids, np.minimum(made.chunks, groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, top in _ranked_lists(_matrix(whole.column("v")), centroids, probes) if whole.num_rows else ():
+                batch, flat = whole.slice(at, len(top)), top.ravel()
+                times = chunks[flat]
+                place = np.repeat(np.arange(len(flat)), times)
+                chunk = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+                to = place // probes * groups + (flat[place] + chunk) % groups
+                order = np.lexsort((flat[place], to))
+                lists, to = flat[place][order], to[order]
+                starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                for low in range(0, len(starts), 4096):  # a query's vector goes out once for each of its groups
+                    some = starts[low : low + 4096]
+                    end = starts[low + 4096] if low + 4096 < len(starts) else len(to)
+                    who = batch.take(pa.array(to[some] // groups))
+                    held = pa.ListArray.from_arrays(pa.array(np.r_[some, end] - some[0], pa.int32()), pa.array(lists[some[0] : end], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[some] % groups, pa.int32()), who.column("key"), held, who.column("v")], names=["group", "query", "lists", "v"])
+
+    kind = queries.schema[query].dataType.simpleString()
+    return _unit(queries, query, centroids.shape[1]).mapInArrow(run, f"group int, query {kind}, lists array<int>, v array<double>")
 
 
 def _found(made: VectorIndex, queries: DataFrame, limit: int, query: str, probes: int | None) -> DataFrame:
-    """Candidates of each query, and for each visited chunk a row without key that says how many rows were ``read``."""
+    """``(query, key, score)``: of each group, the ``limit`` best of the rows that a query visits there."""
     kinds = {"query": queries.schema[query].dataType, "key": made.rows.schema["key"].dataType}
-    types = {c: to_arrow_type(k) for c, k in kinds.items()}
-    asked = _unit(queries, query, made.centroids.shape[1])
-    of_list = F.lit(made.chunks.tolist()).cast("array<bigint>")
-    visits = _nearest(asked, made.centroids, probes or made.probes).select(F.col("key").alias("query"), "v", F.explode("lists").alias("list"))
-    visits = visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.element_at(of_list, F.col("list") + 1) - 1).cast("int"))))
-    no_key, no_query = F.lit(None).cast(kinds["key"]), F.lit(None).cast(kinds["query"])
-    both = visits.select("list", "chunk", "query", no_key.alias("key"), "v").unionByName(made.rows.select("list", "chunk", no_query.alias("query"), "key", "v"))
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.withColumn("side", F.col("key").isNotNull()).repartition(n, "list", "chunk").sortWithinPartitions("list", "chunk", "side")
-    schema = f"query {kinds['query'].simpleString()}, key {kinds['key'].simpleString()}, score double, read long"
-
-    def compared(asking: pa.Table, data: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = _matrix(data.column("v"))
-        for s in range(0, asking.num_rows, 1024):
-            part = asking.slice(s, 1024)
-            ids = part.column("query").combine_chunks()
-            scores = _matrix(part.column("v").combine_chunks()) @ x.T
-            m = min(limit, scores.shape[1])
-            kth = -np.partition(-scores, m - 1, axis=1)[:, m - 1 : m]
-            i, j = np.nonzero(scores >= kth - 1e-8)
-            q = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids.take(pa.array(i)), ids]),
-                    pa.concat_arrays([data.column("key").take(pa.array(j)), pa.nulls(q, types["key"])]),
-                    pa.concat_arrays([pa.array(scores[i, j]), pa.nulls(q, pa.float64())]),
-                    pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(np.full(q, len(x)), pa.int64())]),
-                ],
-                names=["query", "key", "score", "read"],
-            )
+    groups = max(GROUPS, -(-made.rows.count() // GROUP_ROWS))
+    visits = _visits(made, queries, query, min(probes or made.probes, len(made.centroids)), groups).withColumn("side", F.lit(1))
+    rows = made.rows.select(F.pmod(F.col("list") + F.col("chunk"), F.lit(groups)).cast("int").alias("group"), "list", "key", "v", F.lit(0).alias("side"))
+    both = rows.unionByName(visits, allowMissingColumns=True)
+    dealt = both.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "side", "list", "key")
+    return dealt.mapInArrow(_compared(limit), f"query {kinds['query'].simpleString()}, key {kinds['key'].simpleString()}, score double")
+
+
+def _compared(limit: int):
+    """Rows of a group come first, by list and key, then the queries that visit it."""
+
+    def best(x: np.ndarray, bounds: dict[int, tuple[int, int]], place: np.ndarray, asked: np.ndarray, lists: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the best rows of each query, and which these are; ``place`` is each row's by key."""
+        scores, rows = np.full((len(asked), limit), -np.inf), np.full((len(asked), limit), -1)
+        order = np.argsort(lists, kind="stable")
+        edges = np.flatnonzero(np.r_[True, lists[order][1:] != lists[order][:-1], True])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            low, high = bounds.get(int(lists[order[a]]), (0, 0))
+            for s in range(a, b, 512):
+                mine = who[order[s : min(s + 512, b)]]
+                for r in range(low, high, 1024):
+                    near = asked[mine] @ x[r : min(r + 1024, high)].T
+                    i, j = np.nonzero(near >= scores[mine, -1:] - 1e-9)
+                    found, j = near[i, j], j + r
+                    new, kth = np.round(found, 9), np.round(scores[mine[i], -1], 9)
+                    ok = (new > kth) | ((new == kth) & (place[j] < place[rows[mine[i], -1]]))
+                    if not ok.any():
+                        continue
+                    i, j, found = i[ok], j[ok], found[ok]
+                    some = np.unique(i)
+                    every = np.concatenate([np.repeat(some, limit), i])
+                    values, names = np.concatenate([scores[mine[some]].ravel(), found]), np.concatenate([rows[mine[some]].ravel(), j])
+                    by = np.lexsort((place[names], -np.round(values, 9), every))
+                    starts = np.flatnonzero(np.r_[True, every[by][1:] != every[by][:-1]])
+                    kept = by[starts[:, None] + np.arange(limit)]
+                    scores[mine[some]], rows[mine[some]] = values[kept], names[kept]
+        return scores, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
+        here, held, data = None, [], None
         for whole in batches:
-            place = whole.column("list").to_numpy().astype(np.int64) << 32 | whole.column("chunk").to_numpy()
-            edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]) if len(place) else np.zeros(1, int)
+            code = whole.column("group").to_numpy().astype(np.int64) * 2 + whole.column("side").to_numpy()
+            edges = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True]) if len(code) else np.zeros(1, int)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if place[a] != here:
-                    here, held = place[a], []
+                group, side = divmod(int(code[a]), 2)
+                if group != here:
+                    here, held, data = group, [], None
                 part = whole.slice(a, b - a)
-                m = b - a - int(np.count_nonzero(part.column("side").to_numpy(zero_copy_only=False)))
-                if m:
-                    held.append(part.slice(0, m))
-                if held and m < b - a:
-                    yield from compared(pa.Table.from_batches(held), part.slice(m))
-
-    return dealt.mapInArrow(run, schema)
+                if side == 0:
+                    held.append(part.select(["list", "key", "v"]))
+                    continue
+                if data is None:
+                    if not held:
+                        continue
+                    lot = pa.Table.from_batches(held).combine_chunks()
+                    held, keys = [], lot.column("key").combine_chunks()
+                    place = np.empty(len(keys), np.int64)
+                    place[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(keys))
+                    number = lot.column("list").to_numpy()
+                    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True])
+                    bounds = {int(number[i]): (i, j) for i, j in zip(first[:-1].tolist(), first[1:].tolist())}
+                    data = _matrix(lot.column("v").combine_chunks()), bounds, place, keys
+                lists = part.column("lists")
+                sizes = np.diff(lists.offsets.to_numpy())
+                scores, rows = best(*data[:3], _matrix(part.column("v")), lists.flatten().to_numpy(), np.repeat(np.arange(b - a), sizes))
+                i, j = np.nonzero(rows >= 0)
+                yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(i)), data[3].take(pa.array(rows[i, j])), pa.array(scores[i, j])], names=["query", "key", "score"])
+
+    return run

@@ -43,3 +43,18 @@ def test_added_rows_are_found(spark, table, tmp_path):
 def test_empty(spark, table, tmp_path):
     made = vector_index.build(table.where("id >= 9000 and id < 9004"), str(tmp_path), "id")
     assert vector_index.searched(made, table.limit(3).withColumnRenamed("id", "query_id"), 5).count() == 0
+
+
+def test_a_query_goes_to_a_group_once(spark, table, tmp_path):
+    """What is shuffled grows with queries and groups, not with the lists that a query visits; equal rows don't all come back."""
+    made = vector_index.build(table, str(tmp_path), "id", list_rows=8, limit=5)
+    asked = table.withColumnRenamed("id", "query_id")
+    everywhere, groups = len(made.centroids), vector_index.GROUPS
+    assert everywhere > 5 * groups
+    sent = vector_index._visits(made, asked, "query_id", everywhere, groups)
+    assert sent.count() == 2100 * groups
+    assert sent.groupBy("query").agg({"lists": "count"}).where(f"`count(lists)` <> {groups}").count() == 0
+    found = vector_index._found(made, asked, 5, "query_id", everywhere)
+    assert found.groupBy("query").count().agg({"count": "max"}).first()[0] <= 5 * groups
+    true = {(r.query_id, r.rank): r.id for r in search.top_dense(table.where("id < 9000"), asked, 5, "id").collect()}
+    assert {(r.query_id, r.rank): r.id for r in vector_index.searched(made, asked, 5, key="id", probes=everywhere).collect()} == true
