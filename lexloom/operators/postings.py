@@ -116,8 +116,12 @@ def shards(docs: DataFrame, key: str, text: str = "text", law: str | None = None
         def done() -> Iterator[pa.RecordBatch]:
             lot = pa.Table.from_batches(held).combine_chunks()
             task = lot.column("task")[0].as_py()
+            held.clear()
             keys, laws, terms = (lot.column(c).combine_chunks() for c in ("key", "law", "ts"))
+            del lot
             yield from _shard(generation << 44 | task << 20 | number, keys, laws, terms, names, key_type)
+            del keys, laws, terms
+            pa.default_memory_pool().release_unused()  # else what a shard took stays with the worker
 
         for whole in batches:
             ends = np.cumsum(pc.list_value_length(whole.column("ts")).to_numpy())
