@@ -1,8 +1,11 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of ``least`` or more.
 
-Candidates come from ``BANDS`` independent keys of ``ROWS`` smallest hashes each: two sets of
-similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS, which is 0.999993 at J = 0.8. Every
-link is then verified on the whole sets of both texts, so that no pair below ``least`` links.
+Candidates come from SimHash: fingerprints that differ in ``TAU`` bits or fewer, found by the
+generalised pigeonhole principle (:mod:`lexloom.llm.simhash`). At a similarity of 0.8 two fingerprints
+differ in 9.7 bits on average, so more candidates come from ``BANDS`` independent keys of ``ROWS``
+smallest hashes each: two sets of similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS,
+which is 0.999993 at J = 0.8. Every link of either is then verified on the whole sets of both texts, so
+that no pair below ``least`` links.
 
 Texts of equal sets are one node. In each bucket (documents that share a key) all nodes are
 compared with the smallest one, which takes rows in proportion to the bucket. Only buckets whose
@@ -26,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import components, mix64, slices, thrifty, written
-from lexloom.llm.simhash import first_of_each, shingle_hashes
+from lexloom.llm.simhash import first_of_each, links, majority, shingle_hashes
 
-BANDS, ROWS = 30, 5
+BANDS, ROWS, TAU = 30, 5, 3
 _RNG = np.random.default_rng(8)
 _FLIP, _TIMES = (_RNG.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32) for _ in range(2))
 _TIMES |= np.uint32(1)
@@ -62,21 +65,22 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signed(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """``doc_id, mark`` (the text's hash), ``node`` (its set's hash), ``keys`` of its bands, and ``low`` bytes."""
+    """``doc_id, mark`` (the text's hash), ``node`` (its set's hash), ``fp`` (its fingerprint), ``keys`` of its bands, and ``low`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, low = np.zeros(batch.num_rows, np.uint64), [], []
+            nodes, fps, keys, low = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64), [], []
             for i, value in enumerate(batch.column("__bytes")):
-                hashes = shingle_set(value.as_py() or b"", shingle)
+                every = np.array(shingle_hashes(value.as_py() or b"", shingle), dtype=np.uint64)
+                hashes, fps[i] = np.unique(every), majority(every)
                 least = smallest(hashes) if len(hashes) else np.zeros(0, np.uint32)
                 nodes[i] = xxhash.xxh3_64_intdigest(hashes.tobytes())
                 keys.append(band_keys(least).view(np.int64) if len(hashes) else [])
                 low.append((least & np.uint32(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "mark", "node", "keys", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "mark", "node", "fp", "keys", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64(text).alias("mark"), F.col(f"`{text}`").cast("binary").alias("__bytes")).mapInArrow(thrifty(run), f"doc_id {kind}, mark bigint, node bigint, keys array<bigint>, low binary")
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), F.col(f"`{text}`").cast("binary").alias("__bytes")).mapInArrow(thrifty(run), f"doc_id {kind}, mark bigint, node bigint, fp bigint, keys array<bigint>, low binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -147,21 +151,32 @@ def _open_links(least: float, shingle: int):
     return run
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)``, a > b, of ``nodes(node, fp)``: each with the first of its fingerprint, and firsts of fingerprints that link."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    same = nodes.join(firsts.where("n > 1"), "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(firsts.select("fp"), TAU).distinct()
+    sides = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("other")), "b")
+    return same.unionByName(sides.select(F.greatest("one", "other").alias("a"), F.least("one", "other").alias("b"))).distinct()
+
+
 def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Each row's ``doc_id``, ``mark`` (``xxhash64`` of its text) and ``root``, which names its component."""
     marked = written(signed(docs, text, shingle))
-    nodes = written(marked.groupBy("node").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys"), F.first("low").alias("low")))
+    nodes = written(marked.groupBy("node").agg(F.min("mark").alias("mark"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("low").alias("low")))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     hubs = written(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     members = written(keys.join(hubs, "key"))
+    printed = written(by_fingerprint(nodes.where("size(keys) > 0").select("node", "fp")))
 
-    # Texts of nodes that share a bucket at all; of texts with one mark, any.
-    asked = members.select("node").distinct().join(nodes.select("node", "mark"), "node")
+    # Texts of nodes that share a bucket or nearly a fingerprint at all; of texts with one mark, any.
+    met = members.select("node").unionByName(printed.select(F.explode(F.array("a", "b")).alias("node")))
+    asked = met.distinct().join(nodes.select("node", "mark"), "node")
     bytes_ = docs.select(F.xxhash64(text).alias("mark"), F.col(f"`{text}`").cast("binary").alias("text"))
     texts = written(bytes_.join(asked, "mark").groupBy("node").agg(F.first("text").alias("text")))
 
-    star = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = written(verified(star, texts, least, shingle))
+    star = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    edges = written(verified(star.unionByName(printed).distinct(), texts, least, shingle))
     roots = components(edges)
     rooted = members.where("n > 2").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root").select("key")

@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 
 import corpus_pipeline
-from lexloom.llm import near_copies
+from lexloom.llm import near_copies, simhash
 
 
 def grams(text):
@@ -63,3 +63,26 @@ def test_estimates_follow_jaccard():
         assert abs((a == b).mean() - 0.8) < 0.2
         found += (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
     assert found == 300
+
+
+def test_candidates_come_from_fingerprints_too(spark):
+    """The stage's documents have the fingerprints of op9's operator (of five words), and those within three bits meet."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: r.fp for r in simhash.fingerprints(docs, "text", 5).collect()}
+    signed = near_copies.signed(docs).collect()
+    assert {r.doc_id: r.fp for r in signed} == prints
+    nodes = {r.node: r.fp for r in signed if r["keys"]}
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    met = near_copies.by_fingerprint(spark.createDataFrame(list(nodes.items()), "node long, fp long")).collect()
+    for r in met:
+        assert r.a > r.b and (nodes[r.a] % 2**64 ^ nodes[r.b] % 2**64).bit_count() <= 3
+        root[find(r.a)] = find(r.b)
+    close = [(a, b) for a, b in itertools.combinations(nodes, 2) if (nodes[a] % 2**64 ^ nodes[b] % 2**64).bit_count() <= 3]
+    assert close and all(find(a) == find(b) for a, b in close)
