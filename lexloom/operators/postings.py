@@ -143,15 +143,26 @@ def shards(docs: DataFrame, key: str, text: str = "text", law: str | None = None
     return listed.mapInArrow(run, schema)
 
 
-def index_of(written: DataFrame, terms: DataFrame | None = None, facts: tuple[int, float, int] | None = None) -> Index:
+def terms_of(written: DataFrame) -> DataFrame:
+    """(term, df): in how many documents of written shards a term is."""
+    return written.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def facts(written: DataFrame) -> tuple[int, int, int]:
+    """How many documents, terms in them and shards there are in written shards."""
+    words = F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))
+    r = written.where("term is null").agg(F.coalesce(F.sum(F.size("lengths")), F.lit(0)).alias("n"), words.alias("words"), F.count("*").alias("shards")).first()
+    return r.n, r.words or 0, r.shards
+
+
+def index_of(written: DataFrame, terms: DataFrame | None = None, counts: tuple[int, float, int] | None = None) -> Index:
     """An index over written shards; its terms and lengths are computed where they aren't given."""
     posted = written.where("term is not null").select("shard", "term", "n", "docs", "tfs", "bounds")
     heads = written.where("term is null").select("shard", "keys", "lengths", "laws", "mean")
-    terms = terms if terms is not None else posted.groupBy("term").agg(F.sum("n").alias("df"))
-    if facts is None:
-        r = heads.agg(F.coalesce(F.sum(F.size("lengths")), F.lit(0)).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words"), F.count("*").alias("shards")).first()
-        facts = r.n, (r.words or 0) / max(1, r.n), r.shards
-    return Index(posted, heads, terms, *facts)
+    if counts is None:
+        documents, words, many = facts(written)
+        counts = documents, words / max(1, documents), many
+    return Index(posted, heads, terms if terms is not None else terms_of(written), *counts)
 
 
 def _of_law(laws: list[str | None], wanted: list[list[str] | None]) -> list[np.ndarray | None]:

@@ -89,9 +89,16 @@ def _shards(spark: SparkSession, root: str, made: Manifest) -> DataFrame:
 
 
 def _live(spark: SparkSession, root: str, made: Manifest) -> DataFrame:
-    """(key, shard, place) of the documents that count."""
-    placed = _shards(spark, root, made).where("term is null").select("shard", F.posexplode("keys").alias("place", "key"))
-    return placed.join(_dead(spark, root, made), ["shard", "place"], "left_anti").select("key", "shard", "place")
+    """(key, shard, place, length) of the documents that count."""
+    placed = _shards(spark, root, made).where("term is null").select("shard", F.posexplode(F.arrays_zip("keys", "lengths")).alias("place", "of"))
+    placed = placed.select("shard", "place", F.col("of.keys").alias("key"), F.col("of.lengths").alias("length"))
+    return placed.join(_dead(spark, root, made), ["shard", "place"], "left_anti").select("key", "shard", "place", "length")
+
+
+def _of_keys(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Documents of some keys; of a few, which are counted, the keys go to the texts, so that no text is shuffled."""
+    few = keys.limit(postings.SMALL + 1).count() <= postings.SMALL
+    return docs.join(F.broadcast(keys) if few else keys, on, "left_semi")
 
 
 def live_documents(spark: SparkSession, root: str, made: Manifest | None = None) -> DataFrame | None:
@@ -103,24 +110,24 @@ def live_documents(spark: SparkSession, root: str, made: Manifest | None = None)
     if not made.segments:
         return None
     placed = _live(spark, root, made).select("key", F.shiftright("shard", 44).alias("generation"))
+    return _documents(spark, root, made).join(placed, ["key", "generation"], "left_semi").drop("generation")
+
+
+def _documents(spark: SparkSession, root: str, made: Manifest) -> DataFrame:
+    """(key, law, text, fingerprint, generation) of all segments, dead documents included."""
     parts = [spark.read.parquet(f"{root}/{s}/docs").withColumn("generation", F.lit(int(s.split("-")[1]))) for s in made.segments]
     docs = parts[0]
     for p in parts[1:]:
         docs = docs.unionByName(p)
-    return docs.join(placed, ["key", "generation"], "left_semi").drop("generation")
+    return docs
 
 
 def fingerprint(law: str = "law", text: str = "text"):
     return F.xxhash64(F.col(law), F.col(text))
 
 
-def _term_counts(docs: DataFrame, sign: int) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).groupBy("term").agg((F.count("*") * sign).alias("df"))
-
-
-def _words(docs: DataFrame) -> tuple[int, int]:
-    r = docs.agg(F.count("*").alias("n"), F.sum(F.size(F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")))).alias("words")).first()
-    return r.n, r.words or 0
+def _term_counts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def apply(spark: SparkSession, root: str, upserts: DataFrame, deletes: DataFrame | None = None, stream: str | None = None, batch: int | None = None, **shards) -> Manifest:
@@ -140,21 +147,24 @@ def apply(spark: SparkSession, root: str, upserts: DataFrame, deletes: DataFrame
     rows.write.parquet(f"{root}/{segment}/docs")
     docs = spark.read.parquet(f"{root}/{segment}/docs")
     postings.shards(docs, "key", law="law", generation=g, **shards).write.parquet(f"{root}/{segment}/shards")
-    new, words = _words(docs)
-    made = Manifest(g, before.documents + new, before.words + words, before.shards, dict(before.segments), list(before.dead), list(before.terms), dict(before.batches))
-    changes = _term_counts(docs, 1)
+    written = spark.read.parquet(f"{root}/{segment}/shards")
+    new, words, more = postings.facts(written)
+    made = Manifest(g, before.documents + new, before.words + words, before.shards + more, dict(before.segments), list(before.dead), list(before.terms), dict(before.batches))
+    changes = postings.terms_of(written)
     if before.segments:
         gone = docs.select("key") if deletes is None else docs.select("key").unionByName(deletes.select("key")).distinct()
-        buried = live_documents(spark, root, before).join(gone, "key", "left_semi")
-        _live(spark, root, before).join(gone, "key", "left_semi").select("shard", "place").write.parquet(f"{root}/dead-{tag}")
+        buried = _live(spark, root, before).join(gone, "key", "left_semi").persist()
+        buried.select("shard", "place").write.parquet(f"{root}/dead-{tag}")
         made.dead.append(f"dead-{tag}")
-        old, old_words = _words(buried)
-        made.documents, made.words = made.documents - old, made.words - old_words
-        changes = changes.unionByName(_term_counts(buried, -1))
+        old = buried.agg(F.count("*").alias("n"), F.sum("length").alias("words")).first()
+        made.documents, made.words = made.documents - old.n, made.words - (old.words or 0)
+        texts = _of_keys(_documents(spark, root, before), buried.select("key", F.shiftright("shard", 44).alias("generation")), ["key", "generation"])
+        changes = changes.unionByName(_term_counts(texts).withColumn("df", -F.col("df")))
     changes.groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{root}/terms-{tag}")
+    if before.segments:
+        buried.unpersist()
     made.terms.append(f"terms-{tag}")
     made.segments[segment] = new
-    made.shards = before.shards + spark.read.parquet(f"{root}/{segment}/shards").where("term is null").count()
     if stream is not None and batch is not None:
         made.batches[stream] = batch
     _publish(spark, root, made)
@@ -174,9 +184,12 @@ def changes(spark: SparkSession, root: str, docs: DataFrame, made: Manifest | No
 
 def sync(spark: SparkSession, root: str, docs: DataFrame, **options) -> Manifest:
     """Bring the index to a whole snapshot: only documents that differ are read into a segment."""
-    found = changes(spark, root, docs).persist()
+    before = manifest(spark, root)
+    if not before.segments:  # all are new
+        return apply(spark, root, docs.where("key is not null"), **options)
+    found = changes(spark, root, docs, before).persist()
     try:
-        upserts = docs.join(found.where("change in ('added', 'changed')").select("key"), "key", "left_semi")
+        upserts = _of_keys(docs, found.where("change in ('added', 'changed')").select("key"), ["key"])
         return apply(spark, root, upserts, found.where("change = 'deleted'").select("key"), **options)
     finally:
         found.unpersist()

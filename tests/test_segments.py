@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.operators import postings, search
 from lexloom.sources import segments
@@ -108,3 +109,29 @@ def test_a_stream_of_files(spark, tmp_path, asked):
     run()
     assert segments.manifest(spark, root).batches == {"files": 1}
     assert best(spark, segments.load(spark, root), asked) == best(spark, full(spark, [(1, "w2 w1", "l0"), (2, "w1 w1", "l1"), (3, "w3", None)]), asked)
+
+
+def test_texts_are_not_shuffled_for_a_few_changes(spark, tmp_path):
+    """Also where Spark wouldn't send the keys by itself, as with large tables."""
+    draw, root = random.Random(5), str(tmp_path / "index")
+    rows = [(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(400)), "l0") for i in range(500)]
+    texts = sum(len(r[1]) for r in rows)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        segments.sync(spark, root, docs)
+        segments.sync(spark, root, docs.where("key > 4").withColumn("text", F.when(F.col("key") < 10, "w1 w2").otherwise(F.col("text"))))
+        assert shuffled() - before < texts
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    made = segments.manifest(spark, root)
+    assert (made.documents, made.words) == (495, 5 * 2 + 490 * 400)
