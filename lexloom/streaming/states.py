@@ -2,7 +2,8 @@
 
 Updates may come in any order and in any batches: what is given out depends on them alone. A session
 keeps a row for each field, for each pause and for the newest entries of each list, so its state
-doesn't grow with its length, and a batch writes only the rows that it touches. Whole lists are the
+doesn't grow with its length, and a batch writes only the rows that it touches and the ``TOGETHER``
+newest pauses, which are read and written in one call. Whole lists are the
 input itself. A stream with repeats passes ``dropDuplicatesWithinWatermark`` first.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 #: What an update does: the newest value of a field, a sum, an entry of a list, an end to the entries so
 #: far, a question that waits, and its answer.
 OPS = ["set", "add", "append", "clear", "pause", "resume"]
+#: So many pauses of a session lie together; where there are more, each gets an entry of its own.
+TOGETHER = 64
 COLUMNS = ["kind", "field", "slot", "turn", "value"]
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -40,6 +43,7 @@ class Session(StatefulProcessor):
         self.sums = handle.getMapState("sums", "field string", "total long")
         self.floors = handle.getMapState("floors", "field string", "turn long")
         self.pauses = handle.getMapState("pauses", "id string", "asked long, resumed long, value string, resumes long")
+        self.latest = handle.getListState("latest", "id string, asked long, resumed long, value string, resumes long")
         self.entries = handle.getListState("entries", "field string, turn long, part long, value string")
         self.due = handle.getValueState("due", "at long")
 
@@ -65,34 +69,38 @@ class Session(StatefulProcessor):
                 elif op == "resume":
                     resumes[field] = resumes.get(field, 0) + 1
                     resumed[field] = min(resumed.get(field, (turn, value)), (turn, value), key=_order)
-        out = [*self._fields(newest, sums), *self._lists(entries, floors), *self._questions(asked, resumed, resumes)]
-        self._postpone(last)
+        due = self.due.get()
+        known = due is not None  # of a new session nothing is asked: each call to the store takes its time
+        out = [*self._fields(newest, sums, known), *self._lists(entries, floors, known), *self._questions(asked, resumed, resumes, known)]
+        self._postpone(last, due)
         yield self._frame(key, out)
 
     def _newest(self, entries: list[tuple]) -> list[tuple]:
         return sorted(entries, key=_order, reverse=True)[: self.window]
 
-    def _fields(self, newest: dict, sums: dict) -> Iterator[tuple]:
+    def _fields(self, newest: dict, sums: dict, known: bool) -> Iterator[tuple]:
         for field, found in newest.items():
-            held = self.newest.getValue((field,)) if self.newest.containsKey((field,)) else None
+            held = self.newest.getValue((field,)) if known else None
             if held is None or _order(tuple(held)) < _order(found):
                 self.newest.updateValue((field,), found)
                 yield "last", field, "", *found
         for field, more in sums.items():
-            total = more + (self.sums.getValue((field,))[0] if self.sums.containsKey((field,)) else 0)
+            held = self.sums.getValue((field,)) if known else None
+            total = more + (held[0] if held is not None else 0)
             self.sums.updateValue((field,), (total,))
             yield "sum", field, "", None, str(total)
 
-    def _lists(self, entries: dict, floors: dict) -> Iterator[tuple]:
+    def _lists(self, entries: dict, floors: dict, known: bool) -> Iterator[tuple]:
         if not entries and not floors:
             return
         held: dict[str, list[tuple]] = {}
-        for field, *entry in self.entries.get():
+        for field, *entry in self.entries.get() if known else []:
             held.setdefault(field, []).append(tuple(entry))
         for field in {*entries, *floors}:
             floor = [floors[field]] if field in floors else []
-            if self.floors.containsKey((field,)):
-                floor.append(self.floors.getValue((field,))[0])
+            before = self.floors.getValue((field,)) if known else None
+            if before is not None:
+                floor.append(before[0])
             if field in floors:
                 self.floors.updateValue((field,), (max(floor),))
             kept = [e for e in (*held.get(field, []), *entries.get(field, [])) if not floor or e[0] > max(floor)]
@@ -101,37 +109,49 @@ class Session(StatefulProcessor):
                 turn, _, value = held[field][n] if n < len(held[field]) else (None, None, None)
                 yield "window", field, str(n + 1), turn, value
         flat = [(f, *e) for f, some in held.items() for e in some]
-        self.entries.put(flat) if flat else self.entries.clear()
+        if flat or known:
+            self.entries.put(flat) if flat else self.entries.clear()
 
-    def _questions(self, asked: dict, resumed: dict, resumes: dict) -> Iterator[tuple]:
+    def _questions(self, asked: dict, resumed: dict, resumes: dict, known: bool) -> Iterator[tuple]:
+        if not asked and not resumed:
+            return
+        latest = {q: tuple(row) for q, *row in self.latest.get()} if known else {}
+        older = known and self.pauses.exists()
         for q in {*asked, *resumed}:
-            a, r, value, n = self.pauses.getValue((q,)) if self.pauses.containsKey((q,)) else (None, None, None, 0)
+            held = latest.get(q) or (self.pauses.getValue((q,)) if older else None)
+            a, r, value, n = held if held is not None else (None, None, None, 0)
             a = min((x for x in (a, asked.get(q)) if x is not None), default=None)
             answers = [x for x in ((r, value), resumed.get(q)) if x is not None and x[0] is not None]
             r, value = min(answers, key=_order, default=(None, None))
             n += resumes.get(q, 0)
-            self.pauses.updateValue((q,), (a, r, value, n))
+            latest[q] = a, r, value, n
             status = "open" if r is None else "unasked" if a is None else "answered" if r > a else "conflict"
             yield "pause", q, status, r if r is not None else a, value
             yield "refused", q, "", None, str(n - (status == "answered"))
+        if len(latest) <= TOGETHER:
+            self.latest.put([(q, *row) for q, row in latest.items()])
+            return
+        for q, row in latest.items():
+            self.pauses.updateValue((q,), row)
+        if known:
+            self.latest.clear()
 
-    def _postpone(self, last: int) -> None:
-        before = self.due.get()[0] if self.due.exists() else None
+    def _postpone(self, last: int, due: tuple | None) -> None:
         after = last + self.live_ms
-        if before is None or after > before:
-            if before is not None:
-                self.handle.deleteTimer(before)
+        if due is None or after > due[0]:
+            if due is not None:
+                self.handle.deleteTimer(due[0])
             self.handle.registerTimer(after)
             self.due.update((after,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in (self.newest, self.sums, self.floors, self.pauses, self.entries, self.due):
+        for state in (self.newest, self.sums, self.floors, self.pauses, self.latest, self.entries, self.due):
             state.clear()
         yield self._frame(key, [("expired", "", "", None, None)])
 
     def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame([(key[0], *r) for r in rows], columns=["session", *COLUMNS])
-        return frame.astype({"turn": "Int64"})
+        columns = dict(zip(COLUMNS, map(list, zip(*rows)))) if rows else {c: [] for c in COLUMNS}
+        return pd.DataFrame({"session": [key[0]] * len(rows)} | columns | {"turn": pd.array(columns["turn"], "Int64")})
 
     def close(self) -> None:
         pass

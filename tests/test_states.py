@@ -71,3 +71,38 @@ def test_a_session_ends_and_begins_anew(sent):
     got = {tuple(r) for r in states.held(out, "s").collect()}
     assert ("a", "sum", "n", "", None, "7") in got and not [g for g in got if g[1] == "window"]
     assert out.where("kind = 'expired' and s = 'a'").count() == 1
+
+
+def test_many_pauses(sent):
+    """Some lie together, then each has an entry of its own, and some come again."""
+    draw = random.Random(9)
+    rows = [("a", at(i / 100), draw.choice(["pause", "resume"]), f"q{draw.randrange(150)}", i, 0, str(i)) for i in range(1, 500)]
+    mixed = draw.sample(rows, len(rows))
+    out = sent([mixed[:40], mixed[40:90], mixed[90:300], mixed[300:310], mixed[310:]])
+    assert {tuple(r) for r in states.held(out, "s").collect()} == plain(rows, 5)
+
+
+class Store:
+    """A handle that counts the calls to its state."""
+
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        def call(*args):
+            if name.startswith("get") and name.endswith("State"):
+                return self
+            self.calls.append(name)
+            return False if name in ("exists", "containsKey") else None
+
+        return call
+
+
+def test_a_new_session_takes_few_calls_to_the_store():
+    handle, session = Store(), states.Session(5, 1000)
+    session.init(handle)
+    rows = [("set", "f", 1, 0, "x"), ("add", "n", 1, 0, "3"), ("append", "l", 1, 0, "x"), ("clear", "l", 0, 0, None)]
+    rows += [(op, f"day {i}", i, 0, "x") for i in range(60) for op in ("pause", "resume")]
+    frame = states.pd.DataFrame([(5, *r) for r in rows], columns=["ms", "op", "field", "turn", "part", "value"])
+    (given,) = session.handleInputRows(("a",), iter([frame]), None)
+    assert len(given) == 2 + 5 + 2 * 60 and len(handle.calls) <= 10
