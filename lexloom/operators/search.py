@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,15 +38,22 @@ class _Best:
     """Which rows of batches that pass by can be among each query's ``limit`` best."""
 
     def __init__(self, queries: int, limit: int):
-        self.limit, self.top = limit, np.full((limit, queries), -np.inf)
+        self.limit, self.top = limit, np.full((queries, limit), -np.inf)
 
-    def of(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, query) of (rows x queries) scores; minus infinity and NaN never."""
-        scores[np.isnan(scores)] = -np.inf
-        both = np.concatenate([self.top, scores])
-        self.top = np.partition(both, len(both) - self.limit, axis=0)[len(both) - self.limit :]
-        least = self.top.min(axis=0)
-        return np.nonzero((scores >= least - 1e-8 * np.maximum(1, np.abs(least))) & np.isfinite(scores))
+    def of(self, scores: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in ``who``) of (rows x queries ``who``) scores; minus infinity and NaN never.
+
+        Only what reaches a query's ``limit``-th best so far is looked at again.
+        """
+        least = self.top[who].min(axis=1)
+        q, i = np.nonzero((scores >= least - 1e-8 * np.maximum(1, np.abs(least))).T & np.isfinite(scores.T))
+        places, starts = np.unique(q, return_index=True)
+        for at, some in zip(places, np.split(i, starts[1:])):
+            both = np.concatenate([self.top[who[at]], scores[some, at]])
+            self.top[who[at]] = np.partition(both, len(both) - self.limit)[len(both) - self.limit :]
+        least = self.top[who].min(axis=1)
+        kept = scores[i, q] >= (least - 1e-8 * np.maximum(1, np.abs(least)))[q]
+        return i[kept], q[kept]
 
 
 def _masks(laws: list[list[str] | None]) -> Callable[[str | None], np.ndarray | None]:
@@ -90,11 +98,11 @@ def top_dense(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "do
     kinds = {"query": dict(queries.dtypes)[query], "key": dict(vectors.dtypes)[key]}
     schema = f"query {kinds['query']}, key {kinds['key']}, score double"
     law = F.col("law").cast("string") if "law" in vectors.columns else F.lit(None).cast("string")
-    rows = _numbers(vectors.select(F.col(key).alias("key"), law.alias("law"), F.col("vector").alias("v")))
+    rows = vectors.select(F.col(key).alias("key"), law.alias("law"), F.col("vector").alias("v"))
     asked = _numbers(queries.select(F.col(query).alias("query"), _filters(queries).alias("laws"), F.col("vector").alias("v")))
     some = asked.limit(FEW + 1).collect()
     if len(some) > FEW:
-        scored = _dealt(rows, asked, asked.count(), limit, kinds, schema)
+        scored = _dealt(_numbers(rows), asked, asked.count(), limit, kinds, schema)
     else:
         scored = _sent(rows, some, limit, kinds, schema)
     return ranked(scored.withColumnsRenamed({"query": query, "key": key}), limit, query, key)
@@ -102,18 +110,24 @@ def top_dense(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "do
 
 def _numbers(rows: DataFrame) -> DataFrame:
     """Rows whose ``v`` is there as a whole; floats stay such, all others are doubles."""
+    return _cast(rows).where("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
+
+
+def _cast(rows: DataFrame) -> DataFrame:
     kind = "array<float>" if dict(rows.dtypes)["v"] == "array<float>" else "array<double>"
-    return rows.withColumn("v", F.col("v").cast(kind)).where("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
+    return rows.withColumn("v", F.col("v").cast(kind))
 
 
 def _sent(rows: DataFrame, some: list, limit: int, kinds: dict[str, str], schema: str) -> DataFrame:
-    """Candidates of a few queries, from the tasks that read the rows."""
-    found = []
+    """Candidates of a few queries, from the tasks that read the rows.
+
+    Which rows count is decided there: a condition on ``v`` would go below what computes it, which would run once more for each.
+    """
+    asked = {}
     for width in sorted({len(r.v) for r in some}):
         mine = sorted((r for r in some if len(r.v) == width), key=lambda r: str(r.query))
-        matrix = np.array([r.v for r in mine], np.float64).reshape(len(mine), width)
-        found.append(rows.where(F.size("v") == width).mapInArrow(_cosines(matrix, [r.query for r in mine], [r.laws for r in mine], limit, kinds["query"]), schema))
-    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
+        asked[width] = np.array([r.v for r in mine], np.float64).reshape(len(mine), width), [r.query for r in mine], [r.laws for r in mine]
+    return _cast(rows).mapInArrow(_cosines(asked, limit, kinds["query"]), schema)
 
 
 def _dealt(rows: DataFrame, asked: DataFrame, n: int, limit: int, kinds: dict[str, str], schema: str) -> DataFrame:
@@ -242,26 +256,42 @@ def _passing(limit: int, query_type: pa.DataType, key_type: pa.DataType):
     return run
 
 
-def _cosines(matrix: np.ndarray, ids: list, filters: list, limit: int, kind: str):
+def _cosines(asked: dict[int, tuple[np.ndarray, list, list]], limit: int, kind: str):
+    """Vectors of queries, their ids and laws by width: what can be among each query's best of the rows that pass by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, left_out, names = _Best(len(ids), limit), _masks(filters), pa.array(ids, type=_arrow(kind))
         with np.errstate(invalid="ignore", divide="ignore"):
-            asked = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+            here = {width: (x / np.linalg.norm(x, axis=1, keepdims=True), pa.array(ids, type=_arrow(kind)), _masks(laws), _Best(len(ids), limit)) for width, (x, ids, laws) in asked.items()}
             for whole in batches:
                 for at in range(0, whole.num_rows, 2 * ROWS):
                     batch = whole.slice(at, 2 * ROWS)
-                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                    scores = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ asked.T
-                    for i, x in enumerate(batch.column("law").to_pylist()):
-                        out = left_out(x)
-                        if out is not None:
-                            scores[i, out] = -np.inf
-                    i, q = best.of(scores)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("key").take(pa.array(i)), pa.array(scores[i, q])], names=["query", "key", "score"])
+                    sizes = pc.list_value_length(batch.column("v")).fill_null(-1).to_numpy(zero_copy_only=False)
+                    for width, mine in here.items():
+                        yield from _scored(batch if (sizes == width).all() else batch.filter(pa.array(sizes == width)), width, *mine)
 
     return run
 
 
+def _scored(batch: pa.RecordBatch, width: int, asked: np.ndarray, ids: pa.Array, left_out: Callable, best: _Best) -> Iterator[pa.RecordBatch]:
+    """Rows of one width against the queries of that width; the rows of a law only against those that it's open to."""
+    if not batch.num_rows:
+        return
+    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)  # null numbers are NaN
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    laws = batch.column("law").dictionary_encode("encode")
+    codes = laws.indices.to_numpy(zero_copy_only=False)
+    for code, law in enumerate(laws.dictionary.to_pylist()):
+        out = left_out(law)
+        who = np.arange(len(asked)) if out is None else np.flatnonzero(~out)
+        rows = np.flatnonzero(codes == code)
+        if not len(who):
+            continue
+        scores = v[rows] @ asked[who].T
+        i, q = best.of(scores, who)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[q])), batch.column("key").take(pa.array(rows[i])), pa.array(scores[i, q])], names=["query", "key", "score"])
+
+
 def ranked(scores: DataFrame, limit: int | None, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     """Rank from 1 by descending score, ties to the smaller key; the limit reaches below the shuffle."""
     order = W.partitionBy(query).orderBy(F.desc(F.round("score", 9)), F.asc(key))

@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.operators import search
+from lexloom.plans import retrieval
 
 
 def brute(x, names, limit, allowed=lambda q, r: True):
@@ -42,3 +45,51 @@ def test_rows_are_read_once_for_all_queries(spark):
     found = search.top_dense(rows, rows.withColumnRenamed("doc_id", "query_id"), 2)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 3
     assert found.where("rank = 1 and query_id <> doc_id").count() == 0 and found.count() == 10_000
+
+
+def test_few_queries_find_what_brute_force_finds(spark):
+    """Several batches in a task, of which later ones have better rows; laws, widths, and vectors with nothing to compare."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    x = rng.normal(size=(n, 4)).round(1)  # many equal scores
+    x[10], x[11, 2], x[12, 0] = 0, np.nan, np.inf
+    x[5000:5030] = x[:30] * 3
+    names = [f"k{i:04}" for i in rng.permutation(n)]
+    rows = [(name, ["a", "b", None][i % 3], [float(v) for v in x[i]]) for i, name in enumerate(names)]
+    rows[4000:4000] = [("short", "a", [1.0]), ("none", "a", None), ("empty", "b", []), ("hole", "b", [None, 1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "doc_id string, law string, vector array<double>").coalesce(1)
+    laws = lambda q: [None, ["b"], ["a", "b"], []][q % 4]
+    asked = [(names[q], laws(q), [float(v) for v in x[q]]) for q in range(60)] + [("s", ["a"], [2.0]), ("t", ["b"], [2.0])]
+    got = search.top_dense(table, spark.createDataFrame(asked, "query_id string, laws array<string>, vector array<double>"), 7).collect()
+    allowed = lambda q, r: not laws(q) or ["a", "b", None][r % 3] in laws(q)
+    with np.errstate(all="ignore"):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit[:60] @ unit.T, 9)
+    want = {("s", 1): ("short", 1.0)}
+    for q in range(60):
+        best = sorted((-scores[q, r], names[r]) for r in range(n) if np.isfinite(scores[q, r]) and allowed(q, r))[:7]
+        want |= {(names[q], i): (key, round(-s, 6)) for i, (s, key) in enumerate(best, 1)}
+    assert {(r.query_id, r.rank): (r.doc_id, r.score) for r in got} == want
+
+
+def test_a_vector_is_computed_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def embed(x: int) -> list[float]:
+        ran.add(1)
+        return [x / 100, 1.0]
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.udf(embed, "array<double>")("id").alias("vector"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert [r.doc_id for r in search.top_dense(rows, asked, 2).orderBy("rank").collect()] == [2999, 2998]
+    assert ran.value == 3000
+
+
+def test_letters_are_counted_in_whole_texts(monkeypatch, spark):
+    monkeypatch.setattr(retrieval, "_PIECE", 7)
+    texts = [None, "", "abc", "Zz é漢字😀 z", "a" * 40 + "q", "", None, "xyz\x00x"]
+    want = [t if t is None else [float(t.count(c)) for c in retrieval._LETTERS] for t in texts]
+    for low in range(len(texts) + 1):
+        assert retrieval._counted(pa.array(texts, pa.string()).slice(low)).to_pylist() == want[low:]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.v for r in frame.select("i", retrieval.letter_counts(F.col("t")).alias("v")).orderBy("i").collect()] == want
