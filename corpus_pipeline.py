@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import bpe, langid, mixing, near_copies, suffix_dedup
-from lexloom.llm.common import table, written
+from lexloom.llm.common import small_batches, table, written
 from lexloom.llm.queries import TOKENIZER
 
 #: The score by the family and the closest rival is about this where both machines are undecided.
@@ -25,10 +25,11 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def passing_others(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``stage`` with the columns it doesn't read named apart from those that its operator adds or uses inside."""
+    """``stage`` in small batches, with the columns it doesn't read named apart from those that its operator adds or uses inside."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         apart = {c: f"__other{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
         return stage(spark, docs.withColumnsRenamed(apart), sf_dir).withColumnsRenamed({v: k for k, v in apart.items()})
 
@@ -70,7 +71,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and what they decode to."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER).drop("text")
+    small_batches(spark)
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, keep_text=False)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("suffix_array", suffix_array), ("mix", mix), ("encode", encode)]

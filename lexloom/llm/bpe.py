@@ -3,7 +3,7 @@
 A batch's new words lie in one flat array of symbols. Each round looks up the rank of every
 adjacent pair by binary search in the sorted pair keys, finds each word's lowest rank, and
 merges all its occurrences from left to right, until no word has a pair that merges. Words
-met before come from a bounded cache of each worker, which only saves work.
+met before come from a bounded cache of each task, which only saves work.
 
 The tokenizer's file is read on the driver (a parameter; about 2 MB) and sent to the workers.
 It must be a BPE model with an end-of-word suffix over byte symbols, such as
@@ -45,8 +45,8 @@ SMALL_LETTERS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF,
 SMALL_LETTERS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _LATER = re.compile(f"[{LATER}]")
 
-#: Words that are merged in one run, so that scratch arrays stay small.
-LOT = 100_000
+#: Words that are merged in one run, and texts and code points that are split at once (one text at least), so that scratch stays small.
+LOT, BLOCK_TEXTS, BLOCK_CHARS = 16_384, 256, 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -63,7 +63,7 @@ def byte_symbols() -> list[str]:
 class WordBPE:
     """Encoder and decoder of one tokenizer file; equal ids to the tokenizers library's."""
 
-    def __init__(self, source: str, cache_words: int = 200_000):
+    def __init__(self, source: str, cache_words: int = 100_000):
         spec = json.loads(source)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
@@ -169,10 +169,22 @@ class WordBPE:
             at += n
         return out
 
+    @staticmethod
+    def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+        start, chars = 0, 0
+        for i, text in enumerate(texts):
+            n = len(text or "")
+            if i > start and (i - start >= BLOCK_TEXTS or chars + n > BLOCK_CHARS):
+                yield texts[start:i]
+                start, chars = i, 0
+            chars += n
+        if start < len(texts):
+            yield texts[start:]
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text, its ids as little-endian 32-bit integers and its decoded bytes."""
-        for at in range(0, len(texts), 256):
-            split = [self.split(t) if t else [] for t in texts[at : at + 256]]
+        for block in self.blocks(texts):
+            split = [self.split(t) if t else [] for t in block]
             known = self.cache
             new = [*{w for words in split for w in words if w not in known}]
             if len(known) + len(new) > self.cache_words:  # what the block needs is held apart; the cache starts anew
@@ -191,14 +203,14 @@ class WordBPE:
         return b" ".join([self.strings[i] for i in np.frombuffer(ids, dtype="<u4")]).decode()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
-    """Add ``ids`` (array<int>), ``n_tokens`` (long) and ``decoded`` (string) to each document."""
-    return _apply(docs, tokenizer_path, text, [*["ids"] * ids, "n_tokens", *["decoded"] * decoded])
+def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: bool = True, decoded: bool = True, keep_text: bool = True) -> DataFrame:
+    """Add ``ids`` (array<int>), ``n_tokens`` (long) and ``decoded`` (string) to each document; without ``keep_text``, drop its text."""
+    return _apply(docs, tokenizer_path, text, [*["ids"] * ids, "n_tokens", *["decoded"] * decoded], keep_text)
 
 
-def digests(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, tokenizer_path: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """As :func:`encode`, with the SHA-256 of the ids and of the decoded text in their place."""
-    return _apply(docs, tokenizer_path, text, ["n_tokens", "ids_sha256", "decoded_sha256"])
+    return _apply(docs, tokenizer_path, text, ["n_tokens", "ids_sha256", "decoded_sha256"], keep_text)
 
 
 _KINDS = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("bigint", pa.int64()), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
@@ -212,11 +224,12 @@ def _model(source: str) -> WordBPE:
     return _models[source]
 
 
-def _apply(docs: DataFrame, tokenizer_path: str, text: str, new: list[str]) -> DataFrame:
+def _apply(docs: DataFrame, tokenizer_path: str, text: str, new: list[str], keep_text: bool) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as file:
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
-    kept = [c for c in docs.columns if c not in new]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    kept = [c for c in docs.columns if c not in new and (keep_text or c != text)]
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{text}`").alias("__text")] * (text not in kept))  # the workers get texts once
+    read = kept.index(text) if text in kept else len(kept)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} {_KINDS[c][0]}" for c in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +241,17 @@ def _apply(docs: DataFrame, tokenizer_path: str, text: str, new: list[str]) -> D
             "ids_sha256": lambda i, d: hashlib.sha256(i).hexdigest(),
             "decoded_sha256": lambda i, d: hashlib.sha256(d).hexdigest(),
         }
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                found: dict[str, list] = {c: [] for c in new}
-                for i, d in model.encode(batch.column(batch.num_columns - 1).to_pylist()):
-                    for c in new:
-                        found[c].append(make[c](i, d))
-                arrays = [*batch.columns[:-1], *(pa.array(found[c], type=_KINDS[c][1]) for c in new)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    found: dict[str, list] = {c: [] for c in new}
+                    for i, d in model.encode(batch.column(read).to_pylist()):
+                        for c in new:
+                            found[c].append(make[c](i, d))
+                    arrays = [*batch.columns[: len(kept)], *(pa.array(found[c], type=_KINDS[c][1]) for c in new)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+        finally:
+            model.cache = {}  # the worker may serve other operators next
 
     return frame.mapInArrow(thrifty(run), schema)

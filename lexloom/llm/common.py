@@ -12,12 +12,24 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the five ASCII controls 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that goes to a Python worker, in a session that says nothing of them (Spark's default is 64 MB).
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound batches by :data:`BATCH` unless the session has a bound of its own.
+
+    A worker holds a batch and reads the next, and the executor builds one besides, so with long
+    texts batches are much of an executor's memory. Results don't hang on them.
+    """
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; with a local master, the warehouse where none is set."""
     context = spark.sparkContext

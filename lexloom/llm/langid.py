@@ -190,16 +190,17 @@ def predict(docs: DataFrame, model: Hierarchy, text: str = "text", closest: bool
     kept = [c for c in docs.columns if c not in new]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double", *["closest double"] * closest])
     languages, weights, bias = model.languages, model.weights, model.bias
+    read = text if text in kept else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Hierarchy(languages, weights, bias)
         names = np.array([*languages, "und"], dtype=object)
         for whole in batches:
-            for batch in slices(whole, "__text", 1 << 20):
+            for batch in slices(whole, read, 1 << 18):
                 lang, score, near = np.full(batch.num_rows, len(languages)), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-                letters = np.array([has_letter(t.as_py() or "") for t in batch.column("__text")], dtype=bool)
+                letters = np.array([has_letter(t.as_py() or "") for t in batch.column(read)], dtype=bool)
                 if languages and letters.any():
-                    bucket, ends = trigrams(*flat(batch.column("__text")))
+                    bucket, ends = trigrams(*flat(batch.column(read)))
                     sizes = np.diff(ends)
                     margins = np.tile(bias, (batch.num_rows, 1))
                     some = np.flatnonzero(sizes)
@@ -212,7 +213,8 @@ def predict(docs: DataFrame, model: Hierarchy, text: str = "text", closest: bool
                 added = [pa.array(names[lang].tolist(), pa.string()), pa.array(score), *[pa.array(near)] * closest]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added], names=[*kept, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(thrifty(run), schema)
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{text}`").alias("__text")] * (text not in kept))  # the workers get texts once
+    return frame.mapInArrow(thrifty(run), schema)
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, keep_text=False)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +66,33 @@ def test_table(spark):
     full = bpe.encode(docs.where("doc_id = 3"), PATH).first()
     assert full.ids == LIBRARY.encode("Some words " * 5000, add_special_tokens=False).ids
     assert bpe.digests(docs.where("false"), PATH).count() == 0
+
+
+def test_blocks_are_bounded():
+    """By texts and by code points, with whole texts in their order."""
+    long = "w" * (bpe.BLOCK_CHARS // 2 + 1)
+    texts = ["a", long, long, None, long * 3, "b", *[""] * 600]
+    blocks = [*OURS.blocks(texts)]
+    assert [t for b in blocks for t in b] == texts
+    assert all(len(b) <= bpe.BLOCK_TEXTS and (len(b) == 1 or sum(len(t or "") for t in b) <= bpe.BLOCK_CHARS) for b in blocks)
+
+
+def test_texts_go_to_the_workers_once(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    for df, columns in ((bpe.encode(docs, PATH), ["doc_id", "text"]), (bpe.encode(docs, PATH, keep_text=False), ["doc_id"])):
+        assert [r.asDict()["n_tokens"] for r in df.orderBy("doc_id").collect()] == [2, 0] and df.columns == [*columns, "ids", "n_tokens", "decoded"]
+        sent = df._jdf.queryExecution().analyzed().children().head().output()
+        assert sent.size() == 2
+
+
+def test_a_task_leaves_no_words_in_its_worker(spark):
+    docs = spark.range(8, numPartitions=4).selectExpr("id as doc_id", "concat('word', id) as text")
+    assert bpe.digests(docs, PATH).count() == 8
+
+    def held(batches):
+        for batch in batches:
+            for model in bpe._models.values():
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(model.cache)], pa.int32())})
+
+    found = [r.n for r in spark.range(8, numPartitions=4).mapInArrow(held, "n int").collect()]
+    assert found and not any(found)

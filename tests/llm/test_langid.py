@@ -112,3 +112,10 @@ def test_predictions_are_those_of_the_fitted_machines(spark):
                 lang = a if m[j] >= 0 else b
                 score *= max(sure(m[j]), 1 - sure(m[j]))
         assert r.lang_pred == lang and abs(r.score - score) < 1e-9, r.doc_id
+
+
+def test_texts_go_to_the_workers_once(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    df = langid.predict(docs, langid.Hierarchy([]))
+    assert df.columns == ["doc_id", "text", "lang_pred", "score"] and {r.lang_pred for r in df.collect()} == {"und"}
+    assert df._jdf.queryExecution().analyzed().children().head().output().size() == 2

@@ -6,7 +6,7 @@ from test_suffix_dedup import brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexloom.llm import mixing
+from lexloom.llm import common, mixing
 from lexloom.llm.queries import TOKENIZER
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -88,3 +88,17 @@ def test_columns_of_any_name_pass_through(spark, folder):
         assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
         rows = got.collect()
         assert rows and all(r.score == 2 * r.doc_id and r.facts == {"k": r.doc_id} and r["__id"] == r.doc_id and r.mark == [1, None] and (r.lang_pred, r.closest, r.root) == ("x", 1, "r") for r in rows), name
+
+
+def test_batches_are_bounded_by_bytes(spark, folder):
+    """Unless the session has a bound of its own."""
+    key, bound = common.BATCH
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for own in (None, "3m"):
+                spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+                stage(spark, docs.limit(0), folder)
+                assert spark.conf.get(key) == (own or bound), name
+    finally:
+        spark.conf.unset(key)
